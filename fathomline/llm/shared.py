@@ -62,3 +62,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words; NULL text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def process_cache(name: str) -> dict:
+    """A dict that lasts as long as this Python worker, whatever is unpickled again for each task."""
+    return sys.__dict__.setdefault("_fathomline_caches", {}).setdefault(name, {})
