@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import langid, mixing, packing, secrets, sharding, topk
+from fathomline.llm import langid, merkle, mixing, packing, pii, secrets, sharding, topk
 from fathomline.llm.shared import table
 
 #: Bytes of text that one shard may hold.
@@ -23,6 +23,14 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_top_k, op6_secrets, op7_pack, op8_shard, op10_language)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_top_k, op4_fingerprints, op5_pii, op6_secrets, op7_pack, op8_shard, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
