@@ -8,20 +8,22 @@ from pyspark.sql.window import Window
 
 from fathomline.llm.shared import cut
 
-#: Words of a leaf.
-LEAF_WORDS = 4
+#: Words of a leaf; paragraphs of fewer code points than this have a leaf for each word.
+LEAF_WORDS, SHORT_PARAGRAPH = 4, 64
 SECTION = r"(?:[^\n]++|\n(?!\n))++\n*+|\n++"
 PARAGRAPH = r"[^\n]++\n*+|\n++"
-LEAF = rf"(?:[^\x20\n]++\x20*+){{1,{LEAF_WORDS}}}\n*+|[\x20\n]++"
+LEAF = r"(?:[^\x20\n]++\x20*+){1,%d}\n*+|[\x20\n]++"
 
 
 def tree(text: Column) -> Column:
     """Leaf hashes of a text that isn't NULL: an array of sections, of paragraphs, of leaves (64 bits each).
 
-    A section ends with blank lines, a paragraph with its line, a leaf after four words. Each level takes all of its text,
-    so texts are equal where all leaves are.
+    A section ends with blank lines, a paragraph with its line, a leaf after four words, or one in a short paragraph. Each level
+    takes all of its text, so texts are equal where all leaves are.
     """
-    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.xxhash64(x))
+    runs = lambda p, n: F.regexp_extract_all(p, F.lit(LEAF % n), F.lit(0))
+    cut_up = lambda p: F.when(F.length(p) < SHORT_PARAGRAPH, runs(p, 1)).otherwise(runs(p, LEAF_WORDS))
+    leaves = lambda p: F.transform(cut_up(p), lambda x: F.xxhash64(x))
     paragraphs = lambda s: F.transform(F.regexp_extract_all(s, F.lit(PARAGRAPH), F.lit(0)), leaves)
     return F.transform(F.regexp_extract_all(text, F.lit(SECTION), F.lit(0)), paragraphs)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import langid, merkle, mixing, packing, pii, secrets, sharding, topk
+from fathomline.llm import html_extract, langid, merkle, mixing, packing, pii, secrets, sharding, topk
 from fathomline.llm.shared import table
 
 #: Bytes of text that one shard may hold.
@@ -43,12 +43,16 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_top_k, op4_fingerprints, op5_pii, op6_secrets, op7_pack, op8_shard, op10_language)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_top_k, op4_fingerprints, op5_pii, op6_secrets, op7_pack, op8_shard, op9_main_text, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
