@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import html_extract, langid, merkle, mixing, packing, pii, secrets, sharding, topk
+from fathomline.llm import html_extract, jaccard, langid, merkle, mixing, packing, pii, secrets, sharding, topk
 from fathomline.llm.shared import table
 
 #: Bytes of text that one shard may hold.
@@ -19,6 +19,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -52,7 +56,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_top_k, op4_fingerprints, op5_pii, op6_secrets, op7_pack, op8_shard, op9_main_text, op10_language)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_top_k, op4_fingerprints, op5_pii, op6_secrets, op7_pack, op8_shard, op9_main_text, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
