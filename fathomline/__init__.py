@@ -1,3 +1,10 @@
 """Fathomline: a PySpark-native engine for building evidence-backed profiles from document collections."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors by value, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
