@@ -54,7 +54,7 @@ def retrieved(hits: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return rows.withColumns({
         "url": or_else("url", F.lit("#")), "title": or_else("title", F.lit("Cached")), "source": or_else("source", F.lit("Database")),
         "snippet": or_else("snippet", F.left(F.col("content"), F.lit(p.snippet_chars))), "score": distance_score(F.coalesce("distance", F.lit(1.0))),
-        "is_from_db": F.lit(True),
+        "is_from_db": F.lit(True), "relevance_score": F.col("relevance_score") if "relevance_score" in hits.columns else F.lit(None).cast("double"),
     })
 
 
