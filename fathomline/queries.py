@@ -358,9 +358,9 @@ def jon11_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.profile_values(stores.typed_profiles(profiles(spark, sf_dir)), ["profile_id"])
 
 
-@query("SELECT o_orderkey AS profile_id, l.n AS local FROM orders LEFT JOIN (SELECT l_orderkey, max_by(l_quantity, l_partkey * 10000 + l_suppkey) AS n FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL) l ON l_orderkey = o_orderkey")
+@query("SELECT o_orderkey AS profile_id, l.n AS local FROM orders LEFT JOIN (SELECT l_orderkey, max_by(l_quantity, l_extendedprice) AS n FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL) l ON l_orderkey = o_orderkey")
 def jon12_local_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    local = table(spark, sf_dir, "lineitem").filter(c("l_orderkey") % 3 == 0).select(c("l_orderkey").alias("profile_id"), (c("l_partkey") * 10000 + c("l_suppkey")).alias("pos"), c("l_quantity").alias("n"))
+    local = table(spark, sf_dir, "lineitem").filter(c("l_orderkey") % 3 == 0).select(c("l_orderkey").alias("profile_id"), c("l_extendedprice").alias("pos"), c("l_quantity").alias("n"))
     return joins.with_local(table(spark, sf_dir, "orders").select(c("o_orderkey").alias("profile_id")), local).select("profile_id", c("local.n").alias("local"))
 
 

@@ -28,7 +28,7 @@ def value(spark, expr):
         (lambda: tx.entity_name(F.lit(' " A  b" ')), "A b"),
         (lambda: tx.query_words(F.lit("The café of naïve dan ab")), ["café", "naïve"]),
         (lambda: tx.clean_html(F.lit("<p>a &amp;lt; b</p>&nbsp;&#8211;")), "a < b -"),
-        (lambda: tx.claims(F.lit("Short. This one is long enough. And so is this one?"), 10, 20), ["This one is long enough.", "And so is this one?"]),
+        (lambda: tx.claims(F.lit("Short. This one is long enough. And so is this one too?"), 10, 20), ["This one is long enough.", "And so is this one too?"]),
         (lambda: tx.to_full_sentence(F.lit("One. Two! thr")), "One. Two!"),
         (lambda: tx.to_full_sentence(F.lit("no end")), "no end"),
         (lambda: tx.strip_preface(F.lit(" Here is the snapshot : here is  it")), "it"),
