@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fathomline.llm.shared import cut
+from fathomline.llm.shared import WORD, cut
 
 #: A set member is a 48-bit hash of a shingle, kept in so many bytes.
 WIDTH = 6
@@ -230,75 +230,76 @@ def candidates(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, percent
                 yield x[1][i], y[1][j]
 
 
-def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """A row per document: ``uid``, size ``n``, class ``k`` (equal sets have one), bitmap and members."""
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(text).alias("_h"))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, uid = Shingler(words), TaskContext.get().partitionId() << 36
-        for b in batches:
-            sets = [shingler.shingles(t) for t in b["_text"]]
-            n = [len(s) for s in sets]
-            k = [int(mixed(mixed(s).sum(keepdims=True) ^ np.uint64(len(s))).view(np.int64)[0]) if len(s) else 0 for s in sets]
-            yield pd.DataFrame({
-                key: b[key], "uid": np.arange(uid, uid + len(b)), "n": n, "k": k, "map": [bitmap(s) for s in sets], "set": [packed(s) for s in sets],
-            })
-            uid += len(b)
 
-    own = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    kind = docs.schema[key].dataType.simpleString()
-    return cut(own.mapInPandas(rows, f"`{key}` {kind}, uid long, n long, k long, map binary, set binary"), "jaccard-sets")
+def _class(members: np.ndarray) -> int:
+    """A hash of a whole set: documents of one class have equal sets."""
+    return int(mixed(mixed(members).sum(keepdims=True) ^ np.uint64(len(members))).view(np.int64)[0])
 
 
-def _ranks(sets: DataFrame) -> np.ndarray:
-    """By slot of the frequency sketch, how much more than the median its members are met, as a power of two; at most 15.
+def _surveyed(docs: DataFrame, key: str, text: str, words: int) -> tuple[DataFrame, np.ndarray]:
+    """A row per document - text hash ``h``, set size ``n``, class ``k``, bitmap ``map`` - and the ranks of the frequency sketch.
 
-    All members of all sets are counted, in slots by hash. Only frequent members matter: their slot stands out.
+    Sets themselves aren't kept, they take more room than texts. The sketch counts all members of all sets in slots by hash;
+    each task gives its counts in pieces, after its rows, and the driver gets their sums. The rank of a slot is how much more
+    than usual its members are met, as a power of two, at most 15: only frequent members stand out.
     """
-    slots = 1 << SKETCH_BITS
-    piece = 1 << 14
+    slots, piece = 1 << SKETCH_BITS, 1 << 14
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(slots, np.int64)
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, total = Shingler(words), np.zeros(slots, np.int64)
         for b in batches:
-            values = np.concatenate([np.zeros(0, np.uint64), *map(unpacked, b["set"])])
-            total += np.bincount((values >> np.uint64(8 * WIDTH - SKETCH_BITS)).astype(np.int64), minlength=slots)
-        if total.any():
-            for i in range(0, slots, piece):
-                yield pd.DataFrame({"piece": [i // piece], "counts": [total[i : i + piece].astype("<u4").tobytes()]})
+            sets = [shingler.shingles(t) for t in b["_text"]]
+            if sets:
+                total += np.bincount((np.concatenate(sets) >> np.uint64(8 * WIDTH - SKETCH_BITS)).astype(np.int64), minlength=slots)
+            yield pd.DataFrame({
+                key: b[key], "h": b["_h"], "n": [len(s) for s in sets], "k": [_class(s) if len(s) else 0 for s in sets], "map": [bitmap(s) for s in sets],
+                "piece": -1,
+            })
+        for i in range(0, slots, piece) if total.any() else ():
+            yield pd.DataFrame({key: [None], "h": 0, "n": 0, "k": 0, "map": [total[i : i + piece].astype("<u4").tobytes()], "piece": i // piece})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, c in zip(b["piece"], b["counts"], strict=True):
+            for i, c in zip(b["piece"], b["map"], strict=True):
                 sums[i] = sums.get(i, 0) + np.frombuffer(c, "<u4").astype(np.int64)
-        for i, s in sums.items():
-            yield pd.DataFrame({"piece": [i], "counts": [s.astype("<i8").tobytes()]})
+        for i, c in sums.items():
+            yield pd.DataFrame({"piece": [i], "counts": [c.astype("<i8").tobytes()]})
 
-    summed = sets.select("set").mapInPandas(count, "piece int, counts binary").repartition(16, "piece").mapInPandas(add, "piece int, counts binary")
+    kind = docs.schema[key].dataType.simpleString()
+    found = cut(_texts(docs, key, text).mapInPandas(rows, f"`{key}` {kind}, h long, n long, k long, map binary, piece int"), "jaccard-survey")
+    summed = found.filter("piece >= 0").select("piece", "map").repartition(16, "piece").mapInPandas(add, "piece int, counts binary")
     total = np.zeros(slots, np.int64)
-    for r in summed.toLocalIterator():
+    for r in cut(summed, "jaccard-sketch").toLocalIterator():  # a fixed number of rows
         total[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["counts"], "<i8")
-    usual = max(1.0, float(np.median(total)) + 4 * float(np.median(total)) ** 0.5)
-    return np.clip(np.floor(np.log2(np.maximum(total / usual, 1))) + (total > usual), 0, 15).astype(np.uint8)
+    middle = float(np.median(total))
+    usual = max(1.0, middle + 4 * middle**0.5)
+    ranks = np.clip(np.floor(np.log2(np.maximum(total / usual, 1))) + (total > usual), 0, 15).astype(np.uint8)
+    return found.filter("piece < 0").drop("piece"), ranks
 
 
-def _runs(sets: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
+def _runs(texts: DataFrame, ranks: np.ndarray, members: int, percent: int, words: int) -> DataFrame:
     """Different lists of classes that share a prefix member: ``run`` and ``k``, a row each.
 
     In a global order of members, rare ones first, two sets that link share one of the first ``n - ceil(n * percent / 100) + 1``
     of each. Members go by hash range to tasks, which sort them and keep those of two classes or more.
     """
     shift, top = np.uint64(8 * WIDTH - SKETCH_BITS), np.uint64(8 * WIDTH)
-    total = (sets.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100
-    ranges = 1 << max(LEAST_RANGES.bit_length() - 1, (total // IN_RANGE).bit_length())
+    ranges = 1 << max(LEAST_RANGES.bit_length() - 1, (members * (100 - percent) // 100 // IN_RANGE).bit_length())
     span = np.uint64(8 * WIDTH - ranges.bit_length() + 1)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(words)
         for b in batches:
-            b = b.drop_duplicates("k")
             members, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for k, data in zip(b["k"], b["set"], strict=True):
-                v = unpacked(data)
+            for t in b["_text"].drop_duplicates():
+                v = shingler.shingles(t)
+                if not len(v):
+                    continue
+                k = _class(v)
                 v |= ranks[(v >> shift).astype(np.int64)].astype(np.uint64) << top
                 n = len(v)
                 take = n - -(-n * percent // 100) + 1
@@ -332,7 +333,7 @@ def _runs(sets: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
         _, once = np.unique(names, return_index=True)
         return pd.DataFrame({"run": names[once], "size": length[once], "ks": [c[s : s + n].tobytes() for s, n in zip(start[once], length[once], strict=True)]})
 
-    dealt = sets.filter("n > 0").select("k", "set").mapInPandas(prefixes, "range long, m binary, c binary")
+    dealt = texts.select("_text").mapInPandas(prefixes, "range long, m binary, c binary")
     lists = dealt.groupBy("range").applyInPandas(shared, "run long, size long, ks binary")
     return cut(lists.dropDuplicates(["run"]), "jaccard-runs")
 
@@ -349,6 +350,62 @@ def _exploded(lists: DataFrame) -> DataFrame:
     return lists.mapInPandas(rows, "run long, size long, k long")
 
 
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes ``h`` in ``wanted``, 16 bits each or more, up to 2**28 bits (32 MB): says of others mostly that they aren't."""
+    bits = min(28, max(16, (16 * wanted.count()).bit_length()))
+    piece = F.shiftrightunsigned("h", 64 - bits + 15).cast("int")
+
+    def one(b: pd.DataFrame) -> pd.DataFrame:
+        at = (b["h"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)) & np.uint64((1 << 15) - 1)
+        part = np.zeros(1 << 15, np.uint8)
+        part[at.astype(np.int64)] = 1
+        return pd.DataFrame({"piece": b["piece"].iloc[:1], "bits": [np.packbits(part).tobytes()]})
+
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    parts = wanted.select("h", piece.alias("piece")).groupBy("piece").applyInPandas(one, "piece int, bits binary")
+    for r in cut(parts, "jaccard-filter").toLocalIterator():
+        out[r["piece"] * 4096 : (r["piece"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _sets_of(wanted: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``k`` and ``set`` of the classes in ``wanted`` (``k``, ``h``: hash of a text that has the set). Reads all texts, but builds the sets of few others."""
+    seen = _filter(wanted)
+    shift = np.uint64(64 - (len(seen) * 8).bit_length() + 1)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(words)
+        for b in batches:
+            at = b["_h"].to_numpy().view(np.uint64) >> shift
+            b = b[(seen[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1].drop_duplicates("_h")
+            sets = [shingler.shingles(t) for t in b["_text"]]
+            yield pd.DataFrame({"k": [_class(s) if len(s) else 0 for s in sets], "set": [packed(s) for s in sets]}).astype({"k": "int64"})
+
+    found = texts.select("_h", "_text").mapInPandas(rows, "k long, set binary")
+    found = found.join(wanted.select("k"), "k", "left_semi")
+    return cut(found.groupBy("k").agg(F.first("set").alias("set")), "jaccard-sets")
+
+
+def _plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Of pairs ``a``, ``t`` of classes, those whose sizes and bitmaps leave room for a link."""
+    both = pairs.join(maps.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("map").alias("ma")), "a")
+    both = both.join(maps.select(F.col("k").alias("t"), F.col("n").alias("nt"), F.col("map").alias("mt")), "t")
+    both = both.filter((F.col("na") * 100 >= F.col("nt") * percent) & (F.col("nt") * 100 >= F.col("na") * percent))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for na, ma, nt, mt in zip(b["na"], b["ma"], b["nt"], b["mt"], strict=True):
+                x, y = np.frombuffer(ma, "<u8")[None], np.frombuffer(mt, "<u8")[None]
+                w = min(x.shape[1], y.shape[1])
+                x, y = _folded(x, w), _folded(y, w)
+                most = min(na - int(np.bitwise_count(x & ~y).sum()), nt - int(np.bitwise_count(y & ~x).sum()))
+                keep.append(most >= -(-percent * (na + nt) // (100 + percent)))
+            yield b.loc[np.array(keep, bool), ["a", "t"]]
+
+    return both.mapInPandas(rows, "a long, t long")
+
+
 def verify(asks: DataFrame, targets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links found between askers and members of targets: for each asker and target the first, as ``a``, ``b``.
 
@@ -405,38 +462,30 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(labels, "k", "left").select("k", F.coalesce("c", "k").alias("c"))
 
 
-def join(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Components of documents whose sets of ``words``-word shingles link: ``100 * intersection >= percent * union``.
-
-    Documents with equal sets are one class, so copies cost nothing. Classes that share a rare enough shingle (:func:`_runs`)
-    may link. Three classes of least hash in each run are asked first, which joins most groups of near copies. Where a
-    run still has several components, signature trees over its members give the pairs of different components that may
-    link (:func:`candidates`), and each such document is held against the other's component, in parts, exactly
-    (:func:`verify`). Nothing is sampled or capped: long runs are split into parts whose pairs are all searched.
-
-    Returns ``key``, ``n_shingles``, ``component_id`` (least ``key`` reachable, itself included) for each row. NULL and blank texts
-    have no shingles and are linked with nothing; fewer words than a shingle has are one together. Rows are told apart by
-    place, so repeated keys give a row each; a NULL key counts in no minimum, and a component of only those has NULL. An
-    empty table gives no rows. Other columns are ignored.
-    """
-    sets = _sets(docs, key, text, words)
-    classes = sets.filter("n > 0").groupBy("k").agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.min(key).alias("least"))
+def grouped(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``h`` (hash of the text), ``n_shingles``, ``c`` (component, NULL for sets without members), ``component_id``. See :func:`join`."""
+    texts = _texts(docs, key, text)
+    survey, ranks = _surveyed(docs, key, text, words)
+    classes = survey.filter("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.first("h").alias("h"), F.min(key).alias("least"), F.first("map").alias("map"))
     classes = cut(classes, "jaccard-classes")
-    lists = _runs(sets, _ranks(sets), percent)
-    runs = cut(_exploded(lists), "jaccard-members")
-
-    used = runs.select("k").distinct().join(classes, "k").select("k", "uid")
-    members = cut(used.join(sets.select("uid", "n", "map", "set"), "uid").drop("uid"), "jaccard-used")
-    # Centres of runs by three hashes; a class meets the same few centres in most of its runs.
-    order = lambda s: F.xxhash64(F.lit(s), "k")
-    centres = runs.groupBy("run").agg(*(F.min_by("k", order(s)).alias(f"c{s}") for s in range(3)))
-    stars = runs.join(centres, "run").select(F.col("k").alias("a"), F.explode(F.array("c0", "c1", "c2")).alias("t")).filter("a != t").distinct()
-    stars = cut(stars, "jaccard-stars")
-    links = cut(verify(stars, stars.select("t", F.col("t").alias("k")).distinct(), members, percent), "jaccard-found")
-    comps = cut(components(members.select("k"), links), "jaccard-comps")
+    total = survey.agg(F.sum("n")).first()[0] or 0
+    runs = cut(_exploded(_runs(texts, ranks, total, percent, words)), "jaccard-members")
+    maps = cut(classes.join(runs.select("k").distinct(), "k", "left_semi").select("k", "n", "h", "map"), "jaccard-maps")
+
+    # Each class of a run asks the run's centre, the one of least hash: that joins most groups of near copies. Then another one.
+    comps, links = maps.select("k", F.col("k").alias("c")), None
+    for s in range(2):
+        at = runs.join(comps, "k").withColumn("o", F.struct(F.xxhash64(F.lit(s), "k").alias("o"), "k", "c"))
+        centre = at.groupBy("run").agg(F.min("o").alias("o"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y")
+        stars = at.drop("o").join(centre, "run").filter(F.col("c") != F.col("o.c")).select(F.col("k").alias("a"), F.col("o.k").alias("t")).distinct()
+        stars = cut(_plausible(stars, maps, percent), "jaccard-stars")
+        wanted = stars.select(F.col("a").alias("k")).union(stars.select("t")).distinct().join(maps.select("k", "h"), "k")
+        found = verify(stars, stars.select("t", F.col("t").alias("k")).distinct(), _sets_of(cut(wanted, "jaccard-wanted"), texts, words), percent)
+        links = cut(found if links is None else links.unionByName(found), "jaccard-found")
+        comps = cut(components(maps.select("k"), links), "jaccard-comps")
 
     size = comps.groupBy("c").agg(F.count("*").alias("members"))
-    known = members.select("k", "n", "map").join(comps, "k").join(size, "c")
+    known = maps.select("k", "n", "map").join(comps, "k").join(size, "c")
     open_runs = runs.join(comps, "k").groupBy("run").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("run")
     parts = F.ceil(F.col("size") / PART).cast("int")
     part = F.pmod(F.xxhash64("k"), parts).cast("int")
@@ -474,19 +523,54 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_id"
         if held:
             yield from split(held[0], True)
 
-    grouped = spread.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j")
-    asks = cut(grouped.mapInPandas(pairs, "a long, t long").distinct(), "jaccard-asks")
+    dealt = spread.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j")
+    asks = cut(dealt.mapInPandas(pairs, "a long, t long").distinct(), "jaccard-asks")
     # Components in parts of bounded size; a component's asker asks all its parts.
     asked = comps.join(asks.select(F.col("t").alias("c")).distinct(), "c").join(size, "c")
     place = F.pmod(F.xxhash64(F.lit(1), "k"), F.ceil(F.col("members") * 2 / TARGET))
     asked = cut(asked.select("k", "c", F.xxhash64("c", place).alias("t")), "jaccard-targets")
     asks = asks.withColumnRenamed("t", "c").join(asked.select("c", "t").distinct(), "c").select("a", "t")
-    late = verify(asks, asked.select("t", "k"), members, percent)
-    comps = components(members.select("k"), links.unionByName(late))
+    asks = cut(asks, "jaccard-asks")
+    wanted = asks.select(F.col("a").alias("k")).union(asked.select("k")).distinct().join(maps.select("k", "h"), "k")
+    late = verify(asks, asked.select("t", "k"), _sets_of(cut(wanted, "jaccard-wanted"), texts, words), percent)
+    comps = components(maps.select("k"), links.unionByName(late))
 
     merged = classes.join(comps, "k", "left").withColumn("c", F.coalesce("c", "k"))
     least = merged.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_class = cut(merged.join(least, "c").select("k", "component_id"), "jaccard-classes")
-    found = sets.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("k")).alias("k")).join(by_class, "k", "left")
+    by_class = cut(merged.join(least, "c").select("k", "c", "component_id"), "jaccard-classes")
+    found = survey.select(key, "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("k")).alias("k")).join(by_class, "k", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key))
-    return found.select(key, "n_shingles", own.alias("component_id"))
+    return found.select(key, "h", "n_shingles", "c", own.alias("component_id"))
+
+def join(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Components of documents whose sets of ``words``-word shingles link: ``100 * intersection >= percent * union``.
+
+    Documents with equal sets are one class, so copies cost nothing. Classes that share a rare enough shingle (:func:`_runs`)
+    may link. All of a run ask its class of least hash first, twice by another hash, which joins most groups of near copies.
+    Where a run still has several components, signature trees over its members give the pairs of different components that may
+    link (:func:`candidates`), and each such document is held against the other's component, in parts, exactly
+    (:func:`verify`). Nothing is sampled or capped: long runs are split into parts whose pairs are all searched.
+
+    Returns ``key``, ``n_shingles``, ``component_id`` (least ``key`` reachable, itself included) for each row. NULL and blank texts
+    have no shingles and are linked with nothing; fewer words than a shingle has are one together. Rows are told apart by
+    place, so repeated keys give a row each; a NULL key counts in no minimum, and a component of only those has NULL. An
+    empty table gives no rows. Other columns are ignored.
+    """
+    return grouped(docs, percent, words, key, text).select(key, "n_shingles", "component_id")
+
+
+def dedupe(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the least key, NULL last, then text hash. See :func:`join`.
+
+    Rows without shingles are linked with nothing and all stay. Of rows equal in key and text one stays. All columns are kept;
+    one named ``_turn`` is left out.
+    """
+    found = grouped(docs, percent, words, key, text).filter(F.col("c").isNotNull())
+    first = found.groupBy("c").agg(F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), "h")).alias("x")).select("x.k", "x.h")
+    columns = [c for c in docs.columns if c != "_turn"]
+    rows = docs.select(*(F.col(f"`{c}`") for c in columns), F.xxhash64(text).alias("_turn"), F.col(key).alias("_turn_key"))
+    empty = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)) == 0
+    kept = rows.join(first, F.col("_turn_key").eqNullSafe(F.col("k")) & (F.col("_turn") == F.col("h")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("_turn_key", "_turn").orderBy(F.lit(0)))
+    kept = kept.withColumn("_turn", turn).filter("_turn = 1").select(*(F.col(f"`{c}`") for c in columns))
+    return kept.unionByName(docs.select(*(F.col(f"`{c}`") for c in columns)).filter(empty))
