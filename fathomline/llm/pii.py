@@ -121,7 +121,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Set
     places = places.select("row", "t", touching(F.col("t")).alias("in_base"))
     first = F.exists("in_base", lambda b: b["start"] >= F.col("t.start"))
     places = places.filter((F.size("in_base") == 0) | first).select(
-        "row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.match").alias("match"),
+        "row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.coalesce(F.get(F.array_sort("in_base"), 0)["match"], F.col("t.match")).alias("match"),
         F.coalesce(F.get(F.array_sort("in_base"), 0)["rank"], F.lit(-1)).alias("rank"), F.explode(_contexts(F.col("t.left"))).alias("pattern"),
     )
     accepted = score_patterns(places.select("pattern", F.xxhash64("match").alias("instance"), "rank"), settings)
