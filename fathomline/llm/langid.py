@@ -16,6 +16,8 @@ UNDETERMINED = "und"
 GRAMS = (2, 3, 4)
 #: The model is fitted on at most so many labelled rows per language, on a window of so many code points of each.
 TRAIN_ROWS, TRAIN_CHARS = 1_500, 4_000
+#: Values of the hash that orders them.
+SPREAD = 1 << 40
 #: Share of validation windows that a correct model may reject.
 REJECTED = 0.001
 
@@ -138,18 +140,21 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model | None:
-    """Fits on a bounded sample: of each language the :data:`TRAIN_ROWS` rows of least hash outside :func:`held_out`.
+    """Fits on a bounded sample: of each language :data:`TRAIN_ROWS` rows of least hash outside :func:`held_out`.
 
     Of each row a window of :data:`TRAIN_CHARS` code points goes to the driver, starting at a hashed place; whole texts are
     what :func:`predict` reads. None if no row has a label and a letter.
     """
     usable = docs.filter(~held_out(key) & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    order = F.xxhash64(F.lit(11), F.col(key), F.col(text))
+    order = F.pmod(F.xxhash64(F.lit(11), F.col(key), F.col(text)), F.lit(SPREAD))
     start = F.pmod(F.xxhash64(F.lit(12), F.col(key)), F.greatest(F.length(text) - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
     rows = usable.select(F.col(label).alias("y"), order.alias("h"), F.substring(F.col(text), start, F.lit(TRAIN_CHARS)).alias("t"))
-    # The number of languages bounds the sample; a language with few rows gives all of them.
-    names = [r["y"] for r in rows.groupBy("y").count().collect()]
-    sample = [r for y in sorted(names) for r in rows.filter(F.col("y") == y).orderBy("h", "t").limit(TRAIN_ROWS).collect()]
+    sample = []
+    for y, n in sorted(rows.groupBy("y").count().collect()):  # a row per language
+        # Hashes spread evenly, so half as many again as are needed lie below this one; few rows are sorted.
+        below = SPREAD if n <= 2 * TRAIN_ROWS else SPREAD * 3 * TRAIN_ROWS // (2 * n)
+        some = rows.filter((F.col("y") == y) & (F.col("h") < below))
+        sample += some.orderBy("h", "t").limit(TRAIN_ROWS).collect()
     return fit([r["t"] for r in sample], [r["y"] for r in sample])
 
 
