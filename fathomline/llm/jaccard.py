@@ -18,6 +18,10 @@ WIDTH = 6
 SKETCH_BITS = 20
 #: Members of a tree's leaf, children of a node, members of a target in verification, askers of one, and of a run's part.
 LEAF, FAN, TARGET, ASKERS, PART = 16, 8, 512, 512, 4096
+#: Hash seeds of the centres that a run's classes ask, by round.
+CENTRES = ((0,), (1, 2, 3, 4, 5, 6))
+#: Runs of up to so many members are compared as one leaf, many runs at once.
+SMALL_RUN = 32
 #: Prefix members of one hash range, about, and the fewest ranges; a task sorts a range at once.
 IN_RANGE, LEAST_RANGES = 1 << 18, 64
 
@@ -234,6 +238,34 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(text).alias("_h"))
 
 
+def leaf_pairs(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, starts: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may link inside each span of members: each span is a tree of one leaf, and all leaves are compared at once."""
+    length = np.repeat(ends - starts, ends - starts)
+    at = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)]) if len(starts) else np.zeros(0, np.int64)
+    later = length - (at - np.repeat(starts, ends - starts)) - 1
+    i = np.repeat(at, later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    near = (groups[i] != groups[j]) & (100 * sizes[i] >= percent * sizes[j]) & (100 * sizes[j] >= percent * sizes[i])
+    i, j = i[near], j[near]
+    widths = np.array([len(m) // 8 for m in maps], np.int64)
+    swap = widths[i] > widths[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w, v in {(int(a), int(b)) for a, b in np.unique(np.stack([widths[i], widths[j]]), axis=1).T} if len(i) else ():
+        of = np.flatnonzero((widths[i] == w) & (widths[j] == v))
+        (ui, pi), (uj, pj) = np.unique(i[of], return_inverse=True), np.unique(j[of], return_inverse=True)
+        a = np.frombuffer(b"".join(maps[k] for k in ui), "<u8").reshape(-1, w)
+        b = _folded(np.frombuffer(b"".join(maps[k] for k in uj), "<u8").reshape(-1, v), w)
+        step = max(1, (1 << 20) // w)
+        for s in range(0, len(of), step):
+            x, y, p, q = a[pi[s : s + step]], b[pj[s : s + step]], i[of[s : s + step]], j[of[s : s + step]]
+            most = np.minimum(sizes[p] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), sizes[q] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            fit = most >= overlap_needed(sizes[p], sizes[q], percent)
+            out_i.append(p[fit])
+            out_j.append(q[fit])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
 def _class(members: np.ndarray) -> int:
     """A hash of a whole set: documents of one class have equal sets."""
     return int(mixed(mixed(members).sum(keepdims=True) ^ np.uint64(len(members))).view(np.int64)[0])
@@ -472,12 +504,14 @@ def grouped(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_
     runs = cut(_exploded(_runs(texts, ranks, total, percent, words)), "jaccard-members")
     maps = cut(classes.join(runs.select("k").distinct(), "k", "left_semi").select("k", "n", "h", "map"), "jaccard-maps")
 
-    # Each class of a run asks the run's centre, the one of least hash: that joins most groups of near copies. Then another one.
+    # Each class of a run asks the run's centre, the one of least hash: that joins most groups of near copies. Those that are left ask more.
     comps, links = maps.select("k", F.col("k").alias("c")), None
-    for s in range(2):
-        at = runs.join(comps, "k").withColumn("o", F.struct(F.xxhash64(F.lit(s), "k").alias("o"), "k", "c"))
-        centre = at.groupBy("run").agg(F.min("o").alias("o"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y")
-        stars = at.drop("o").join(centre, "run").filter(F.col("c") != F.col("o.c")).select(F.col("k").alias("a"), F.col("o.k").alias("t")).distinct()
+    for seeds in CENTRES:
+        at = runs.join(comps, "k")
+        centre = [F.min(F.struct(F.xxhash64(F.lit(s), "k").alias("o"), "k", "c")) for s in seeds]
+        centre = at.groupBy("run").agg(F.array_distinct(F.array(*centre)).alias("o"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y")
+        stars = at.join(centre, "run").select("k", "c", F.explode(F.filter("o", lambda o: o["c"] != F.col("c"))).alias("o"))
+        stars = stars.select(F.col("k").alias("a"), F.col("o.k").alias("t")).distinct()
         stars = cut(_plausible(stars, maps, percent), "jaccard-stars")
         wanted = stars.select(F.col("a").alias("k")).union(stars.select("t")).distinct().join(maps.select("k", "h"), "k")
         found = verify(stars, stars.select("t", F.col("t").alias("k")).distinct(), _sets_of(cut(wanted, "jaccard-wanted"), texts, words), percent)
@@ -497,25 +531,27 @@ def grouped(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
-        def searched(b: pd.DataFrame) -> pd.DataFrame:
-            i, j, p = int(b["i"].iloc[0]), int(b["j"].iloc[0]), b["p"].to_numpy()
+        def asks(b: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+            """The member of the smaller component asks the larger component."""
             k, c, size = b["k"].to_numpy(), b["c"].to_numpy(), b["members"].to_numpy()
-            sides = (np.flatnonzero(p == i), np.flatnonzero(p == j)) if i != j else None
-            out = [pd.DataFrame({"a": np.zeros(0, np.int64), "t": np.zeros(0, np.int64)})]
-            for x, y in candidates(b["n"].to_numpy(), b["map"].tolist(), c, percent, sides):
-                # The member of the smaller component asks the larger component.
-                swap = (size[x] > size[y]) | ((size[x] == size[y]) & (c[x] < c[y]))
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                out.append(pd.DataFrame({"a": k[x], "t": c[y]}).drop_duplicates())
-            return pd.concat(out)
+            swap = (size[x] > size[y]) | ((size[x] == size[y]) & (c[x] < c[y]))
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            return pd.DataFrame({"a": k[x], "t": c[y]}).drop_duplicates()
 
         def split(b: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
             keys = b[["run", "i", "j"]].to_numpy()
             starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(b)]])
-            for s, e in zip(starts[:-1], starts[1:] if last else starts[1:-1], strict=last):
-                if e > s:
-                    yield searched(b.iloc[s:e])
-            held[:] = [] if last else [b.iloc[starts[-2] :]]
+            starts, ends = (starts[:-1], starts[1:]) if last else (starts[:-2], starts[1:-1])
+            n, c, maps = b["n"].to_numpy(), b["c"].to_numpy(), b["map"].tolist()
+            small = ends - starts <= SMALL_RUN
+            one = small & (keys[starts, 1] == keys[starts, 2]) if len(starts) else small
+            out = [asks(b, *leaf_pairs(n, maps, c, starts[one], ends[one], percent))]
+            for s, e in zip(starts[~one], ends[~one], strict=True):
+                i, j, p = keys[s, 1], keys[s, 2], b["p"].to_numpy()[s:e]
+                sides = (np.flatnonzero(p == i), np.flatnonzero(p == j)) if i != j else None
+                out += [asks(b, s + x, s + y) for x, y in candidates(n[s:e], maps[s:e], c[s:e], percent, sides)]
+            held[:] = [] if last else [b.iloc[ends[-1] if len(ends) else 0 :]]
+            yield pd.concat(out).drop_duplicates()
 
         for b in batches:
             if len(b):
@@ -546,7 +582,7 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_id"
     """Components of documents whose sets of ``words``-word shingles link: ``100 * intersection >= percent * union``.
 
     Documents with equal sets are one class, so copies cost nothing. Classes that share a rare enough shingle (:func:`_runs`)
-    may link. All of a run ask its class of least hash first, twice by another hash, which joins most groups of near copies.
+    may link. All of a run ask its class of least hash first, then others', which joins most groups of near copies.
     Where a run still has several components, signature trees over its members give the pairs of different components that may
     link (:func:`candidates`), and each such document is held against the other's component, in parts, exactly
     (:func:`verify`). Nothing is sampled or capped: long runs are split into parts whose pairs are all searched.
