@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomline.llm.shared import WORD, cut
+from fathomline.llm.shared import WORD, cut, only_cache
 
 #: A set member is a 48-bit hash of a shingle, kept in so many bytes.
 WIDTH = 6
@@ -111,6 +111,14 @@ def _folded(maps: np.ndarray, words: int) -> np.ndarray:
     return maps
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 1_000) -> Iterator[pd.DataFrame]:
+    """Batches in slices, so that few sets are in memory at once."""
+    only_cache()
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.iloc[i : i + rows]
+
+
 class Tree:
     """A signature tree over sets, given as sizes and bitmaps: nodes hold OR- and AND-combined bitmaps, size range and group.
 
@@ -282,12 +290,12 @@ def _surveyed(docs: DataFrame, key: str, text: str, words: int) -> tuple[DataFra
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, total = Shingler(words), np.zeros(slots, np.int64)
-        for b in batches:
+        for b in _slices(batches):
             sets = [shingler.shingles(t) for t in b["_text"]]
             if sets:
                 total += np.bincount((np.concatenate(sets) >> np.uint64(8 * WIDTH - SKETCH_BITS)).astype(np.int64), minlength=slots)
             yield pd.DataFrame({
-                key: b[key], "h": b["_h"], "n": [len(s) for s in sets], "k": [_class(s) if len(s) else 0 for s in sets], "map": [bitmap(s) for s in sets],
+                key: b[key].to_numpy(), "h": b["_h"].to_numpy(), "n": [len(s) for s in sets], "k": [_class(s) if len(s) else 0 for s in sets], "map": [bitmap(s) for s in sets],
                 "piece": -1,
             })
         for i in range(0, slots, piece) if total.any() else ():
@@ -325,7 +333,7 @@ def _runs(texts: DataFrame, ranks: np.ndarray, members: int, percent: int, words
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
-        for b in batches:
+        for b in _slices(batches, 4_000):
             members, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for t in b["_text"].drop_duplicates():
                 v = shingler.shingles(t)
@@ -407,7 +415,7 @@ def _sets_of(wanted: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
-        for b in batches:
+        for b in _slices(batches):
             at = b["_h"].to_numpy().view(np.uint64) >> shift
             b = b[(seen[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1].drop_duplicates("_h")
             sets = [shingler.shingles(t) for t in b["_text"]]
@@ -602,11 +610,11 @@ def dedupe(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_i
     one named ``_turn`` is left out.
     """
     found = grouped(docs, percent, words, key, text).filter(F.col("c").isNotNull())
-    first = found.groupBy("c").agg(F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), "h")).alias("x")).select("x.k", "x.h")
+    first = found.groupBy("c").agg(F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), "h")).alias("x")).select(F.col("x.k").alias("_first_key"), F.col("x.h").alias("_first_hash"))
     columns = [c for c in docs.columns if c != "_turn"]
     rows = docs.select(*(F.col(f"`{c}`") for c in columns), F.xxhash64(text).alias("_turn"), F.col(key).alias("_turn_key"))
     empty = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)) == 0
-    kept = rows.join(first, F.col("_turn_key").eqNullSafe(F.col("k")) & (F.col("_turn") == F.col("h")), "left_semi")
+    kept = rows.join(first, F.col("_turn_key").eqNullSafe(F.col("_first_key")) & (F.col("_turn") == F.col("_first_hash")), "left_semi")
     turn = F.row_number().over(Window.partitionBy("_turn_key", "_turn").orderBy(F.lit(0)))
     kept = kept.withColumn("_turn", turn).filter("_turn = 1").select(*(F.col(f"`{c}`") for c in columns))
     return kept.unionByName(docs.select(*(F.col(f"`{c}`") for c in columns)).filter(empty))

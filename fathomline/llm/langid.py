@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.llm.shared import only_cache
+
 #: Label of texts without any letter.
 UNDETERMINED = "und"
 #: Subwords are runs of so many bytes.
@@ -50,15 +52,15 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Calibrated probabilities of each label for each whole text: logits are averaged over its subwords."""
         logits = np.tile(self.bias, (len(texts), 1)).astype(float)
-        encoded = [f" {t} ".lower().encode() for t in texts]
         i = 0
         while i < len(texts):  # a few texts at once, and at least one
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(encoded[j]) <= 1 << 18):
-                size += len(encoded[j])
+            j, size, encoded = i, 0, []
+            while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 18):
+                encoded.append(f" {texts[j]} ".lower().encode())
+                size += len(encoded[-1])
                 j += 1
-            data = np.frombuffer(b"".join(encoded[i:j]), np.uint8)
-            ends = np.cumsum([len(e) for e in encoded[i:j]])
+            data = np.frombuffer(b"".join(encoded), np.uint8)
+            ends = np.cumsum([len(e) for e in encoded])
             total, count = np.zeros((j - i, len(self.labels))), np.zeros(j - i)
             for n in GRAMS:
                 for start in range(0, len(data), 1 << 18):  # a very long text in slices, which overlap by n - 1 bytes
@@ -171,6 +173,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     @F.pandas_udf("label int, score double")
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        only_cache()
         for texts in batches:
             p = model.scores(texts.tolist()) if len(texts) else np.zeros((0, 1))
             yield pd.DataFrame({"label": p.argmax(1).astype(np.int32), "score": p.max(1)})

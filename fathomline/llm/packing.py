@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from fathomline.llm.shared import cut, process_cache
 
 #: Words of a worker's cache; two generations are kept.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 class Encoder:

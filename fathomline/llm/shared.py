@@ -67,3 +67,10 @@ def word_count(text: Column) -> Column:
 def process_cache(name: str) -> dict:
     """A dict that lasts as long as this Python worker, whatever is unpickled again for each task."""
     return sys.__dict__.setdefault("_fathomline_caches", {}).setdefault(name, {})
+
+
+def only_cache(name: str = "") -> None:
+    """Frees what other operators keep in this Python worker: workers outlive stages, and their memory is the executor's."""
+    caches = sys.__dict__.setdefault("_fathomline_caches", {})
+    for other in [k for k in caches if k != name]:
+        del caches[other]
