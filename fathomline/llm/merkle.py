@@ -97,27 +97,32 @@ def fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint")
     return docs.withColumn(name, written(tree(F.coalesce(F.col(text), F.lit("")))))
 
 
+def _joinable(key: str) -> Column:
+    return F.coalesce(F.concat(F.lit("1"), F.col(key).cast("string")), F.lit("0"))
+
+
 def chain(docs: DataFrame, key: str, text: str) -> DataFrame:
     """For each different row by ``key`` and text hash, its size and the row before it in descending order of ``key``.
 
-    NULL keys come last, rows of one key by text hash; before the first comes the last. ``k``, ``t``, ``n`` and ``pk``, ``pt``,
-    ``pn``. Ordered by a range sort: rows are numbered by partition, and the first of each is tied to the last before it.
+    NULL keys come last, rows of one key by text hash; before the first comes the last. ``u`` (the key as text that is never
+    NULL, so that joins and windows share a partitioning), ``t``, ``n`` and ``pu``, ``pt``, ``pn``. Ordered by a range sort: rows are
+    numbered by partition, and the first of each is tied to the last before it.
     """
-    ids = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.length(text).alias("n")).dropDuplicates(["k", "t"])
-    ids = ids.orderBy(F.desc_nulls_last("k"), "t").withColumn("at", F.monotonically_increasing_id())
+    ids = docs.select(F.col(key).alias("k"), _joinable(key).alias("u"), F.xxhash64(text).alias("t"), F.length(text).alias("n")).dropDuplicates(["u", "t"])
+    ids = ids.orderBy(F.desc_nulls_last("k"), "t").withColumn("at", F.monotonically_increasing_id()).drop("k")
     ids = cut(ids, "merkle-order")
     ends = ids.groupBy(F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
     every = Window.partitionBy(F.lit(0)).orderBy("part")  # a row per partition
     before = F.coalesce(F.lag("last").over(every), F.max("last").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = ends.select(F.col("first").alias("at"), before.alias("tied"))
     tied = ids.join(heads, "at", "left").withColumn("at", F.coalesce("tied", F.col("at") - 1)).drop("tied")
-    return cut(tied.join(ids.select("at", F.col("k").alias("pk"), F.col("t").alias("pt"), F.col("n").alias("pn")), "at").drop("at"), "merkle-chain")
+    return cut(tied.join(ids.select("at", F.col("u").alias("pu"), F.col("t").alias("pt"), F.col("n").alias("pn")), "at").drop("at"), "merkle-chain")
 
 
 def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints each text and its edit: its last half replaced by the head of the next document, descending ``key``.
 
-    Returns ``key``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``. The edit
+    Returns ``key``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``, ``next_id``. The edit
     replaces the last ``floor(n / 2)`` code points by the first as many, or all, of the next document; the one after the last is
     the first. Texts are shuffled by key once, and heads of half a text once more.
 
@@ -127,21 +132,22 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = chain(rows, "k", "text")
-    same = lambda a, b: F.col(f"a.{a}").eqNullSafe(F.col(f"b.{b}"))
-    rows = rows.withColumn("t", F.xxhash64("text"))
-    placed = rows.alias("a").join(order.alias("b"), same("k", "k") & (F.col("a.t") == F.col("b.t"))).select("a.*", "n", "pk", "pt", "pn")
-    once = F.row_number().over(Window.partitionBy("k", "t").orderBy("n"))
+    rows = rows.withColumns({"u": _joinable("k"), "t": F.xxhash64("text")})
+    # The window, and the join after it, need the rows as this join has dealt them; both read the same columns, so texts are dealt once.
+    placed = rows.join(order.hint("merge"), ["u", "t"])
+    once = F.row_number().over(Window.partitionBy("u", "t").orderBy("n"))
     heads = placed.withColumn("turn", once).filter("turn = 1").select(
-        "pk", "pt", F.substring("text", F.lit(1), F.floor(F.col("pn") / 2).cast("int")).alias("head"), F.array_distinct(short(tree(F.col("text")))).alias("next"),
+        F.col("pu").alias("u"), F.col("pt").alias("t"), F.substring("text", F.lit(1), F.floor(F.col("pn") / 2).cast("int")).alias("head"),
+        F.array_distinct(short(tree(F.col("text")))).alias("next"), F.col("k").alias("next_key"),
     )
-    both = placed.drop("pk", "pt", "pn").alias("a").join(heads.alias("b"), same("k", "pk") & (F.col("a.t") == F.col("b.pt"))).select("k", "n", "text", "head", "next")
+    both = placed.select("u", "t", "k", "n", "text").join(heads, ["u", "t"])
     kept = F.col("n") - F.floor(F.col("n") / 2).cast("int")
     both = both.withColumn("edit", F.concat(F.substring("text", F.lit(1), kept), F.col("head")))
-    both = both.select("k", "n", "next", F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), tree(F.col("text")).alias("x"), tree(F.col("edit")).alias("y"))
+    both = both.select("k", "n", "next", "next_key", F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), tree(F.col("text")).alias("x"), tree(F.col("edit")).alias("y"))
     own, edit = F.array_distinct(short(F.col("x"))), F.array_distinct(short(F.col("y")))
-    both = both.select("k", "n", "edited_sha256", "next", written(F.col("x")).alias("f"), written(F.col("y")).alias("g"), own.alias("own"), edit.alias("edit"))
+    both = both.select("k", "n", "edited_sha256", "next", "next_key", written(F.col("x")).alias("f"), written(F.col("y")).alias("g"), own.alias("own"), edit.alias("edit"))
     return both.select(
         F.col("k").alias(key), F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.col("f").alias("fingerprint"), F.col("g").alias("edited_fingerprint"),
         F.when(F.left("f", F.lit(32)) == F.left("g", F.lit(32)), 1.0).otherwise(_shared(F.col("own"), F.col("edit"))).alias("near_edited"),
-        _shared(F.col("own"), F.col("next")).alias("near_next"),
+        _shared(F.col("own"), F.col("next")).alias("near_next"), F.col("next_key").alias("next_id"),
     )
