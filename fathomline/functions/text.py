@@ -86,12 +86,16 @@ SENTENCE = r"(?<=[.?!])\s+"
 
 def sentence_chunks(c: Column, size: int = 100, overlap: int = 20) -> Column:
     """TXT09: chunks of ``size`` sentences that share ``overlap`` with the one before; no chunk lies within another."""
-    parts = F.filter(F.split(text(c), SENTENCE), lambda x: x != "")
     step = size - overlap
-    last = F.greatest(F.ceil((F.size(parts) - overlap) / F.lit(step)).cast("int") - 1, F.lit(0))
-    return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(parts, i * step + 1, size), " "))).otherwise(
-        F.array().cast("array<string>")
-    )
+
+    def cut(parts: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(parts) - overlap) / F.lit(step)).cast("int") - 1, F.lit(0))
+        chunk = lambda i: F.array_join(F.slice(parts, i * step + 1, size), " ")
+        return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(0), last), chunk)).otherwise(F.array().cast("array<string>"))
+
+    # A lambda's variable holds the sentences, so the text is split once and not for each chunk.
+    parts = F.filter(F.split(text(c), SENTENCE), lambda x: x != "")
+    return F.element_at(F.transform(F.array(parts), cut), 1)
 
 
 def clean_document(c: Column) -> Column:
