@@ -521,6 +521,8 @@ def grouped(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_
         stars = at.join(centre, "run").select("k", "c", F.explode(F.filter("o", lambda o: o["c"] != F.col("c"))).alias("o"))
         stars = stars.select(F.col("k").alias("a"), F.col("o.k").alias("t")).distinct()
         stars = cut(_plausible(stars, maps, percent), "jaccard-stars")
+        if stars.isEmpty():
+            continue
         wanted = stars.select(F.col("a").alias("k")).union(stars.select("t")).distinct().join(maps.select("k", "h"), "k")
         found = verify(stars, stars.select("t", F.col("t").alias("k")).distinct(), _sets_of(cut(wanted, "jaccard-wanted"), texts, words), percent)
         links = cut(found if links is None else links.unionByName(found), "jaccard-found")
@@ -569,6 +571,8 @@ def grouped(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_
 
     dealt = spread.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j")
     asks = cut(dealt.mapInPandas(pairs, "a long, t long").distinct(), "jaccard-asks")
+    if asks.isEmpty():
+        return _labelled(survey, classes, comps, key)
     # Components in parts of bounded size; a component's asker asks all its parts.
     asked = comps.join(asks.select(F.col("t").alias("c")).distinct(), "c").join(size, "c")
     place = F.pmod(F.xxhash64(F.lit(1), "k"), F.ceil(F.col("members") * 2 / TARGET))
@@ -577,8 +581,12 @@ def grouped(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_
     asks = cut(asks, "jaccard-asks")
     wanted = asks.select(F.col("a").alias("k")).union(asked.select("k")).distinct().join(maps.select("k", "h"), "k")
     late = verify(asks, asked.select("t", "k"), _sets_of(cut(wanted, "jaccard-wanted"), texts, words), percent)
-    comps = components(maps.select("k"), links.unionByName(late))
+    comps = components(maps.select("k"), late if links is None else links.unionByName(late))
+    return _labelled(survey, classes, comps, key)
 
+
+def _labelled(survey: DataFrame, classes: DataFrame, comps: DataFrame, key: str) -> DataFrame:
+    """Each row of the survey with its component and the component's least key."""
     merged = classes.join(comps, "k", "left").withColumn("c", F.coalesce("c", "k"))
     least = merged.groupBy("c").agg(F.min("least").alias("component_id"))
     by_class = cut(merged.join(least, "c").select("k", "c", "component_id"), "jaccard-classes")
@@ -586,6 +594,7 @@ def grouped(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key))
     return found.select(key, "h", "n_shingles", "c", own.alias("component_id"))
 
+
 def join(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of documents whose sets of ``words``-word shingles link: ``100 * intersection >= percent * union``.
 
