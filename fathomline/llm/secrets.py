@@ -13,8 +13,9 @@ KINDS = ["assign", "access", "hex", "entropy"]
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-#: Candidate strings of the entropy scan: runs of base64, base64url and hexadecimal characters.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: Candidate strings of the entropy scan: runs of base64, base64url and hexadecimal characters, with padding. An equals sign that more
+#: characters follow separates a name from its value; both are candidates.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}+(?![A-Za-z0-9+/_-]))?+"
 #: Characters of a window.
 WINDOW = 20
 #: By class of the candidate's characters: the pattern that all of it fits, and the least entropy, in bits a character, of its

@@ -291,6 +291,16 @@ def test_found_and_allowed(spark):
     assert got == {1: "entropy:4:29", 2: "", 3: "", 4: ""}
 
 
+def test_found_after_equals_sign(spark):
+    value = "Zk3Lq9Vb7Rt2Yp8Wd4HsMn6Xc"
+    texts = [f"KEY={value} end", f"https://a.b/c?sig={value}&x=1", f"NAME_OF_20_CHARACTERS={value}", f"AccountKey={value}==;b", f"AWS_SECRET_ACCESS_KEY=={value}="]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(df).collect()}
+    ends = [len(value)] * 3 + [len(value) + 2, len(value) + 1]
+    assert got == {i: f"entropy:{t.index(value)}:{t.index(value) + n}" for i, (t, n) in enumerate(zip(texts, ends, strict=True))}
+    assert not any(value in r["text"] for r in secrets.redact(df).collect())
+
+
 def test_redact(spark, odd):
     df = spark.createDataFrame([(1, "a token=abcdefghijklmnop b"), (2, None), (3, "x"), (4, 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" é')], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
