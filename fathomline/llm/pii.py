@@ -18,8 +18,10 @@ EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Tokens that may identify someone: those with a digit or an at sign.
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# A digit group of a number written with spaces: it starts where a group ended, and signs may follow at its end.
+_GROUP = r"(?<=[0-9)])\x20\(?[0-9][0-9().-]*+[^\s\p{L}0-9@]*+(?!\S)"
+#: Strings that may identify someone: tokens with a digit or an at sign, and up to 19 digit groups joined by single spaces.
+CANDIDATE = rf"(?<!\S)[^\s0-9@]*+(?:(?<!\p{{L}})[0-9][0-9().-]*+(?:{_GROUP}){{1,18}}+|[0-9@]\S*+)"
 
 
 @dataclass(frozen=True)
@@ -77,6 +79,17 @@ def _plausible(match: Column, rank: Column) -> Column:
     )
 
 
+def _longest(match: Column, rank: Column) -> Column:
+    """The first digit groups of a find, as many as still look like the kind; NULL if not even the first does.
+
+    Mail and network addresses have no spaces. Beyond 19 digits, a card is one token.
+    """
+    groups = F.split(match, " ")
+    starts = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    fits = lambda s: _plausible(s, rank) & (~F.contains(s, F.lit(" ")) | (rank >= 2) & (F.length(_digits(s)) <= 19))
+    return F.get(F.filter(starts, fits), 0)
+
+
 def score_patterns(edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Confidence of ``pattern`` for ``rank`` from ``edges`` of ``pattern``, ``instance`` and ``rank`` (-1: not yet known).
 
@@ -104,9 +117,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Set
     """``key``, ``row``, ``base`` and ``found`` spans of each row.
 
     Base spans are the matches of the fixed patterns. They are the seeds: the words before them, :func:`_contexts`, are
-    patterns, and every token with a digit or at sign is an instance of the patterns before it. :func:`score_patterns` finds
-    patterns that are followed by personal data nearly always; other tokens after those are added to ``found`` with the
-    kind of the pattern, if they look the part and touch no base span. Texts are read once; what goes on is spans and counts.
+    patterns, and every token with a digit or at sign is an instance of the patterns before it; digit groups with single spaces
+    between them are one instance. :func:`score_patterns` finds patterns that are followed by personal data nearly always; other
+    instances after those are added to ``found`` with the kind of the pattern, if they look the part and touch no base span: of
+    digit groups, as many as do (:func:`_longest`). Texts are read once; what goes on is spans and counts.
 
     Offsets count code points of the whole text; ends are exclusive. NULL texts count as empty. Repeated rows are rows of
     their own but one instance of their patterns. An empty table gives no rows. Other columns are ignored.
@@ -115,20 +129,25 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Set
     tokens = spans.only_if(F.col("_text").rlike("[0-9@]"), spans.matches(F.col("_text"), CANDIDATE, -1))
     rows = docs.select(F.col(key), body.alias("_text")).select(key, base_spans(F.col("_text")).alias("base"), tokens.alias("tokens"))
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "pii-spans")
-    touching = lambda t: F.filter(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    # Tokens inside a base span stand for it once: the one that the span starts in.
+    # Of a number written with spaces, the first group decides whether it is in a base span; it ends before the next one.
     places = rows.filter(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t"))
-    places = places.select("row", "t", touching(F.col("t")).alias("in_base"))
+    places = places.withColumn("head", F.col("t.start") + F.length(F.substring_index("t.match", " ", 1)))
+    touching = F.filter("base", lambda b: (b["start"] < F.col("head")) & (F.col("t.start") < b["end"]))
+    later = F.array_min(F.transform(F.filter("base", lambda b: (b["start"] >= F.col("head")) & (b["start"] < F.col("t.end"))), lambda b: b["start"]))
+    whole = F.rtrim(F.substring(F.col("t.match"), F.lit(1), (F.coalesce(later, F.col("t.end")) - F.col("t.start")).cast("int")))
+    places = places.select("row", "t", whole.alias("whole"), touching.alias("in_base"))
+    # Tokens inside a base span stand for it once: the one that the span starts in.
     first = F.exists("in_base", lambda b: b["start"] >= F.col("t.start"))
     places = places.filter((F.size("in_base") == 0) | first).select(
-        "row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.coalesce(F.get(F.array_sort("in_base"), 0)["match"], F.col("t.match")).alias("match"),
+        "row", F.col("t.start").alias("start"), F.coalesce(F.get(F.array_sort("in_base"), 0)["match"], F.col("whole")).alias("match"),
         F.coalesce(F.get(F.array_sort("in_base"), 0)["rank"], F.lit(-1)).alias("rank"), F.explode(_contexts(F.col("t.left"))).alias("pattern"),
     )
     accepted = score_patterns(places.select("pattern", F.xxhash64("match").alias("instance"), "rank"), settings)
     lead, tail = F.length(F.regexp_extract("match", r"^[^\p{L}0-9+]*", 0)), F.length(F.regexp_extract("match", r"[^\p{L}0-9]*$", 0))
-    start, end = F.col("start") + lead, F.col("end") - tail
+    start, end = F.col("start") + lead, F.col("start") + F.length("match") - tail
     new = (
-        places.filter("rank < 0").drop("rank").join(accepted, "pattern").filter((end - start >= settings.shortest) & _plausible(F.col("match"), F.col("rank")))
+        places.filter("rank < 0").drop("rank").join(accepted, "pattern").withColumn("match", _longest(F.col("match"), F.col("rank")))
+        .filter(F.col("match").isNotNull() & (end - start >= settings.shortest))
         .groupBy("row", start.alias("start"), end.alias("end"))
         .agg(F.max_by("rank", F.struct("confidence", -F.col("rank"))).alias("rank"))
         .withColumns({"match": F.lit(""), "left": F.lit("")})

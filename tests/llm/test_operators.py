@@ -275,6 +275,20 @@ def test_bootstrapped_identifiers(spark):
     assert got[7] == "phone:10:21" and got[8] == "" and all(got[i].startswith("phone") for i in range(6))
 
 
+def test_bootstrapped_identifiers_with_spaces(spark):
+    seeds = [f"Dear reader, my phone: +1 (20{i}) 555-010{i} thanks" for i in range(6)] + [f"my card: 4111 1111 1111 1111{'' if i else '.'} ok" for i in range(2)]
+    seeds += ["my card: 5500 0000 0000 0004 ok", "my card: 4012 8888 8888 1881 ok"]
+    asked = {
+        "or my phone: 555 0109 9 today": "555 0109 9", "my phone: 555 010 9999": "555 010 9999", "my phone: (555) 123-4567, ok": "555) 123-4567", "my phone: 555.010 99-99. Then 12": "555.010 99-99",
+        "my phone: 5550109999 12345678 ok": "5550109999", "my phone: 555 0109 2nd floor": "555 0109", "my card: 4111 1111 1111 1112 ok": "4111 1111 1111 1112", "my phone: 555 12 and 34 5": "",
+        "my phone: 555 10.0.0.1": "10.0.0.1",
+    }
+    df = spark.createDataFrame(list(enumerate([*seeds, *asked])), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(df).collect()}
+    for i, (t, part) in enumerate(asked.items(), len(seeds)):
+        assert [t[slice(*map(int, s.split(":")[1:]))] for s in got[i].split(",") if s] == [part] * bool(part), t
+
+
 def brute_entropy(s, w=20):
     return max((-sum(n / w * math.log2(n / w) for n in Counter(s[i : i + w]).values()) for i in range(len(s) - w + 1)), default=0.0)
 
