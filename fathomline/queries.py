@@ -308,6 +308,16 @@ def jon02_claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.ranked_evidence(claims, evidence).select("claim_id", "doc_index", "evidence_rank")
 
 
+@query(f"""SELECT a.vec_id AS claim_id, b.vec_id AS doc_index, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id)::INT AS evidence_rank
+    FROM embeddings a JOIN embeddings b ON a.label = b.label QUALIFY evidence_rank <= 3""")
+def jon02_claim_evidence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector asks, and every vector of its label is evidence."""
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "query_id")
+    claims = e.select("query_id", c("vec_id").alias("claim_id"), c("embedding").alias("claim_vec"))
+    evidence = e.select("query_id", c("vec_id").alias("doc_index"), c("embedding").alias("evidence_vec"))
+    return joins.ranked_evidence(claims, evidence).select("claim_id", "doc_index", "evidence_rank")
+
+
 @query("SELECT l_orderkey, l_linenumber, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
 def jon03_evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     indices = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("doc_index"), F.lit(0).alias("query_id"), "l_linenumber")
@@ -580,6 +590,15 @@ def str03_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.advanced(old, ran, "b").drop("updated_at")
 
 
+@query("""SELECT c_custkey + 10000 AS company_code, CASE WHEN c_custkey % 3 = 0 THEN 5 WHEN c_custkey % 5 = 0 THEN 0 ELSE 5 + c_custkey % 7 END::BIGINT AS next_offset, c_custkey % 3 = 0 OR c_custkey % 5 = 0 AS done FROM customer""")
+def str03_cursor_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cursor of each customer."""
+    x = table(spark, sf_dir, "customer").select((c("c_custkey") + 10000).alias("company_code"), "c_custkey")
+    old = x.select("company_code", F.lit(5).cast("long").alias("next_offset"), (c("c_custkey") % 3 == 0).alias("done"), F.lit("a").alias("updated_at"))
+    ran = x.select("company_code", (c("c_custkey") % 7).alias("n"), (c("c_custkey") % 5 == 0).alias("exhausted"))
+    return listing.advanced(old, ran, "b").drop("updated_at")
+
+
 @query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS at, event_type, count(*) AS n FROM events GROUP BY ALL")
 def str_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", c("ts").cast("timestamp"))
