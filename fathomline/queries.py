@@ -84,6 +84,8 @@ scalar("txt11_claims", "documents", "doc_id", claims=(lambda: F.array_join(tx.cl
 scalar("txt12_evidence_text", "documents", "doc_id", t=(lambda: tx.evidence_text(c("text")), f"trim({WS.format('left(trim(text, chr(32) || chr(10)), 1500)')})"))
 scalar("txt13_full_sentence", "documents", "doc_id", t=(lambda: tx.to_full_sentence(F.substring("text", 1, 500)),
        r"CASE WHEN regexp_matches(left(text, 500), '[.?!]') THEN regexp_extract(trim(left(text, 500), chr(32) || chr(10)), '^(.*[.?!])', 1, 's') ELSE trim(left(text, 500), chr(32) || chr(10)) END"))
+scalar("txt13_full_sentence_whole", "documents", "doc_id", t=(lambda: tx.to_full_sentence(c("text")),
+       r"CASE WHEN regexp_matches(text, '[.?!]') THEN regexp_extract(trim(text, chr(32) || chr(10)), '^(.*[.?!])', 1, 's') ELSE trim(text, chr(32) || chr(10)) END"))
 scalar("txt14_strip_preface", "benchmark", "item_id", t=(lambda: tx.strip_preface(F.concat(F.lit("Here is the SNAPSHOT : "), c("text"))), "trim(text, chr(32) || chr(10))"))
 HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 scalar("txt15_website", "pages", "page_id", n=(lambda: F.lower(tx.website_name(c("url"))),
@@ -292,6 +294,15 @@ COSINE = ("list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x:
           " * list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))")
 
 
+@query("""SELECT a.doc_id, round(len(list_intersect(list_distinct(string_split(a.text, ' ')), list_distinct(string_split(b.text, ' '))))::DOUBLE / len(list_distinct(list_concat(string_split(a.text, ' '), string_split(b.text, ' ')))), 6) AS j
+    FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
+def mth07_jaccard_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of each document against those of the next one."""
+    a = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("words"))
+    b = a.select((c("doc_id") - 1).alias("doc_id"), c("words").alias("next"))
+    return a.join(b, "doc_id").select("doc_id", F.round(scores.jaccard(c("words"), c("next")), 6).alias("j"))
+
+
 @query(f"SELECT a.vec_id, round({COSINE}, 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def vec01_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "embeddings")
