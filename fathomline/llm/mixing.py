@@ -107,7 +107,8 @@ class Draw:
         placed = self._placed(rows)
         # Where each block ends in the permuted order of its source's blocks: a row per block.
         order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 1), "s", "block"), "block")
-        blocks = placed.groupBy("s", "block", "passes", "quota").agg(F.sum("_size").alias("words"))
+        # Blocks of empty texts alone have no place, so drawn places are the first ones.
+        blocks = placed.groupBy("s", "block", "passes", "quota").agg(F.sum("_size").alias("words")).filter("words > 0")
         blocks = (
             blocks.withColumn("place", F.row_number().over(order) - 1)
             .withColumn("n", F.count("*").over(Window.partitionBy("s")))
@@ -152,7 +153,7 @@ class Draw:
 
     def applied(self, tagged: DataFrame) -> DataFrame:
         """Adds to each row ``_spins``, how often it is drawn whole, and ``_rest``, the words of a last, cut draw."""
-        at = self._placed(tagged).join(self.blocks, ["s", "block"])
+        at = self._placed(tagged).join(self.blocks, ["s", "block"], "left")
         before = (self._order() < F.col("edge")).cast("long")
         spins = F.col("spins") + F.when(F.col("edge").isNull(), 0).otherwise(before)
         return at.withColumns({

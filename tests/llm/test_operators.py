@@ -94,6 +94,14 @@ def test_mix_rows(docs):
 
 
 # ----------------------------------------------------------------------------------------------------------------------- jaccard
+def test_mix_empty_texts(spark):
+    rows = [(i, "" if i % 3 else "w " * 500, None, "ab"[i % 2], None) for i in range(240)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.taken(df).collect()
+    assert len(got) == len(rows) and all((r["taken"] > 0) == (len(r["shards"]) > 0) for r in got)
+    assert sum(len(r["text"].split()) for r in mixing.mix(df).collect()) == sum(r["taken"] for r in got) > 0
+
+
 def brute_components(rows, percent=80):
     sets = []
     for _, t in rows:
