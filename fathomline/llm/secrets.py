@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,52 +27,65 @@ CLASSES = {
     "alphanumeric": (r"^[A-Za-z0-9]+$", 3.6),
     "base64": (r"^[A-Za-z0-9+/_=-]+$", 3.8),
 }
-#: Candidates that fit one of these are never flagged.
+#: Candidates that fit one of these are never flagged. Repeated groups are possessive: Java's other ones recurse for each repeat.
 ALLOWED = (
-    r"^[0-9+/_=-]+$",  # numbers
-    r"^[A-Za-z+/_=-]+$",  # words, paths and names without a digit
+    r"^[0-9+/_=-]++$",  # numbers
+    r"^[A-Za-z+/_=-]++$",  # words, paths and names without a digit
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUIDs
-    r"^(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4})(?:[-_/+](?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4}))*$",  # names with parts and versions
-    r"^(.{1,8})\1+.{0,8}$",  # repetitions
+    r"^(?:[A-Za-z]++[0-9]{0,4}+|[0-9]{1,4}+)(?:[-_/+](?:[A-Za-z]++[0-9]{0,4}+|[0-9]{1,4}+))*+$",  # names with parts and versions
+    r"^(.{1,8})\1++.{0,8}$",  # repetitions
     r"(?i)0123456789|abcdefgh|example|placeholder|changeme|xxxx",  # stand-ins
 )
+#: Where a candidate falls into parts, which are looked at too: a key may stand in a path or behind a prefix.
+SEPARATORS = "[-+/_]"
 
 
 def entropy(s: Column, window: int = WINDOW) -> Column:
     """The greatest Shannon entropy, in bits, of any ``window`` characters in a row of ``s``; 0 if ``s`` is shorter.
 
-    The entropy of a window is ``log2(w) - sum(c * log2(c)) / w`` over its character counts ``c``. From one window to the
-    next, one character leaves and one comes, so only their two terms of the sum change.
+    The entropy of a window is ``log2(w) - sum(c * log2(c)) / w`` over its character counts ``c``. The counts of the string's
+    different characters go along: from one window to the next one character leaves and one comes, so two counts and their
+    two terms of the sum change. Time grows with length times the number of different characters.
     """
-    def term(c: Column) -> Column:
-        return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0)
+    terms = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)))
+    term = lambda n: F.get(terms, n)
 
-    def among(part: Column, ch: Column) -> Column:
-        return F.length(part) - F.length(F.replace(part, ch, F.lit("")))
+    def walk(came: Column, letters: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            gone, counts = F.coalesce(F.get(came, acc["n"] - window), F.lit(0)), acc["counts"]  # 0 stands before the string
+            more, less = F.element_at(counts, x), F.get(counts, gone - 1)
+            left = F.when(gone > 0, term(less) - term(less - 1)).otherwise(0.0)
+            total = F.when(x == gone, acc["sum"]).otherwise(acc["sum"] + term(more + 1) - term(more) - left)
+            moved = F.when(x == gone, counts).otherwise(F.transform(counts, lambda c, i: c + (i + 1 == x).cast("int") - (i + 1 == gone).cast("int")))
+            bits = F.log2(F.lit(float(window))) - total / window
+            best = F.when(acc["n"] >= window - 1, F.greatest(acc["best"], bits)).otherwise(acc["best"])
+            return F.struct(moved.alias("counts"), total.alias("sum"), best.alias("best"), (acc["n"] + 1).alias("n"))
 
-    def step(acc: Column, i: Column) -> Column:
-        came, gone = F.substring(s, i, F.lit(1)), F.substring(s, i - window, F.lit(1))
-        full = F.substring(s, F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window)))
-        rest = F.when(i > window, F.substring(full, F.lit(2), F.lit(window))).otherwise(full)
-        out, inn = among(full, gone), among(rest, came)
-        total = acc["sum"] - F.when(i > window, term(out) - term(out - 1)).otherwise(0.0) + term(inn + 1) - term(inn)
-        bits = F.log2(F.lit(float(window))) - total / window
-        best = F.when(i >= window, F.greatest(acc["best"], bits)).otherwise(acc["best"])
-        return F.struct(total.alias("sum"), best.alias("best"))
+        start = F.struct(F.array_repeat(F.lit(0), letters).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("n"))
+        return F.aggregate(came, start, step, lambda acc: acc["best"])
 
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda acc: acc["best"])
-    return F.when(F.length(s) >= window, walk).otherwise(0.0)
+    def coded(chars: Column) -> Column:
+        # Each character as its place in the alphabet, from 1.
+        places = lambda alphabet: F.transform(chars, lambda c: F.array_position(alphabet, c).cast("int"))
+        return spans.let(F.array_distinct(chars), lambda alphabet: spans.let(places(alphabet), lambda came: walk(came, F.size(alphabet))))
 
+    return F.when(F.length(s) >= window, spans.let(F.split(s, ""), coded)).otherwise(0.0)
 
-def _suspect(s: Column) -> Column:
+
+def _suspect_alone(s: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | s.rlike(pattern)
     least = F.lit(None).cast("double")
     for pattern, bits in reversed(CLASSES.values()):
         least = F.when(s.rlike(pattern), F.lit(bits)).otherwise(least)
-    return F.when(allowed, F.lit(False)).otherwise(entropy(s) >= least)
+    return F.when(allowed, F.lit(False)).otherwise(F.coalesce(entropy(s) >= least, F.lit(False)))
+
+
+def _suspect(s: Column) -> Column:
+    """Whether a candidate as a whole, or one of its parts of a window or more, is rich enough and not on the allow-list."""
+    parts = F.filter(F.split(s, SEPARATORS), lambda p: (F.length(p) >= WINDOW) & (p != s))
+    return F.exists(F.concat(F.array(s), parts), _suspect_alone)
 
 
 def find(text: Column) -> tuple[Column, Column]:
@@ -111,18 +126,19 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     """Replaces every found span in ``text`` by ``mark``; overlapping spans become one mark. Other columns stay."""
     rows = scan(docs, text)
 
-    def step(acc: Column, s: Column) -> Column:
+    part = lambda start, end: F.substring(F.col(text), start.cast("int") + 1, F.greatest(end - start, F.lit(0)).cast("int"))
+
+    def piece(s: Column, at: Column) -> Column:
         # What stands between the end so far and this span, then a mark unless the span continues the last.
-        before = F.substring(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        piece = F.when(s["end"] <= acc["at"], F.lit("")).otherwise(
-            F.concat(before, F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
-        )
-        return F.struct(F.greatest(acc["at"], s["end"].cast("int")).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    slim = F.transform(F.array_sort("found"), lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text))))
-    clean = F.when(F.size("found") > 0, F.aggregate(slim, start, step, rest)).otherwise(F.col(text))
+        return F.when(s["end"] <= at, F.lit("")).otherwise(F.concat(part(at, s["start"]), F.when(s["start"] >= at, F.lit(mark)).otherwise(F.lit(""))))
+
+    def replaced(slim: Column, reached: Column) -> Column:
+        pieces = F.array_join(F.zip_with(slim, F.slice(reached, F.lit(1), F.size(slim)), piece), "")
+        return F.concat(pieces, F.substring(F.col(text), F.element_at(reached, -1).cast("int") + 1, F.length(F.col(text))))
+
+    slim = F.transform(F.array_sort("found"), lambda s: F.struct(s["start"], s["end"]))
+    marked = spans.let(slim, lambda s: spans.let(spans.running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), lambda reached: replaced(s, reached)))
+    clean = F.when(F.size("found") > 0, marked).otherwise(F.col(text))
     return rows.select(*(clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
 
 

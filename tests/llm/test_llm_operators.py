@@ -307,6 +307,33 @@ def test_entropy(spark):
     assert all(r["h"] == pytest.approx(brute_entropy(r["t"])) for r in df.collect())
 
 
+def test_long_candidates(spark, tmp_path):
+    """A megabyte without a space, repeated groups, random strings, many matches: no recursion, time in proportion to length."""
+    import base64
+    import random
+    import time
+
+    rnd = random.Random(1)
+    key = base64.b64encode(rnd.randbytes(750_000)).decode()
+    texts = ["a1/" * 10**6, key, "w" * 10**6, "me@a.io 1.2.3.4 " * 20_000, "token=abcdefghijklmnop " * 5_000, "x " * 20 + key[:5_000]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "long"))
+    began, df = time.time(), spark.read.parquet(str(tmp_path / "long"))
+    got = {r["doc_id"]: r for r in secrets.digest(df).collect()}
+    assert got[0]["spans"] == got[2]["spans"] == got[3]["spans"] == "" and got[4]["n_assign"] == 5_000
+    assert got[1]["spans"] == f"entropy:0:{len(key)}" and got[5]["spans"] == "entropy:40:5040"
+    assert {r["doc_id"] for r in secrets.redact(df).filter("doc_id IN (1, 5)").filter("text LIKE '%[SECRET]'").collect()} == {1, 5}
+    assert df.filter("doc_id = 5").select(secrets.entropy(F.substring("text", 41, 5000)).alias("h")).first()["h"] == pytest.approx(brute_entropy(key[:5_000]))
+    assert merkle.edited(df).count() == langid.identify(df.withColumn("lang", F.lit("en"))).count() == len(texts)
+    assert time.time() - began < 120
+
+
+def test_parts_of_candidates(spark):
+    value = "Zk3Lq9Vb7Rt2Yp8Wd4HsMn6Xc"
+    texts = [f"/v1/example/{value}", "keys/3F2A9C4E7B1D8056AFE3B2C1", "prefix-example-of-names/and-more-of-them-2024", f"{value[:10]}-{value[10:20]}-abcdefgh-x"]
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: f"entropy:0:{len(texts[0])}", 1: f"entropy:0:{len(texts[1])}", 2: "", 3: ""}
+
+
 def test_found_and_allowed(spark):
     rows = [(1, "key Zk3Lq9Vb7Rt2Yp8Wd4HsMn6Xc end"), (2, "id 123e4567-e89b-12d3-a456-426614174000 end"), (3, "see path/to/some/long/file-name-v2/index1"), (4, "antidisestablishmentarianism " * 3)]
     got = {r["doc_id"]: r["spans"] for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
