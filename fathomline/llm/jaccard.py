@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,20 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomline.llm.shared import WORD, cut, only_cache
+from fathomline.llm.shared import WORD, cut, small_batches, tidy
 
 #: A set member is a 48-bit hash of a shingle, kept in so many bytes.
 WIDTH = 6
 #: Slots of the frequency sketch, as a power of two; it is what the driver gets, a byte a slot.
 SKETCH_BITS = 20
-#: Members of a tree's leaf, children of a node, members of a target in verification, askers of one, and of a run's part.
-LEAF, FAN, TARGET, ASKERS, PART = 16, 8, 512, 512, 4096
-#: Hash seeds of the centres that a run's classes ask, by round.
-CENTRES = ((0,), (1, 2, 3, 4, 5, 6))
-#: Runs of up to so many members are compared as one leaf, many runs at once.
-SMALL_RUN = 32
-#: Prefix members of one hash range, about, and the fewest ranges; a task sorts a range at once.
-IN_RANGE, LEAST_RANGES = 1 << 18, 64
+#: Bits of a bitmap for each member of its set, about.
+DENSITY = 8
+#: Members of a tree's leaf, children of a node, members of a target in verification, askers of one, and of a bundle's part.
+LEAF, FAN, TARGET, ASKERS, PART = 16, 8, 512, 512, 2048
+#: Members of other components that a class asks in each bundle, at most, before components as wholes are asked.
+FEW = 4
 
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0xD1342543DE82EF95
@@ -92,8 +91,8 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _bits(n: int) -> int:
-    """Bits of the bitmap of a set of ``n``: as many as members, rounded up to a power of two, 64 at least."""
-    return max(64, 1 << (int(n) - 1).bit_length())
+    """Bits of the bitmap of a set of ``n``: :data:`DENSITY` a member, rounded up to a power of two, 64 at least."""
+    return max(64, DENSITY << (int(n) - 1).bit_length())
 
 
 def bitmap(values: np.ndarray) -> bytes:
@@ -111,12 +110,29 @@ def _folded(maps: np.ndarray, words: int) -> np.ndarray:
     return maps
 
 
-def _slices(batches: Iterator[pd.DataFrame], rows: int = 1_000) -> Iterator[pd.DataFrame]:
-    """Batches in slices, so that few sets are in memory at once."""
-    only_cache()
-    for b in batches:
-        for i in range(0, len(b), rows):
-            yield b.iloc[i : i + rows]
+def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each run of rows that agree in ``by``, over the borders of batches. Cheap for many small groups."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def whole(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        keys = np.stack([columns[c] for c in by])
+        bounds = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), len(batch)]
+        if held and any(held[-1][c][-1] != columns[c][0] for c in by):
+            yield whole(held)
+            held = []
+        for start, end in itertools.pairwise(bounds):
+            held.append({c: v[start:end] for c, v in columns.items()})
+            if end < len(batch):
+                yield whole(held)
+                held = []
+    if held:
+        yield whole(held)
 
 
 class Tree:
@@ -246,41 +262,13 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(text).alias("_h"))
 
 
-def leaf_pairs(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, starts: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that may link inside each span of members: each span is a tree of one leaf, and all leaves are compared at once."""
-    length = np.repeat(ends - starts, ends - starts)
-    at = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends, strict=True)]) if len(starts) else np.zeros(0, np.int64)
-    later = length - (at - np.repeat(starts, ends - starts)) - 1
-    i = np.repeat(at, later)
-    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
-    near = (groups[i] != groups[j]) & (100 * sizes[i] >= percent * sizes[j]) & (100 * sizes[j] >= percent * sizes[i])
-    i, j = i[near], j[near]
-    widths = np.array([len(m) // 8 for m in maps], np.int64)
-    swap = widths[i] > widths[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for w, v in {(int(a), int(b)) for a, b in np.unique(np.stack([widths[i], widths[j]]), axis=1).T} if len(i) else ():
-        of = np.flatnonzero((widths[i] == w) & (widths[j] == v))
-        (ui, pi), (uj, pj) = np.unique(i[of], return_inverse=True), np.unique(j[of], return_inverse=True)
-        a = np.frombuffer(b"".join(maps[k] for k in ui), "<u8").reshape(-1, w)
-        b = _folded(np.frombuffer(b"".join(maps[k] for k in uj), "<u8").reshape(-1, v), w)
-        step = max(1, (1 << 20) // w)
-        for s in range(0, len(of), step):
-            x, y, p, q = a[pi[s : s + step]], b[pj[s : s + step]], i[of[s : s + step]], j[of[s : s + step]]
-            most = np.minimum(sizes[p] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), sizes[q] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-            fit = most >= overlap_needed(sizes[p], sizes[q], percent)
-            out_i.append(p[fit])
-            out_j.append(q[fit])
-    return np.concatenate(out_i), np.concatenate(out_j)
-
-
 def _class(members: np.ndarray) -> int:
     """A hash of a whole set: documents of one class have equal sets."""
     return int(mixed(mixed(members).sum(keepdims=True) ^ np.uint64(len(members))).view(np.int64)[0])
 
 
 def _surveyed(docs: DataFrame, key: str, text: str, words: int) -> tuple[DataFrame, np.ndarray]:
-    """A row per document - text hash ``h``, set size ``n``, class ``k``, bitmap ``map`` - and the ranks of the frequency sketch.
+    """A row per document - text hash ``h``, set size ``n``, class ``k`` - and the ranks of the frequency sketch.
 
     Sets themselves aren't kept, they take more room than texts. The sketch counts all members of all sets in slots by hash;
     each task gives its counts in pieces, after its rows, and the driver gets their sums. The rank of a slot is how much more
@@ -290,198 +278,119 @@ def _surveyed(docs: DataFrame, key: str, text: str, words: int) -> tuple[DataFra
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, total = Shingler(words), np.zeros(slots, np.int64)
-        for b in _slices(batches):
-            sets = [shingler.shingles(t) for t in b["_text"]]
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(8 * WIDTH - SKETCH_BITS)).astype(np.int64), minlength=slots)
-            yield pd.DataFrame({
-                key: b[key].to_numpy(), "h": b["_h"].to_numpy(), "n": [len(s) for s in sets], "k": [_class(s) if len(s) else 0 for s in sets], "map": [bitmap(s) for s in sets],
-                "piece": -1,
-            })
+        for b in tidy(batches):
+            n, k = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            for i, t in enumerate(b["_text"]):
+                s = shingler.shingles(t)
+                if len(s):
+                    n[i], k[i] = len(s), _class(s)
+                    np.add.at(total, (s >> np.uint64(8 * WIDTH - SKETCH_BITS)).astype(np.int64), 1)
+            yield pd.DataFrame({key: b[key].to_numpy(), "h": b["_h"].to_numpy(), "n": n, "k": k, "counts": None, "piece": -1})
         for i in range(0, slots, piece) if total.any() else ():
-            yield pd.DataFrame({key: [None], "h": 0, "n": 0, "k": 0, "map": [total[i : i + piece].astype("<u4").tobytes()], "piece": i // piece})
+            yield pd.DataFrame({key: [None], "h": 0, "n": 0, "k": 0, "counts": [total[i : i + piece].astype("<u4").tobytes()], "piece": i // piece})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, c in zip(b["piece"], b["map"], strict=True):
+        for b in tidy(batches):
+            for i, c in zip(b["piece"], b["counts"], strict=True):
                 sums[i] = sums.get(i, 0) + np.frombuffer(c, "<u4").astype(np.int64)
         for i, c in sums.items():
             yield pd.DataFrame({"piece": [i], "counts": [c.astype("<i8").tobytes()]})
 
     kind = docs.schema[key].dataType.simpleString()
-    found = cut(_texts(docs, key, text).mapInPandas(rows, f"`{key}` {kind}, h long, n long, k long, map binary, piece int"), "jaccard-survey")
-    summed = found.filter("piece >= 0").select("piece", "map").repartition(16, "piece").mapInPandas(add, "piece int, counts binary")
+    found = cut(_texts(docs, key, text).mapInPandas(rows, f"`{key}` {kind}, h long, n long, k long, counts binary, piece int"), "jaccard-survey")
+    summed = found.filter("piece >= 0").select("piece", "counts").repartition(16, "piece").mapInPandas(add, "piece int, counts binary")
     total = np.zeros(slots, np.int64)
     for r in cut(summed, "jaccard-sketch").toLocalIterator():  # a fixed number of rows
         total[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["counts"], "<i8")
     middle = float(np.median(total))
     usual = max(1.0, middle + 4 * middle**0.5)
     ranks = np.clip(np.floor(np.log2(np.maximum(total / usual, 1))) + (total > usual), 0, 15).astype(np.uint8)
-    return found.filter("piece < 0").drop("piece"), ranks
+    return found.filter("piece < 0").select(key, "h", "n", "k"), ranks
 
 
-def _runs(texts: DataFrame, ranks: np.ndarray, members: int, percent: int, words: int) -> DataFrame:
-    """Different lists of classes that share a prefix member: ``run`` and ``k``, a row each.
+def _prefixes(texts: DataFrame, ranks: np.ndarray, percent: int, words: int) -> DataFrame:
+    """``k`` and ``ms``, the prefix of its set, of each different text of a batch.
 
     In a global order of members, rare ones first, two sets that link share one of the first ``n - ceil(n * percent / 100) + 1``
-    of each. Members go by hash range to tasks, which sort them and keep those of two classes or more.
+    of each.
     """
     shift, top = np.uint64(8 * WIDTH - SKETCH_BITS), np.uint64(8 * WIDTH)
-    ranges = 1 << max(LEAST_RANGES.bit_length() - 1, (members * (100 - percent) // 100 // IN_RANGE).bit_length())
-    span = np.uint64(8 * WIDTH - ranges.bit_length() + 1)
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(words)
-        for b in _slices(batches, 4_000):
-            members, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, low = Shingler(words), np.uint64((1 << (8 * WIDTH)) - 1)
+        for b in tidy(batches):
+            ks, ms = [], []
             for t in b["_text"].drop_duplicates():
                 v = shingler.shingles(t)
-                if not len(v):
-                    continue
-                k = _class(v)
-                v |= ranks[(v >> shift).astype(np.int64)].astype(np.uint64) << top
-                n = len(v)
-                take = n - -(-n * percent // 100) + 1
-                members.append(np.partition(v, take - 1)[:take] if take < n else v)
-                classes.append(np.full(len(members[-1]), k, np.int64))
-            m, c = np.concatenate(members), np.concatenate(classes)
-            where = ((m & np.uint64((1 << (8 * WIDTH)) - 1)) >> span).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            m, c = m[order], c[order]
-            bounds = np.searchsorted(where[order], np.arange(ranges + 1))
-            own = np.flatnonzero(np.diff(bounds))
-            yield pd.DataFrame({
-                "range": own, "m": [m[bounds[r] : bounds[r + 1]].tobytes() for r in own], "c": [c[bounds[r] : bounds[r + 1]].tobytes() for r in own],
-            })
+                if len(v):
+                    ks.append(_class(v))
+                    v |= ranks[(v >> shift).astype(np.int64)].astype(np.uint64) << top
+                    take = len(v) - -(-len(v) * percent // 100) + 1
+                    ms.append(((np.partition(v, take - 1)[:take] if take < len(v) else v) & low).view(np.int64))
+            yield pd.DataFrame({"k": np.array(ks, np.int64), "ms": pd.Series(ms, dtype=object)})
 
-    def shared(b: pd.DataFrame) -> pd.DataFrame:
-        m, c = np.frombuffer(b"".join(b["m"]), np.uint64), np.frombuffer(b"".join(b["c"]), np.int64)
-        order = np.lexsort((c, m))
-        m, c = m[order], c[order]
-        first = np.ones(len(m), bool)
-        first[1:] = (m[1:] != m[:-1]) | (c[1:] != c[:-1])
-        m, c = m[first], c[first]
-        start = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else np.zeros(0, np.int64)
-        length = np.diff(np.append(start, len(m)))
-        start, length = start[length > 1], length[length > 1]
-        if not len(start):
-            return pd.DataFrame({"run": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "ks": []})
-        # A list's number is a hash of its classes, so equal lists are one.
-        sums = np.add.reduceat(mixed(c.view(np.uint64)), np.stack([start, start + length], 1).ravel()[: 2 * len(start) - (start[-1] + length[-1] == len(c))])[::2]
-        names = mixed(sums).view(np.int64)
-        _, once = np.unique(names, return_index=True)
-        return pd.DataFrame({"run": names[once], "size": length[once], "ks": [c[s : s + n].tobytes() for s, n in zip(start[once], length[once], strict=True)]})
-
-    dealt = texts.select("_text").mapInPandas(prefixes, "range long, m binary, c binary")
-    lists = dealt.groupBy("range").applyInPandas(shared, "run long, size long, ks binary")
-    return cut(lists.dropDuplicates(["run"]), "jaccard-runs")
-
-
-def _exploded(lists: DataFrame) -> DataFrame:
-    """``run``, ``size``, ``k`` from lists of 8-byte classes."""
+    return texts.select("_text").mapInPandas(rows, "k long, ms array<long>")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({
-                "run": np.repeat(b["run"].to_numpy(), b["size"]), "size": np.repeat(b["size"].to_numpy(), b["size"]), "k": np.frombuffer(b"".join(b["ks"]), np.int64),
-            })
-
-    return lists.mapInPandas(rows, "run long, size long, k long")
-
-
-def _filter(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes ``h`` in ``wanted``, 16 bits each or more, up to 2**28 bits (32 MB): says of others mostly that they aren't."""
-    bits = min(28, max(16, (16 * wanted.count()).bit_length()))
-    piece = F.shiftrightunsigned("h", 64 - bits + 15).cast("int")
 
-    def one(b: pd.DataFrame) -> pd.DataFrame:
-        at = (b["h"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)) & np.uint64((1 << 15) - 1)
-        part = np.zeros(1 << 15, np.uint8)
-        part[at.astype(np.int64)] = 1
-        return pd.DataFrame({"piece": b["piece"].iloc[:1], "bits": [np.packbits(part).tobytes()]})
-
-    out = np.zeros(1 << bits >> 3, np.uint8)
-    parts = wanted.select("h", piece.alias("piece")).groupBy("piece").applyInPandas(one, "piece int, bits binary")
-    for r in cut(parts, "jaccard-filter").toLocalIterator():
-        out[r["piece"] * 4096 : (r["piece"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _sets_of(wanted: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """``k`` and ``set`` of the classes in ``wanted`` (``k``, ``h``: hash of a text that has the set). Reads all texts, but builds the sets of few others."""
-    seen = _filter(wanted)
-    shift = np.uint64(64 - (len(seen) * 8).bit_length() + 1)
+def _members(wanted: DataFrame, texts: DataFrame, key: str, words: int) -> DataFrame:
+    """``k``, ``n``, ``set`` and ``map`` of the classes in ``wanted`` (``k``, and ``doc``: key and text hash of one document that has the set)."""
+    own = wanted.select(F.col("doc.key").alias("_key"), F.col("doc.h").alias("_own"))
+    some = texts.join(own, (F.col("_h") == F.col("_own")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi").select("_text")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
-        for b in _slices(batches):
-            at = b["_h"].to_numpy().view(np.uint64) >> shift
-            b = b[(seen[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1].drop_duplicates("_h")
-            sets = [shingler.shingles(t) for t in b["_text"]]
-            yield pd.DataFrame({"k": [_class(s) if len(s) else 0 for s in sets], "set": [packed(s) for s in sets]}).astype({"k": "int64"})
-
-    found = texts.select("_h", "_text").mapInPandas(rows, "k long, set binary")
-    found = found.join(wanted.select("k"), "k", "left_semi")
-    return cut(found.groupBy("k").agg(F.first("set").alias("set")), "jaccard-sets")
-
-
-def _plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """Of pairs ``a``, ``t`` of classes, those whose sizes and bitmaps leave room for a link."""
-    both = pairs.join(maps.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("map").alias("ma")), "a")
-    both = both.join(maps.select(F.col("k").alias("t"), F.col("n").alias("nt"), F.col("map").alias("mt")), "t")
-    both = both.filter((F.col("na") * 100 >= F.col("nt") * percent) & (F.col("nt") * 100 >= F.col("na") * percent))
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for na, ma, nt, mt in zip(b["na"], b["ma"], b["nt"], b["mt"], strict=True):
-                x, y = np.frombuffer(ma, "<u8")[None], np.frombuffer(mt, "<u8")[None]
-                w = min(x.shape[1], y.shape[1])
-                x, y = _folded(x, w), _folded(y, w)
-                most = min(na - int(np.bitwise_count(x & ~y).sum()), nt - int(np.bitwise_count(y & ~x).sum()))
-                keep.append(most >= -(-percent * (na + nt) // (100 + percent)))
-            yield b.loc[np.array(keep, bool), ["a", "t"]]
+        for b in tidy(batches):
+            sets = [shingler.shingles(t) for t in b["_text"].drop_duplicates()]
+            yield pd.DataFrame({
+                "k": np.array([_class(s) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int64), "set": [packed(s) for s in sets], "map": [bitmap(s) for s in sets],
+            })
 
-    return both.mapInPandas(rows, "a long, t long")
+    return cut(some.mapInPandas(rows, "k long, n long, set binary, map binary"), "jaccard-members")
 
 
 def verify(asks: DataFrame, targets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links found between askers and members of targets: for each asker and target the first, as ``a``, ``b``.
 
-    ``asks``: ``a`` (class), ``t``; ``targets``: ``t``, ``k`` (at most :data:`TARGET` a target); ``members``: ``k``, ``set``. Each task holds a
-    target's sets as one inverted list and counts the overlaps of up to :data:`ASKERS` askers with all of them exactly.
+    ``asks``: ``a`` (class), ``t``, different rows; ``targets``: ``t``, ``k`` (at most :data:`TARGET` a target); ``members``: ``k``, ``set``. Each task
+    holds a target's sets as one inverted list and counts the overlaps of up to about :data:`ASKERS` askers with all of them
+    exactly. A target that more ask is held in as many tasks.
     """
-    asks = asks.distinct().withColumn("part", F.pmod(F.xxhash64("a"), F.lit(1 << 30)))
     counts = asks.groupBy("t").agg(F.count("*").alias("asked"))
-    parts = counts.select("t", F.ceil(F.col("asked") / ASKERS).cast("int").alias("parts"))
-    asks = asks.join(parts, "t").select("t", F.pmod("part", "parts").cast("int").alias("part"), F.col("a").alias("k"), F.lit(True).alias("asks"))
+    parts = cut(counts.select("t", F.ceil(F.col("asked") / ASKERS).cast("int").alias("parts")), "jaccard-parts")
+    own = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+    asks = asks.join(parts, "t").select("t", own.alias("part"), F.col("a").alias("k"), F.lit(True).alias("asks"))
     held = targets.join(parts, "t").select("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "k", F.lit(False).alias("asks"))
     both = asks.unionByName(held).join(members.select("k", "set"), "k")
 
-    def found(b: pd.DataFrame) -> pd.DataFrame:
-        own, ask = b[~b["asks"]], b[b["asks"]]
-        sets = [unpacked(s) for s in own["set"]]
-        sizes, ks = np.array([len(s) for s in sets], np.int64), own["k"].to_numpy()
-        if not len(sets):
-            return pd.DataFrame({"a": [], "b": []})
-        values, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(values, kind="stable")
-        values, of = values[order], of[order]
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, c = [], []
-        for k, data in zip(ask["k"], ask["set"], strict=True):
-            v = unpacked(data)
-            low, high = np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right")
-            n = high - low
-            at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
-            common = np.bincount(of[at], minlength=len(sets))
-            linked = np.flatnonzero((100 * common >= percent * (sizes + len(v) - common)) & (ks != k))
-            if len(linked):
-                a.append(k)
-                c.append(ks[linked[0]])
-        return pd.DataFrame({"a": a, "b": c}, dtype="int64")
-
-    return both.groupBy("t", "part").applyInPandas(found, "a long, b long")
+        for g in _groups(tidy(batches), ["t", "part"]):
+            own = ~g["asks"].astype(bool)
+            sets, ks = [unpacked(s) for s in g["set"][own]], g["k"][own]
+            if not len(sets) or own.all():
+                continue
+            sizes = np.array([len(s) for s in sets], np.int64)
+            values, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            if len(sets) > 1:
+                order = np.argsort(values, kind="stable")
+                values, of = values[order], of[order]
+            for k, data in zip(g["k"][~own], g["set"][~own], strict=True):
+                v = unpacked(data)
+                low, high = np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right")
+                n = high - low
+                at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+                common = np.bincount(of[at], minlength=len(sets))
+                linked = np.flatnonzero((100 * common >= percent * (sizes + len(v) - common)) & (ks != k))
+                if len(linked):
+                    a.append(k)
+                    c.append(ks[linked[0]])
+            if len(a) >= 10_000:
+                yield pd.DataFrame({"a": a, "b": c}, dtype="int64")
+                a, c = [], []
+        yield pd.DataFrame({"a": a, "b": c}, dtype="int64")
+
+    return both.repartition("t", "part").sortWithinPartitions("t", "part", "asks").mapInPandas(found, "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -502,86 +411,79 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(labels, "k", "left").select("k", F.coalesce("c", "k").alias("c"))
 
 
+def _tree_asks(bundles: DataFrame, known: DataFrame, percent: int, few: int | None) -> DataFrame:
+    """Who asks whom inside bundles, found by signature trees over their members: different rows ``a``, ``t``.
+
+    ``bundles``: ``b`` and ``k``; ``known``: ``k``, ``n``, ``map``, its component ``c`` and how many classes that has, ``members``. Pairs of different
+    components that may link come from :func:`candidates`; the class of the smaller component asks. With ``few``, each asks at most so many
+    classes of a bundle (of a pair of its parts), those of least hash, so many ask the same ones. Without, it asks components: ``t`` is ``c``.
+    """
+    sides = bundles.join(known.select("k", "c"), "k").groupBy("b").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size"))
+    wide = cut(sides.filter("x < y").select("b", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "jaccard-open")
+    own = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
+    # Each member of a bundle of several parts goes to all pairs of parts that hold its own.
+    spread = bundles.join(wide, "b").select("b", "k", own.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+    spread = spread.select("b", "k", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j")).join(known, "k")
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for g in _groups(tidy(batches), ["b", "i", "j"]):
+            k, c, members, i, j = g["k"], g["c"], g["members"], g["i"][0], g["j"][0]
+            sides = (np.flatnonzero(g["p"] == i), np.flatnonzero(g["p"] == j)) if i != j else None
+            for x, y in candidates(g["n"], g["map"], c, percent, sides):
+                swap = (members[x] > members[y]) | ((members[x] == members[y]) & (c[x] < c[y]))
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                asks = pd.DataFrame({"a": k[x], "t": c[y] if few is None else k[y]}).drop_duplicates()
+                if few is not None:
+                    asks = asks.iloc[np.argsort(mixed(asks["t"].to_numpy().view(np.uint64)), kind="stable")].groupby("a").head(few)
+                held.append(asks)
+                size += len(asks)
+            if size >= 10_000:
+                yield pd.concat(held).drop_duplicates()
+                held, size = [], 0
+        if held:
+            yield pd.concat(held).drop_duplicates()
+
+    dealt = spread.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
+    return cut(dealt.mapInPandas(pairs, "a long, t long").distinct(), "jaccard-asks")
+
+
 def grouped(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``h`` (hash of the text), ``n_shingles``, ``c`` (component, NULL for sets without members), ``component_id``. See :func:`join`."""
+    small_batches(docs.sparkSession)
     texts = _texts(docs, key, text)
     survey, ranks = _surveyed(docs, key, text, words)
-    classes = survey.filter("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.first("h").alias("h"), F.min(key).alias("least"), F.first("map").alias("map"))
-    classes = cut(classes, "jaccard-classes")
-    total = survey.agg(F.sum("n")).first()[0] or 0
-    runs = cut(_exploded(_runs(texts, ranks, total, percent, words)), "jaccard-members")
-    maps = cut(classes.join(runs.select("k").distinct(), "k", "left_semi").select("k", "n", "h", "map"), "jaccard-maps")
-
-    # Each class of a run asks the run's centre, the one of least hash: that joins most groups of near copies. Those that are left ask more.
-    comps, links = maps.select("k", F.col("k").alias("c")), None
-    for seeds in CENTRES:
-        at = runs.join(comps, "k")
-        centre = [F.min(F.struct(F.xxhash64(F.lit(s), "k").alias("o"), "k", "c")) for s in seeds]
-        centre = at.groupBy("run").agg(F.array_distinct(F.array(*centre)).alias("o"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y")
-        stars = at.join(centre, "run").select("k", "c", F.explode(F.filter("o", lambda o: o["c"] != F.col("c"))).alias("o"))
-        stars = stars.select(F.col("k").alias("a"), F.col("o.k").alias("t")).distinct()
-        stars = cut(_plausible(stars, maps, percent), "jaccard-stars")
-        if stars.isEmpty():
-            continue
-        wanted = stars.select(F.col("a").alias("k")).union(stars.select("t")).distinct().join(maps.select("k", "h"), "k")
-        found = verify(stars, stars.select("t", F.col("t").alias("k")).distinct(), _sets_of(cut(wanted, "jaccard-wanted"), texts, words), percent)
-        links = cut(found if links is None else links.unionByName(found), "jaccard-found")
-        comps = cut(components(maps.select("k"), links), "jaccard-comps")
-
-    size = comps.groupBy("c").agg(F.count("*").alias("members"))
-    known = maps.select("k", "n", "map").join(comps, "k").join(size, "c")
-    open_runs = runs.join(comps, "k").groupBy("run").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("run")
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    part = F.pmod(F.xxhash64("k"), parts).cast("int")
-    # Each member of a run of several parts goes to all pairs of parts that hold its own.
-    other = F.explode(F.sequence(F.lit(0), parts - 1)).alias("o")
-    spread = runs.join(open_runs, "run").withColumn("p", part).select("run", "k", "p", other)
-    spread = spread.select("run", "k", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j")).join(known, "k")
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def asks(b: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-            """The member of the smaller component asks the larger component."""
-            k, c, size = b["k"].to_numpy(), b["c"].to_numpy(), b["members"].to_numpy()
-            swap = (size[x] > size[y]) | ((size[x] == size[y]) & (c[x] < c[y]))
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            return pd.DataFrame({"a": k[x], "t": c[y]}).drop_duplicates()
-
-        def split(b: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
-            keys = b[["run", "i", "j"]].to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(b)]])
-            starts, ends = (starts[:-1], starts[1:]) if last else (starts[:-2], starts[1:-1])
-            n, c, maps = b["n"].to_numpy(), b["c"].to_numpy(), b["map"].tolist()
-            small = ends - starts <= SMALL_RUN
-            one = small & (keys[starts, 1] == keys[starts, 2]) if len(starts) else small
-            out = [asks(b, *leaf_pairs(n, maps, c, starts[one], ends[one], percent))]
-            for s, e in zip(starts[~one], ends[~one], strict=True):
-                i, j, p = keys[s, 1], keys[s, 2], b["p"].to_numpy()[s:e]
-                sides = (np.flatnonzero(p == i), np.flatnonzero(p == j)) if i != j else None
-                out += [asks(b, s + x, s + y) for x, y in candidates(n[s:e], maps[s:e], c[s:e], percent, sides)]
-            held[:] = [] if last else [b.iloc[ends[-1] if len(ends) else 0 :]]
-            yield pd.concat(out).drop_duplicates()
-
-        for b in batches:
-            if len(b):
-                yield from split(pd.concat([*held, b]) if held else b, False)
-        if held:
-            yield from split(held[0], True)
-
-    dealt = spread.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j")
-    asks = cut(dealt.mapInPandas(pairs, "a long, t long").distinct(), "jaccard-asks")
-    if asks.isEmpty():
-        return _labelled(survey, classes, comps, key)
-    # Components in parts of bounded size; a component's asker asks all its parts.
-    asked = comps.join(asks.select(F.col("t").alias("c")).distinct(), "c").join(size, "c")
-    place = F.pmod(F.xxhash64(F.lit(1), "k"), F.ceil(F.col("members") * 2 / TARGET))
-    asked = cut(asked.select("k", "c", F.xxhash64("c", place).alias("t")), "jaccard-targets")
-    asks = asks.withColumnRenamed("t", "c").join(asked.select("c", "t").distinct(), "c").select("a", "t")
-    asks = cut(asks, "jaccard-asks")
-    wanted = asks.select(F.col("a").alias("k")).union(asked.select("k")).distinct().join(maps.select("k", "h"), "k")
-    late = verify(asks, asked.select("t", "k"), _sets_of(cut(wanted, "jaccard-wanted"), texts, words), percent)
-    comps = components(maps.select("k"), late if links is None else links.unionByName(late))
+    doc = F.min(F.struct(F.col(key).alias("key"), "h")).alias("doc")
+    classes = cut(survey.filter("n > 0").groupBy("k").agg(F.min(key).alias("least"), doc), "jaccard-classes")
+
+    # Who shares a prefix member: its run's class of least number, the centre, and all others of the run make a bundle.
+    entries = cut(_prefixes(texts, ranks, percent, words), "jaccard-prefixes").select("k", F.explode("ms").alias("m"))
+    runs = entries.groupBy("m").agg(F.min("k").alias("b"), F.max("k").alias("z")).filter("b < z").select("m", "b")
+    bundles = cut(entries.join(cut(runs, "jaccard-runs"), "m").filter("k != b").select("b", "k").distinct(), "jaccard-bundles")
+    wanted = cut(bundles.select("k").union(bundles.select("b")).distinct().join(classes, "k").select("k", "doc"), "jaccard-wanted")
+    members = _members(wanted, texts, key, words)
+    nodes = members.select("k")
+
+    # All of a bundle ask its centre: that joins most groups of near copies, and settles all pairs with the centre.
+    links = cut(verify(bundles.select(F.col("k").alias("a"), F.col("b").alias("t")), bundles.select(F.col("b").alias("t"), F.col("b").alias("k")).distinct(), members, percent), "jaccard-found")
+    for few in (FEW, None):
+        comps = cut(components(nodes, links), "jaccard-comps")
+        size = comps.groupBy("c").agg(F.count("*").alias("members"))
+        known = cut(comps.join(size, "c").join(members.select("k", "n", "map"), "k"), "jaccard-known")
+        asks = _tree_asks(bundles, known, percent, few)
+        if asks.isEmpty():
+            break
+        if few is not None:
+            targets = asks.select("t", F.col("t").alias("k")).distinct()
+        else:
+            # Components in parts of bounded size; who asks a component asks all its parts.
+            asked = comps.join(asks.select(F.col("t").alias("c")).distinct(), "c").join(size, "c")
+            place = F.pmod(F.xxhash64(F.lit(1), "k"), F.ceil(F.col("members") * 2 / TARGET))
+            targets = cut(asked.select("k", "c", F.xxhash64("c", place).alias("t")), "jaccard-targets")
+            asks = cut(asks.withColumnRenamed("t", "c").join(targets.select("c", "t").distinct(), "c").select("a", "t"), "jaccard-asks")
+        links = cut(links.unionByName(verify(asks, targets.select("t", "k"), members, percent)), "jaccard-found")
+    else:
+        comps = components(nodes, links)
     return _labelled(survey, classes, comps, key)
 
 
@@ -598,11 +500,16 @@ def _labelled(survey: DataFrame, classes: DataFrame, comps: DataFrame, key: str)
 def join(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of documents whose sets of ``words``-word shingles link: ``100 * intersection >= percent * union``.
 
-    Documents with equal sets are one class, so copies cost nothing. Classes that share a rare enough shingle (:func:`_runs`)
-    may link. All of a run ask its class of least hash first, then others', which joins most groups of near copies.
-    Where a run still has several components, signature trees over its members give the pairs of different components that may
-    link (:func:`candidates`), and each such document is held against the other's component, in parts, exactly
-    (:func:`verify`). Nothing is sampled or capped: long runs are split into parts whose pairs are all searched.
+    Documents with equal sets are one class, so copies cost nothing. Classes that share a rare enough shingle
+    (:func:`_prefixes`) may link. Those of one shingle, its run, form a bundle around the run's class of least number; runs
+    with the same such centre are one bundle, so a pair is met once and not once a shingle. All of a bundle ask its centre.
+    Then signature trees over a bundle's members give pairs of different components that may link (:func:`candidates`),
+    twice: first each class asks a few others, which leaves few components even in large groups of near copies;
+    then each that still may link asks the others' components as wholes, in parts, exactly (:func:`verify`). Nothing is sampled
+    or capped: large bundles are split into parts whose pairs are all searched.
+
+    Set members are 48-bit hashes of shingles and classes 64-bit hashes of sets: two sets of ``n`` members meet by chance in one
+    with probability near ``n**2 / 2**48``, and any two of ``d`` different sets are taken for equal with ``d**2 / 2**65``.
 
     Returns ``key``, ``n_shingles``, ``component_id`` (least ``key`` reachable, itself included) for each row. NULL and blank texts
     have no shingles and are linked with nothing; fewer words than a shingle has are one together. Rows are told apart by

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.shared import only_cache
+from fathomline.llm.shared import small_batches, tidy
 
 #: Label of texts without any letter.
 UNDETERMINED = "und"
@@ -166,6 +166,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     Reads whole texts and nothing else. NULL texts and texts without a letter are ``und`` with score 0, as is every text
     without a model. Equal texts get equal results. Columns of ``docs`` with those names are replaced.
     """
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     docs = docs.select(*own)
     if model is None:
@@ -173,8 +174,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     @F.pandas_udf("label int, score double")
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        only_cache()
-        for texts in batches:
+        for texts in tidy(batches):
             p = model.scores(texts.tolist()) if len(texts) else np.zeros((0, 1))
             yield pd.DataFrame({"label": p.argmax(1).astype(np.int32), "score": p.max(1)})
 

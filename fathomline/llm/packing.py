@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomline.llm.shared import cut, process_cache
+from fathomline.llm.shared import cut, process_cache, small_batches, tidy
 
 #: Words of a worker's cache; two generations are kept.
 CACHE_WORDS = 150_000
@@ -119,12 +119,14 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = 2048, end_id: int =
     columns are ignored.
     """
 
+    small_batches(docs.sparkSession)
+
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = process_cache("encoders")
         encoder = cache.get(tokenizer) or cache.setdefault(tokenizer, Encoder(tokenizer))
         seen, task = np.zeros(max_length + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in tidy(batches, "encoders"):
             rows = []
             for k, t in enumerate(batch["_text"]):
                 ids = encoder.encode(t) + end

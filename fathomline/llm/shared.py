@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,13 +66,34 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Sets the session to send Python at most so many rows at once, unless its setting was changed: rows hold whole texts, and
+    a batch is in memory several times over."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name) == usual:
+        spark.conf.set(name, rows)
+
+
 def process_cache(name: str) -> dict:
     """A dict that lasts as long as this Python worker, whatever is unpickled again for each task."""
     return sys.__dict__.setdefault("_fathomline_caches", {}).setdefault(name, {})
 
 
-def only_cache(name: str = "") -> None:
-    """Frees what other operators keep in this Python worker: workers outlive stages, and their memory is the executor's."""
+def tidy(batches: Iterator, cache: str = "") -> Iterator:
+    """The batches; first frees what other operators keep in this Python worker, and last gives free memory back.
+
+    Workers outlive stages, and their memory is the executor's.
+    """
     caches = sys.__dict__.setdefault("_fathomline_caches", {})
-    for other in [k for k in caches if k != name]:
+    for other in [k for k in caches if k != cache]:
         del caches[other]
+    yield from batches
+    import ctypes
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)

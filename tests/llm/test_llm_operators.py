@@ -143,7 +143,7 @@ def test_jaccard_chains_and_groups(spark):
 
 
 def test_jaccard_parts(spark, monkeypatch):
-    for name, value in (("PART", 8), ("TARGET", 4), ("ASKERS", 3)):
+    for name, value in (("PART", 8), ("TARGET", 4), ("ASKERS", 3), ("FEW", 1)):
         monkeypatch.setattr(jaccard, name, value)
     test_jaccard_chains_and_groups(spark)
 
