@@ -18,7 +18,9 @@ WIDTH = 6
 #: Slots of the frequency sketch, as a power of two; it is what the driver gets, a byte a slot.
 SKETCH_BITS = 20
 #: Bits of a bitmap for each member of its set, about.
-DENSITY = 8
+DENSITY = 2
+#: Bits of the filter of wanted texts, as a power of two. It has this size for any input and only spares moving texts that a join drops.
+FILTER_BITS = 25
 #: Members of a tree's leaf, children of a node, members of a target in verification, askers of one, and of a bundle's part.
 LEAF, FAN, TARGET, ASKERS, PART = 16, 8, 512, 512, 2048
 #: Members of other components that a class asks in each bundle, at most, before components as wholes are asked.
@@ -268,7 +270,7 @@ def _class(members: np.ndarray) -> int:
 
 
 def _surveyed(docs: DataFrame, key: str, text: str, words: int) -> tuple[DataFrame, np.ndarray]:
-    """A row per document - text hash ``h``, set size ``n``, class ``k`` - and the ranks of the frequency sketch.
+    """A row per document - text hash ``h``, set size ``n``, class ``k``, bitmap ``map`` - and the ranks of the frequency sketch.
 
     Sets themselves aren't kept, they take more room than texts. The sketch counts all members of all sets in slots by hash;
     each task gives its counts in pieces, after its rows, and the driver gets their sums. The rank of a slot is how much more
@@ -279,34 +281,35 @@ def _surveyed(docs: DataFrame, key: str, text: str, words: int) -> tuple[DataFra
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, total = Shingler(words), np.zeros(slots, np.int64)
         for b in tidy(batches):
-            n, k = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            n, k, maps = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64), []
             for i, t in enumerate(b["_text"]):
                 s = shingler.shingles(t)
+                maps.append(bitmap(s) if len(s) else b"")
                 if len(s):
                     n[i], k[i] = len(s), _class(s)
                     np.add.at(total, (s >> np.uint64(8 * WIDTH - SKETCH_BITS)).astype(np.int64), 1)
-            yield pd.DataFrame({key: b[key].to_numpy(), "h": b["_h"].to_numpy(), "n": n, "k": k, "counts": None, "piece": -1})
+            yield pd.DataFrame({key: b[key].to_numpy(), "h": b["_h"].to_numpy(), "n": n, "k": k, "map": maps, "piece": -1})
         for i in range(0, slots, piece) if total.any() else ():
-            yield pd.DataFrame({key: [None], "h": 0, "n": 0, "k": 0, "counts": [total[i : i + piece].astype("<u4").tobytes()], "piece": i // piece})
+            yield pd.DataFrame({key: [None], "h": 0, "n": 0, "k": 0, "map": [total[i : i + piece].astype("<u4").tobytes()], "piece": i // piece})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for b in tidy(batches):
-            for i, c in zip(b["piece"], b["counts"], strict=True):
+            for i, c in zip(b["piece"], b["map"], strict=True):
                 sums[i] = sums.get(i, 0) + np.frombuffer(c, "<u4").astype(np.int64)
         for i, c in sums.items():
             yield pd.DataFrame({"piece": [i], "counts": [c.astype("<i8").tobytes()]})
 
     kind = docs.schema[key].dataType.simpleString()
-    found = cut(_texts(docs, key, text).mapInPandas(rows, f"`{key}` {kind}, h long, n long, k long, counts binary, piece int"), "jaccard-survey")
-    summed = found.filter("piece >= 0").select("piece", "counts").repartition(16, "piece").mapInPandas(add, "piece int, counts binary")
+    found = cut(_texts(docs, key, text).mapInPandas(rows, f"`{key}` {kind}, h long, n long, k long, map binary, piece int"), "jaccard-survey")
+    summed = found.filter("piece >= 0").select("piece", "map").repartition(16, "piece").mapInPandas(add, "piece int, counts binary")
     total = np.zeros(slots, np.int64)
     for r in cut(summed, "jaccard-sketch").toLocalIterator():  # a fixed number of rows
         total[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["counts"], "<i8")
     middle = float(np.median(total))
     usual = max(1.0, middle + 4 * middle**0.5)
     ranks = np.clip(np.floor(np.log2(np.maximum(total / usual, 1))) + (total > usual), 0, 15).astype(np.uint8)
-    return found.filter("piece < 0").select(key, "h", "n", "k"), ranks
+    return found.filter("piece < 0").drop("piece"), ranks
 
 
 def _prefixes(texts: DataFrame, ranks: np.ndarray, percent: int, words: int) -> DataFrame:
@@ -333,20 +336,45 @@ def _prefixes(texts: DataFrame, ranks: np.ndarray, percent: int, words: int) ->
     return texts.select("_text").mapInPandas(rows, "k long, ms array<long>")
 
 
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A bitmap by the first bits of the hashes ``h``: says for certain of some others that they aren't there."""
+    piece = F.shiftrightunsigned("h", 64 - FILTER_BITS + 15).cast("int")
+
+    def one(b: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(1 << 15, np.uint8)
+        part[((b["h"].to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)) & np.uint64((1 << 15) - 1)).astype(np.int64)] = 1
+        return pd.DataFrame({"piece": b["piece"].iloc[:1], "bits": [np.packbits(part).tobytes()]})
+
+    out = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    one_each = hashes.groupBy(slot.alias("slot")).agg(F.first("h").alias("h")).select("h", piece.alias("piece"))
+    for r in cut(one_each.groupBy("piece").applyInPandas(one, "piece int, bits binary"), "jaccard-filter").toLocalIterator():
+        out[r["piece"] * 4096 : (r["piece"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _members(wanted: DataFrame, texts: DataFrame, key: str, words: int) -> DataFrame:
-    """``k``, ``n``, ``set`` and ``map`` of the classes in ``wanted`` (``k``, and ``doc``: key and text hash of one document that has the set)."""
+    """``k`` and ``set`` of the classes in ``wanted`` (``k``, and ``doc``: key and text hash of one document that has the set)."""
+    seen = _filter(wanted.select("doc.h"))
+    kinds = f"`{key}` {texts.schema[key].dataType.simpleString()}, _text string, _h long"
+
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in tidy(batches):
+            at = b["_h"].to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            yield b[(seen[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1]
+
     own = wanted.select(F.col("doc.key").alias("_key"), F.col("doc.h").alias("_own"))
-    some = texts.join(own, (F.col("_h") == F.col("_own")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi").select("_text")
+    some = texts.mapInPandas(likely, kinds)
+    some = some.join(own, (F.col("_h") == F.col("_own")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi").select("_text")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         for b in tidy(batches):
             sets = [shingler.shingles(t) for t in b["_text"].drop_duplicates()]
-            yield pd.DataFrame({
-                "k": np.array([_class(s) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int64), "set": [packed(s) for s in sets], "map": [bitmap(s) for s in sets],
-            })
+            yield pd.DataFrame({"k": np.array([_class(s) for s in sets], np.int64), "set": [packed(s) for s in sets]})
 
-    return cut(some.mapInPandas(rows, "k long, n long, set binary, map binary"), "jaccard-members")
+    # Rows that repeat key and text may give a class more than once.
+    return cut(some.mapInPandas(rows, "k long, set binary").dropDuplicates(["k"]), "jaccard-sets")
 
 
 def verify(asks: DataFrame, targets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -411,6 +439,50 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(labels, "k", "left").select("k", F.coalesce("c", "k").alias("c"))
 
 
+def _dealt(bundles: DataFrame, known: DataFrame) -> DataFrame:
+    """The members of bundles ``b``, ``k`` with what is known of them, sorted by bundle in tasks; a bundle of several parts of at most about
+    :data:`PART` comes as pairs ``i``, ``j`` of parts ``p``, and each member in all pairs that hold its own."""
+    parts = cut(bundles.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "jaccard-open")
+    own = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
+    spread = bundles.join(parts, "b").select("b", "k", own.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+    spread = spread.select("b", "k", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j")).join(known, "k")
+    return spread.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
+
+
+def _sides(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+    i, j = g["i"][0], g["j"][0]
+    return (np.flatnonzero(g["p"] == i), np.flatnonzero(g["p"] == j)) if i != j else None
+
+
+def _gathered(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Different rows, many small frames as one."""
+    held, size = [], 0
+    for f in found:
+        held.append(f)
+        size += len(f)
+        if size >= 10_000:
+            yield pd.concat(held).drop_duplicates()
+            held, size = [], 0
+    if held:
+        yield pd.concat(held).drop_duplicates()
+
+
+def _first_asks(bundles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """By signature trees over bundles and their centres: ``a``, ``t`` of each class that may link with its centre ``t``, and ``a``, ``a`` of each
+    that may link with any other of a bundle."""
+    every = bundles.unionByName(bundles.select("b", F.col("b").alias("k")).distinct())
+
+    def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(tidy(batches), ["b", "i", "j"]):
+            k, b, own = g["k"], g["b"][0], np.arange(len(g["k"]))
+            for x, y in candidates(g["n"], g["map"], own, percent, _sides(g)):
+                some = k[np.unique(np.concatenate([x, y]))]
+                star = np.concatenate([k[x[k[y] == b]], k[y[k[x] == b]]])
+                yield pd.DataFrame({"a": np.concatenate([some, star]), "t": np.concatenate([some, np.full(len(star), b)])})
+
+    return cut(_dealt(every, classes).mapInPandas(lambda x: _gathered(asks(x)), "a long, t long").distinct(), "jaccard-asks")
+
+
 def _tree_asks(bundles: DataFrame, known: DataFrame, percent: int, few: int | None) -> DataFrame:
     """Who asks whom inside bundles, found by signature trees over their members: different rows ``a``, ``t``.
 
@@ -418,34 +490,21 @@ def _tree_asks(bundles: DataFrame, known: DataFrame, percent: int, few: int | No
     components that may link come from :func:`candidates`; the class of the smaller component asks. With ``few``, each asks at most so many
     classes of a bundle (of a pair of its parts), those of least hash, so many ask the same ones. Without, it asks components: ``t`` is ``c``.
     """
-    sides = bundles.join(known.select("k", "c"), "k").groupBy("b").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size"))
-    wide = cut(sides.filter("x < y").select("b", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "jaccard-open")
-    own = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
-    # Each member of a bundle of several parts goes to all pairs of parts that hold its own.
-    spread = bundles.join(wide, "b").select("b", "k", own.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-    spread = spread.select("b", "k", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j")).join(known, "k")
+    sides = bundles.join(known.select("k", "c"), "k").groupBy("b").agg(F.min("c").alias("x"), F.max("c").alias("y"))
+    wide = cut(bundles.join(sides.filter("x < y").select("b"), "b", "left_semi"), "jaccard-wide")
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+    def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(tidy(batches), ["b", "i", "j"]):
-            k, c, members, i, j = g["k"], g["c"], g["members"], g["i"][0], g["j"][0]
-            sides = (np.flatnonzero(g["p"] == i), np.flatnonzero(g["p"] == j)) if i != j else None
-            for x, y in candidates(g["n"], g["map"], c, percent, sides):
+            k, c, members = g["k"], g["c"], g["members"]
+            for x, y in candidates(g["n"], g["map"], c, percent, _sides(g)):
                 swap = (members[x] > members[y]) | ((members[x] == members[y]) & (c[x] < c[y]))
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
-                asks = pd.DataFrame({"a": k[x], "t": c[y] if few is None else k[y]}).drop_duplicates()
-                if few is not None:
-                    asks = asks.iloc[np.argsort(mixed(asks["t"].to_numpy().view(np.uint64)), kind="stable")].groupby("a").head(few)
-                held.append(asks)
-                size += len(asks)
-            if size >= 10_000:
-                yield pd.concat(held).drop_duplicates()
-                held, size = [], 0
-        if held:
-            yield pd.concat(held).drop_duplicates()
+                out = pd.DataFrame({"a": k[x], "t": c[y] if few is None else k[y]}).drop_duplicates()
+                if few is not None and len(out) > few:
+                    out = out.iloc[np.argsort(mixed(out["t"].to_numpy().view(np.uint64)), kind="stable")].groupby("a").head(few)
+                yield out
 
-    dealt = spread.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
-    return cut(dealt.mapInPandas(pairs, "a long, t long").distinct(), "jaccard-asks")
+    return cut(_dealt(wide, known).mapInPandas(lambda x: _gathered(asks(x)), "a long, t long").distinct(), "jaccard-asks")
 
 
 def grouped(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -454,22 +513,23 @@ def grouped(docs: DataFrame, percent: int = 80, words: int = 5, key: str = "doc_
     texts = _texts(docs, key, text)
     survey, ranks = _surveyed(docs, key, text, words)
     doc = F.min(F.struct(F.col(key).alias("key"), "h")).alias("doc")
-    classes = cut(survey.filter("n > 0").groupBy("k").agg(F.min(key).alias("least"), doc), "jaccard-classes")
+    classes = cut(survey.filter("n > 0").groupBy("k").agg(F.min(key).alias("least"), doc, F.first("n").alias("n"), F.first("map").alias("map")), "jaccard-classes")
 
     # Who shares a prefix member: its run's class of least number, the centre, and all others of the run make a bundle.
     entries = cut(_prefixes(texts, ranks, percent, words), "jaccard-prefixes").select("k", F.explode("ms").alias("m"))
     runs = entries.groupBy("m").agg(F.min("k").alias("b"), F.max("k").alias("z")).filter("b < z").select("m", "b")
     bundles = cut(entries.join(cut(runs, "jaccard-runs"), "m").filter("k != b").select("b", "k").distinct(), "jaccard-bundles")
-    wanted = cut(bundles.select("k").union(bundles.select("b")).distinct().join(classes, "k").select("k", "doc"), "jaccard-wanted")
-    members = _members(wanted, texts, key, words)
-    nodes = members.select("k")
-
-    # All of a bundle ask its centre: that joins most groups of near copies, and settles all pairs with the centre.
-    links = cut(verify(bundles.select(F.col("k").alias("a"), F.col("b").alias("t")), bundles.select(F.col("b").alias("t"), F.col("b").alias("k")).distinct(), members, percent), "jaccard-found")
+    # Trees tell who may link at all. All of those ask their centre: that joins most groups of near copies, and settles all pairs with a centre.
+    asks = _first_asks(bundles, classes.select("k", "n", "map"), percent)
+    nodes = cut(asks.select(F.col("a").alias("k")).distinct(), "jaccard-nodes")
+    bundles = cut(bundles.join(nodes, "k", "left_semi"), "jaccard-bundles")
+    members = _members(cut(nodes.join(classes, "k").select("k", "doc"), "jaccard-wanted"), texts, key, words)
+    stars = asks.filter("a != t")
+    links = cut(verify(stars, stars.select("t", F.col("t").alias("k")).distinct(), members, percent), "jaccard-found")
     for few in (FEW, None):
         comps = cut(components(nodes, links), "jaccard-comps")
         size = comps.groupBy("c").agg(F.count("*").alias("members"))
-        known = cut(comps.join(size, "c").join(members.select("k", "n", "map"), "k"), "jaccard-known")
+        known = cut(comps.join(size, "c").join(classes.select("k", "n", "map"), "k"), "jaccard-known")
         asks = _tree_asks(bundles, known, percent, few)
         if asks.isEmpty():
             break
