@@ -14,9 +14,11 @@ from pyspark.sql.window import Window
 from fathomline.llm.shared import WORD, cut, word_count
 
 #: Words that one output shard holds, about; blocks of one shard; the fewest shards.
-SHARD_WORDS = 1 << 26
+SHARD_WORDS = 1 << 24
 BLOCKS_PER_SHARD = 16
 LEAST_SHARDS = 16
+#: Tables of a row per block or draw are broadcast up to so many rows, some 50 bytes each; larger ones are joined by shuffling.
+BROADCAST_ROWS = 100_000
 
 
 def water_fill(sizes: np.ndarray, weights: np.ndarray, epochs: float) -> np.ndarray:
@@ -104,6 +106,7 @@ class Draw:
             }),
             "_sk string, s long, source_size long, target double, passes long, quota long, n_blocks long",
         )
+        self.n_sources, self.n_blocks = len(found), len(found) + shards * BLOCKS_PER_SHARD
         placed = self._placed(rows)
         # Where each block ends in the permuted order of its source's blocks: a row per block.
         order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 1), "s", "block"), "block")
@@ -130,6 +133,7 @@ class Draw:
         quotas = np.zeros(len(found), np.int64)
         for r in blocks.groupBy("s").agg(F.sum(turns).alias("q")).collect():  # a row per source
             quotas[r["s"]] = r["q"]
+        self.n_draws = int(quotas.sum())
 
         def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -145,15 +149,19 @@ class Draw:
         times = times.withColumn("turn", F.col("pass") * F.col("n") + F.col("place"))
         self.draws = cut(times.join(dealt, ["s", "turn"]).select("s", "block", "pass", "shard"), "mix-draws")
 
+    @staticmethod
+    def _near(small: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+
     def _order(self) -> Column:
         return F.xxhash64(F.lit(self.seed + 2), "_h")
 
     def _placed(self, tagged: DataFrame) -> DataFrame:
-        return tagged.join(self.sources, "_sk").withColumn("block", F.pmod(F.col("_h"), F.col("n_blocks")))
+        return tagged.join(self._near(self.sources, self.n_sources), "_sk").withColumn("block", F.pmod(F.col("_h"), F.col("n_blocks")))
 
     def applied(self, tagged: DataFrame) -> DataFrame:
         """Adds to each row ``_spins``, how often it is drawn whole, and ``_rest``, the words of a last, cut draw."""
-        at = self._placed(tagged).join(self.blocks, ["s", "block"], "left")
+        at = self._placed(tagged).join(self._near(self.blocks, self.n_blocks), ["s", "block"], "left")
         before = (self._order() < F.col("edge")).cast("long")
         spins = F.col("spins") + F.when(F.col("edge").isNull(), 0).otherwise(before)
         return at.withColumns({
@@ -192,14 +200,16 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     d = Draw(docs, **options)
     columns = [c for c in docs.columns if c not in ("mix_shard", "mix_pass") and not c.startswith("_")]
-    own = docs.select(F.struct(*columns).alias("_doc"), *dict.fromkeys([d.key, d.text, d.source]))
-    rows = d.applied(_tagged(own, d.seed, d.key, d.text, d.source)).select("_doc", "s", "block", "_h", "_spins", "_rest")
+    own = docs.select(*(F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(columns)), *(F.col(c).alias(f"_use_{c}") for c in dict.fromkeys([d.key, d.text, d.source])))
+    rows = d.applied(_tagged(own, d.seed, f"_use_{d.key}", f"_use_{d.text}", f"_use_{d.source}"))
+    rows = rows.select(*(f"_own_{i}" for i in range(len(columns))), "s", "block", "_h", "_spins", "_rest")
     rows = rows.filter((F.col("_spins") > 0) | (F.col("_rest") > 0))
-    drawn = rows.join(d.draws, ["s", "block"]).filter(F.col("pass") < F.col("_spins") + (F.col("_rest") > 0).cast("long"))
+    drawn = rows.join(d._near(d.draws, d.n_draws), ["s", "block"]).filter(F.col("pass") < F.col("_spins") + (F.col("_rest") > 0).cast("long"))
     drawn = drawn.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(d.seed + 3), "_h", "pass"))
     whole = F.col("pass") < F.col("_spins")
-    text = F.when(whole, F.col(f"_doc.{d.text}")).otherwise(first_words(F.col(f"_doc.{d.text}"), F.col("_rest")))
+    own_text = F.col(f"_own_{columns.index(d.text)}")
+    text = F.when(whole, own_text).otherwise(first_words(own_text, F.col("_rest")))
     return drawn.select(
-        *(text.alias(c) if c == d.text else F.col(f"_doc.`{c}`").alias(c) for c in columns),
+        *(text.alias(c) if c == d.text else F.col(f"_own_{i}").alias(c) for i, c in enumerate(columns)),
         F.col("shard").alias("mix_shard"), F.col("pass").alias("mix_pass"),
     )
