@@ -211,9 +211,47 @@ def test_fingerprints(docs):
     assert all(len(p) == 1 for p in prints.values()) and len(set().union(*prints.values())) == len(prints)
 
 
-def test_likeness_of_written(docs):
-    both = merkle.edited(docs).select("near_edited", merkle.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("x")).collect()
-    assert all(r["near_edited"] == pytest.approx(r["x"]) for r in both)
+def cut_up(t):
+    """Sections, paragraphs and leaves of a text, as texts."""
+    sections = re.findall(r"(?:[^\n]+|\n(?!\n))+\n*|\n+", t)
+    paragraphs = [re.findall(r"[^\n]+\n*|\n+", s) for s in sections]
+    return [[[m[0] for m in re.finditer(r"(?:[^ \n]+ *){1,%d}\n*|[ \n]+" % (1 if len(p) < 64 else 4), p)] for p in ps] for ps in paragraphs]
+
+
+def brute_likeness(a, b):
+    count = lambda x: sum(map(count, x)) if isinstance(x, list) else 1
+
+    def shared(x, y, level):
+        n = next((i for i, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), min(len(x), len(y)))
+        m = next((i for i, (u, v) in enumerate(zip(x[n:][::-1], y[n:][::-1], strict=False)) if u != v), min(len(x), len(y)) - n)
+        p, q, out = x[n : len(x) - m], y[n : len(y) - m], sum(map(count, x[:n])) + sum(map(count, x[len(x) - m :]))
+        if level < 2:
+            return out + sum(shared(u, v, level + 1) for u, v in zip(p, q, strict=False))
+        pairs = [set(itertools.pairwise([None, *z, None])) for z in (p, q)]
+        return out + (2 * len(pairs[0] & pairs[1]) / (len(pairs[0]) + len(pairs[1])) * min(len(p), len(q)) if p and q else 0)
+
+    x, y = cut_up(a), cut_up(b)
+    total = count(x) + count(y)
+    return 1.0 if x == y else min(2 * shared(x, y, 0) / total, 1 - 1 / total)
+
+
+def test_likeness(spark, docs):
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rnd = np.random.default_rng(5)
+    long = "\n\n".join("\n".join(" ".join(f"w{x}" for x in rnd.integers(0, 50, 40)) for _ in range(3)) for _ in range(4))
+    lines = long.split("\n")
+    pairs = [(long, long), (long, "\n".join(lines[:3] + ["new line"] + lines[3:])), (long, "\n".join(lines[1:])), (long, long.replace("w7 ", "w8 ")), (long, "\n".join(lines[::-1])), ("", long), ("", ""),
+             ("a b c d", "d c b a"), ("x y " * 50, "x y " * 49)] + list(itertools.pairwise(list(text.values())[:60]))
+    got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").select("i", merkle.likeness(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("x"))
+    got = {r["i"]: r["x"] for r in got.collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert got[i] == pytest.approx(brute_likeness(a, b)), (a[:50], b[:50])
+    assert got[0] == 1 and got[1] > 0.9 and 0 < got[8] < 1 and got[4] < 0.5 and got[5] == got[7] == 0
+    after = {r["doc_id"]: (r["near_edited"], r["near_next"], r["next_id"]) for r in merkle.edited(docs).collect()}
+    for k, (near, following, other) in after.items():
+        t = text[k]
+        h = len(t) // 2
+        assert near == pytest.approx(brute_likeness(t, t[: len(t) - h] + text[other][:h])) and following == pytest.approx(brute_likeness(t, text[other]))
 
 
 def test_fingerprint_edges(odd, none, spark):
