@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fathomline.llm import spans
 from fathomline.llm.shared import cut
@@ -26,7 +27,7 @@ CANDIDATE = rf"(?<!\S)[^\s0-9@]*+(?:(?<!\p{{L}})[0-9][0-9().-]*+(?:{_GROUP}){{1,
 
 @dataclass(frozen=True)
 class Settings:
-    """Rounds of scoring; the least confidence and number of different seed instances of a pattern; least code points of a find."""
+    """Rounds of bootstrapping; the least confidence and number of different believed instances of a pattern; least code points of a find."""
 
     rounds: int = 3
     confidence: float = 0.8
@@ -91,26 +92,62 @@ def _longest(match: Column, rank: Column) -> Column:
 
 
 def score_patterns(edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Confidence of ``pattern`` for ``rank`` from ``edges`` of ``pattern``, ``instance`` and ``rank`` (-1: not yet known).
+    """Bootstraps patterns from ``edges`` of ``pattern``, ``instance``, ``rank`` (-1: not known) and ``fits``, the kinds that an instance looks like.
 
-    Known instances have confidence 1 for their kind. In each round a pattern's confidence is the mean of its
-    instances', and that of an unknown instance the best of its patterns'. Only patterns with ``support`` different known
-    instances count, so one odd place doesn't spread. Returns ``pattern``, ``rank``, ``confidence`` of accepted ones.
+    Known instances are believed for their kind. In each round a pattern's confidence for a kind is the belief in its
+    instances over their number; with ``support`` believed instances and ``confidence`` it is accepted. What else stands after accepted
+    patterns, and looks the part, is believed as much as the best of them, and is a seed of the next round: so patterns come in
+    that had no seed at first. A pattern gains nothing from what it made believed itself: there the best other pattern
+    counts. Returns ``pattern``, ``rank``, ``confidence`` of accepted ones.
     """
-    graph = cut(edges.groupBy("pattern", "instance").agg(F.max("rank").alias("rank")), "pii-graph")
-    degree = graph.groupBy("pattern").agg(F.count("*").alias("n"))
-    known = graph.filter("rank >= 0").groupBy("pattern", "rank").agg(F.count("*").alias("known"))
-    useful = cut(known.filter(F.col("known") >= settings.support).join(degree, "pattern"), "pii-useful")
-    patterns = useful.withColumn("confidence", F.col("known") / F.col("n"))
-    unknown = graph.filter("rank < 0").select("pattern", "instance")
-    for _ in range(settings.rounds - 1):
-        believed = unknown.join(patterns.select("pattern", "rank", "confidence"), "pattern")
-        believed = believed.groupBy("instance", "rank").agg(F.max("confidence").alias("c"))
-        gained = unknown.join(believed, "instance").groupBy("pattern", "rank").agg(F.sum("c").alias("gained"))
-        gained = useful.join(gained, ["pattern", "rank"], "left")
-        share = (F.col("known") + F.coalesce(F.col("gained"), F.lit(0.0))) / F.col("n")
-        patterns = cut(gained.select("pattern", "rank", "known", "n", share.alias("confidence")), "pii-patterns")
-    return patterns.filter(F.col("confidence") >= settings.confidence).select("pattern", "rank", "confidence")
+    graph = cut(edges.groupBy("pattern", "instance").agg(F.max("rank").alias("rank"), F.first("fits").alias("fits")), "pii-graph")
+    degree = cut(graph.groupBy("pattern").agg(F.count("*").alias("n")), "pii-degrees")
+    known = cut(graph.filter("rank >= 0").groupBy("pattern", "rank").agg(F.count("*").cast("double").alias("sum"), F.count("*").alias("seeds")), "pii-known")
+    unknown = graph.filter("rank < 0").select("pattern", "instance", F.explode("fits").alias("rank"))
+    believed = known
+    for turn in range(settings.rounds):
+        summed = believed.groupBy("pattern", "rank").agg(F.sum("sum").alias("sum"), F.sum("seeds").alias("seeds")).filter(F.col("seeds") >= settings.support)
+        scored = summed.join(degree, "pattern").withColumn("confidence", F.col("sum") / F.col("n")).filter(F.col("confidence") >= settings.confidence)
+        accepted = cut(scored.select("pattern", "rank", "confidence"), "pii-patterns")
+        if turn == settings.rounds - 1:
+            break
+        found = unknown.join(accepted, ["pattern", "rank"])
+        best = cut(found.groupBy("instance", "rank").agg(F.max(F.struct("confidence", "pattern")).alias("best")), "pii-best")
+        second = found.join(best, ["instance", "rank"]).filter(F.col("pattern") != F.col("best.pattern"))
+        second = second.groupBy("instance", "rank").agg(F.max("confidence").alias("second"))
+        belief = best.join(second, ["instance", "rank"], "left")
+        gained = unknown.join(belief, ["instance", "rank"])
+        outside = F.when(F.col("pattern") == F.col("best.pattern"), F.coalesce("second", F.lit(0.0))).otherwise(F.col("best.confidence"))
+        gained = gained.groupBy("pattern", "rank").agg(F.sum(outside).alias("sum"), F.sum((outside > 0).cast("long")).alias("seeds"))
+        believed = known.unionByName(gained)
+    return accepted
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """``row``, ``start``, ``match``, ``left`` and ``rank`` of each token; -1 where it touches no base span, else the kind and match of the one that
+    starts in it. Tokens inside a base span that started before go. Of digit groups with a base span behind the first, what stands before it is left.
+
+    Tokens and base spans of a document meet in order, so the time doesn't grow with the product of their numbers.
+    """
+    both = F.concat(F.transform("tokens", lambda t: F.struct(t["start"], F.lit(0).alias("base"), t["rank"], t["end"], t["match"], t["left"])),
+                    F.transform("base", lambda b: F.struct(b["start"], F.lit(1).alias("base"), b["rank"], b["end"], b["match"], F.lit("").alias("left"))))
+    each = rows.filter(F.size("tokens") > 0).select("row", F.explode(both).alias("s")).select("row", "s.*")
+    order = Window.partitionBy("row").orderBy("start", "base", "rank")
+    token, sofar = F.col("base") == 0, order.rowsBetween(Window.unboundedPreceding, 0)
+    # The first digit group decides whether a token is in a base span.
+    head = F.col("start") + F.length(F.substring_index("match", " ", 1))
+    each = each.withColumns({
+        "turn": F.sum(token.cast("int")).over(sofar), "head": F.last(F.when(token, head), True).over(sofar), "to": F.last(F.when(token, F.col("end")), True).over(sofar),
+        "reached": F.max(F.when(~token, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    inside = F.when(~token & (F.col("start") < F.col("head")), F.struct("start", "rank", "match"))
+    later = F.when(~token & (F.col("start") >= F.col("head")) & (F.col("start") < F.col("to")), F.col("start"))
+    found = each.filter("turn > 0").groupBy("row", "turn").agg(
+        F.max(F.when(token, F.struct("start", "end", "match", "left", F.coalesce(F.col("reached") > F.col("start"), F.lit(False)).alias("covered")))).alias("t"),
+        F.min(inside).alias("b"), F.min(later).alias("later"),
+    ).filter(F.col("b").isNotNull() | ~F.col("t.covered"))
+    whole = F.rtrim(F.substring(F.col("t.match"), F.lit(1), (F.coalesce("later", F.col("t.end")) - F.col("t.start")).cast("int")))
+    return found.select("row", F.col("t.start").alias("start"), F.coalesce(F.col("b.match"), whole).alias("match"), F.col("t.left").alias("left"), F.coalesce(F.col("b.rank"), F.lit(-1)).alias("rank"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -120,7 +157,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Set
     patterns, and every token with a digit or at sign is an instance of the patterns before it; digit groups with single spaces
     between them are one instance. :func:`score_patterns` finds patterns that are followed by personal data nearly always; other
     instances after those are added to ``found`` with the kind of the pattern, if they look the part and touch no base span: of
-    digit groups, as many as do (:func:`_longest`). Texts are read once; what goes on is spans and counts.
+    digit groups, as many as do (:func:`_longest`). Texts are read once; what goes on is spans and counts. Contexts are words
+    since the last token, of the last :data:`spans.LEFT` code points; a token right behind another has none.
 
     Offsets count code points of the whole text; ends are exclusive. NULL texts count as empty. Repeated rows are rows of
     their own but one instance of their patterns. An empty table gives no rows. Other columns are ignored.
@@ -129,24 +167,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Set
     tokens = spans.only_if(F.col("_text").rlike("[0-9@]"), spans.matches(F.col("_text"), CANDIDATE, -1))
     rows = docs.select(F.col(key), body.alias("_text")).select(key, base_spans(F.col("_text")).alias("base"), tokens.alias("tokens"))
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "pii-spans")
-    # Of a number written with spaces, the first group decides whether it is in a base span; it ends before the next one.
-    places = rows.filter(F.size("tokens") > 0).select("row", "base", F.explode("tokens").alias("t"))
-    places = places.withColumn("head", F.col("t.start") + F.length(F.substring_index("t.match", " ", 1)))
-    touching = F.filter("base", lambda b: (b["start"] < F.col("head")) & (F.col("t.start") < b["end"]))
-    later = F.array_min(F.transform(F.filter("base", lambda b: (b["start"] >= F.col("head")) & (b["start"] < F.col("t.end"))), lambda b: b["start"]))
-    whole = F.rtrim(F.substring(F.col("t.match"), F.lit(1), (F.coalesce(later, F.col("t.end")) - F.col("t.start")).cast("int")))
-    places = places.select("row", "t", whole.alias("whole"), touching.alias("in_base"))
-    # Tokens inside a base span stand for it once: the one that the span starts in.
-    first = F.exists("in_base", lambda b: b["start"] >= F.col("t.start"))
-    places = places.filter((F.size("in_base") == 0) | first).select(
-        "row", F.col("t.start").alias("start"), F.coalesce(F.get(F.array_sort("in_base"), 0)["match"], F.col("whole")).alias("match"),
-        F.coalesce(F.get(F.array_sort("in_base"), 0)["rank"], F.lit(-1)).alias("rank"), F.explode(_contexts(F.col("t.left"))).alias("pattern"),
-    )
-    accepted = score_patterns(places.select("pattern", F.xxhash64("match").alias("instance"), "rank"), settings)
+    fits = F.filter(F.array(*(F.when(_longest(F.col("match"), F.lit(k)).isNotNull(), F.lit(k)) for k in range(len(KINDS)))), lambda k: k.isNotNull())
+    places = _places(rows).withColumn("fits", F.when(F.col("rank") < 0, fits).otherwise(F.array().cast("array<int>")))
+    places = cut(places.select("row", "start", "match", "rank", "fits", F.explode(_contexts(F.col("left"))).alias("pattern")), "pii-places")
+    accepted = score_patterns(places.select("pattern", F.xxhash64("match").alias("instance"), "rank", "fits"), settings)
     lead, tail = F.length(F.regexp_extract("match", r"^[^\p{L}0-9+]*", 0)), F.length(F.regexp_extract("match", r"[^\p{L}0-9]*$", 0))
     start, end = F.col("start") + lead, F.col("start") + F.length("match") - tail
     new = (
-        places.filter("rank < 0").drop("rank").join(accepted, "pattern").withColumn("match", _longest(F.col("match"), F.col("rank")))
+        places.filter("rank < 0").drop("rank", "fits").join(accepted, "pattern").withColumn("match", _longest(F.col("match"), F.col("rank")))
         .filter(F.col("match").isNotNull() & (end - start >= settings.shortest))
         .groupBy("row", start.alias("start"), end.alias("end"))
         .agg(F.max_by("rank", F.struct("confidence", -F.col("rank"))).alias("rank"))

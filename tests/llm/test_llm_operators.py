@@ -317,6 +317,7 @@ def test_base_spans(spark, docs, odd, none, module, brute, names):
 
 def test_bootstrapped_identifiers(spark):
     rows = [(i, f"Dear reader, my phone: +1 (20{i}) 555-010{i} thanks") for i in range(6)] + [(6, "or my phone: 555 0109 9 today"), (7, "my phone: 5550-1234-9 ok"), (8, "version 2.10.123 of it")]
+    rows += [(9 + i, f"Dear reader, my phone: +1 (30{i}) 555-010{i} thanks") for i in range(6)]
     got = {r["doc_id"]: r["spans"] for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[7] == "phone:10:21" and got[8] == "" and all(got[i].startswith("phone") for i in range(6))
 
@@ -324,6 +325,8 @@ def test_bootstrapped_identifiers(spark):
 def test_bootstrapped_identifiers_with_spaces(spark):
     seeds = [f"Dear reader, my phone: +1 (20{i}) 555-010{i} thanks" for i in range(6)] + [f"my card: 4111 1111 1111 1111{'' if i else '.'} ok" for i in range(2)]
     seeds += ["my card: 5500 0000 0000 0004 ok", "my card: 4012 8888 8888 1881 ok"]
+    # Enough of them: a pattern counts only where four of five different instances are known.
+    seeds += [f"Dear reader, my phone: +1 (3{i}) 555-01{i} thanks" for i in range(10, 60)] + ["my card: 5555 5555 5555 4444 ok", "my card: 6011 1111 1111 1117 ok"]
     asked = {
         "or my phone: 555 0109 9 today": "555 0109 9", "my phone: 555 010 9999": "555 010 9999", "my phone: (555) 123-4567, ok": "555) 123-4567", "my phone: 555.010 99-99. Then 12": "555.010 99-99",
         "my phone: 5550109999 12345678 ok": "5550109999", "my phone: 555 0109 2nd floor": "555 0109", "my card: 4111 1111 1111 1112 ok": "4111 1111 1111 1112", "my phone: 555 12 and 34 5": "",
@@ -335,6 +338,21 @@ def test_bootstrapped_identifiers_with_spaces(spark):
         assert [t[slice(*map(int, s.split(":")[1:]))] for s in got[i].split(",") if s] == [part] * bool(part), t
 
 
+def test_bootstrapping_over_rounds(spark):
+    """A pattern without seeds comes in through instances that another one found; half-known patterns don't; planted spans are found."""
+    rows = [f"reach me by phone: +1 (20{i % 10}) 555-0{100 + i}" for i in range(100)] + [f"reach me by phone: 555-777-{1000 + i}" for i in range(8)]
+    rows += [f"just dial 555-777-{1000 + i} now" for i in range(8)] + [f"reach me by fax: 555-777-{1000 + i} or" for i in range(2)] + [f"reach me by phone: 555-888-{1000 + i}" for i in range(8)]
+    rows += [f"just dial 555-888-{1000 + i} now" for i in range(8)] + ["just dial 555-999-1234 now"]
+    rows += [f"order +49 30 12345{i:02} x" for i in range(5)] + [f"order 77{i}5-1234-88 x" for i in range(6)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(df).collect()}
+    planted = [i for i, t in enumerate(rows) if "555-777" in t and "fax" not in t or "555-888" in t or "555-999" in t]
+    caught = [i for i in planted if got[i].startswith("phone:")]
+    assert len(caught) >= 0.9 * len(planted) and rows.index("just dial 555-999-1234 now") in caught
+    wrong = [i for i, t in enumerate(rows) if t.startswith("order 77") and got[i]]
+    assert not wrong
+
+
 def brute_entropy(s, w=20):
     return max((-sum(n / w * math.log2(n / w) for n in Counter(s[i : i + w]).values()) for i in range(len(s) - w + 1)), default=0.0)
 
@@ -361,6 +379,7 @@ def test_long_candidates(spark, tmp_path):
     assert got[1]["spans"] == f"entropy:0:{len(key)}" and got[5]["spans"] == "entropy:40:5040"
     assert {r["doc_id"] for r in secrets.redact(df).filter("doc_id IN (1, 5)").filter("text LIKE '%[SECRET]'").collect()} == {1, 5}
     assert df.filter("doc_id = 5").select(secrets.entropy(F.substring("text", 41, 5000)).alias("h")).first()["h"] == pytest.approx(brute_entropy(key[:5_000]))
+    assert pii.digest(df).filter("doc_id = 3").first()["n_email"] == 20_000
     assert merkle.edited(df).count() == langid.identify(df.withColumn("lang", F.lit("en"))).count() == len(texts)
     assert time.time() - began < 120
 
