@@ -11,57 +11,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomline.llm.shared import cut
+from fathomline.llm.shared import cut, tidy
 
-#: Vectors of a candidate block and of a query block; queries that are bounded at once.
-BLOCK, QUERIES, BATCH = 16_384, 2_048, 64
-#: Shares of a list's length that are read before bounds are looked at again.
-DEPTHS = (0.3, 0.5, 0.7)
+#: Vectors of a candidate block and of a query block.
+BLOCK, QUERIES = 16_384, 2_048
+#: A list is read on by this part of its length; reads between looks at the bounds, as a share of all lists.
+STEP, LOOK = 8, 4
+#: Slots of query blocks of one dimension: pairs of blocks meet by slot, not by dimension alone.
+SLOTS = 64
 
 
-def top_k(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query of ``q``, the ids and scores of the best ``k`` rows of ``x`` with another id, ties to the smaller id.
+class Lists:
+    """A block of vectors with a sorted list of its rows for each component."""
 
-    Each component has a list of the rows, sorted. A query reads it from the end where its own component has the greater
-    products. After a depth, a component of a row is known if the list was read as far as it; else it lies between the
-    last value read and the list's other end. With those, a row has an upper and a lower score bound: the sum of its known
-    products and of the bounds of the others. Rows whose upper bound is below the k-th best lower bound can't qualify. When
-    no more than a few are left, or the lists end, the scores of those left are resolved. Sorted access only, and all
-    arithmetic on integers, held in floats while they are exact there.
+    def __init__(self, x: np.ndarray, ids: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.x, self.ids = x[order], ids[order]
+        self.rows = np.ascontiguousarray(np.argsort(self.x, axis=0, kind="stable").T.astype(np.int32))
+        self.values = np.ascontiguousarray(np.take_along_axis(self.x.T, self.rows, axis=1))
+
+
+def top_k(lists: Lists, q: np.ndarray, q_id: int, k: int, stats: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the best ``k`` rows with another id than ``q_id``, ties to the smaller id; no random access until the end.
+
+    Each list is read in order from the end where its products are greatest. Of a row, products that were read are known; each
+    other one lies between the product of the last value read from its list and that of the list's other end. A read changes the sums of
+    the rows that it or an earlier one of its list met, and nothing else: ``high`` and ``low`` hold, for each row, its known products less the
+    list bounds that they replace. The list whose bounds lie farthest apart is read next. Now and then, rows whose upper bound is
+    below the ``k``-th best lower bound go: they can't qualify any more. When few are left, or the lists end, scores of those left are
+    resolved. All arithmetic is on integers, held in floats where they are exact there. ``stats`` counts entries ``read`` of ``all`` and rows
+    ``resolved``.
     """
-    n, d = x.shape
-    reach = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(d, 1)
-    kind = np.float32 if reach < 2**23 else np.float64 if reach < 2**52 else np.int64
-    x, q = x.astype(kind), q.astype(kind)
-    lists = np.sort(x, axis=0)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    order = np.argsort(ids, kind="stable")
-    x, ids = x[order], ids[order]
-    levels = []
-    for share in DEPTHS if n > 64 * k else ():
-        depth = int(n * share)
-        high, low = lists[n - depth], lists[depth - 1]  # the last values read from either end
-        known_up, known_down = x >= high, x <= low
-        levels.append((
-            np.maximum(x, high), np.minimum(x, low),  # for upper bounds
-            np.where(known_up, x, lists[0]), np.where(known_down, x, lists[-1]),  # for lower bounds
-        ))
-    for i in range(0, len(q), BATCH):
-        u, v, rows = up[i : i + BATCH], down[i : i + BATCH], slice(i, i + BATCH)
-        left = np.ones((len(u), n), bool)
-        left &= ids[None, :] != q_ids[rows, None]
-        for a, b, c, e in levels:
-            upper, lower = u @ a.T + v @ b.T, u @ c.T + v @ e.T
-            lower[~left] = -np.inf if kind != np.int64 else np.iinfo(kind).min
-            least = np.partition(lower, n - k, axis=1)[:, n - k]
-            left &= upper >= least[:, None]
-            if left.sum(1).max() <= 4 * k:
-                break
-        for j in range(len(u)):
-            of = np.flatnonzero(left[j])
-            score = (x[of] @ q[i + j]).astype(np.int64)
-            best = np.lexsort((ids[of], -score))[:k]
-            yield i + j, ids[of[best]], score[best]
+    n, d = lists.x.shape
+    left = np.flatnonzero(lists.ids != q_id)
+    up = q > 0
+    # Products of what the next read of a list may still meet at most, and of its other end.
+    top = np.where(up, lists.values[:, -1], lists.values[:, 0]) * q if n else np.zeros(d, q.dtype)
+    end = np.where(up, lists.values[:, 0], lists.values[:, -1]) * q if n else np.zeros(d, q.dtype)
+    high, low, depth, reads, step = np.zeros(n, q.dtype), np.zeros(n, q.dtype), np.zeros(d, np.int64), 0, max(1, -(-n // STEP))
+    apart = top - end
+    while len(left) > 4 * k and apart.any():
+        j = int(apart.argmax())
+        s, e = int(depth[j]), min(n, int(depth[j]) + step)
+        at = slice(n - e, n - s) if up[j] else slice(s, e)
+        rows, products = lists.rows[j, at], lists.values[j, at] * q[j]
+        last = products[0] if up[j] else products[-1]
+        before = lists.rows[j, n - s :] if up[j] else lists.rows[j, :s]
+        high[before] += top[j] - last
+        high[rows] += products - last
+        low[rows] += products - end[j]
+        top[j], depth[j] = last, e
+        apart[j] = 0 if e == n else last - end[j]
+        reads += 1
+        if reads % max(1, d // LOOK) == 0:
+            lower = low[left] + end.sum()
+            least = np.partition(lower, len(left) - k)[len(left) - k]
+            left = left[high[left] + top.sum() >= least]
+    if stats is not None:
+        for name, more in (("read", int(depth.sum())), ("all", n * d), ("resolved", len(left)), ("rows", n)):
+            stats[name] = stats.get(name, 0) + more
+    score = (lists.x[left] @ q).astype(np.int64)
+    best = np.lexsort((lists.ids[left], -score))[:k]
+    return lists.ids[left[best]], score[best]
+
+
+def _exact(x: np.ndarray, q: np.ndarray) -> type:
+    """Floats where all sums of products are exact in them, else integers."""
+    return np.float64 if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(x.shape[1], 1) < 2**51 else np.int64
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
@@ -95,7 +111,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, k
     """The ``k`` best rows by integer inner product for each query row, every row but the query's own being a candidate.
 
     Components become ``floor(scale * x)``. Candidates and queries are packed into blocks; each pair of blocks is searched by
-    :func:`top_k`, and the best of all pairs are ranked. Data grow with rows plus blocks of queries times candidates.
+    :func:`top_k`, and the best of all pairs are ranked. Blocks of queries are a stated set against all rows: a candidate block is
+    read once for each. A block's lists are sorted once for a query block.
 
     Returns ``query_id``, ``rank`` (from 1), ``key``, ``score``; fewer than ``k`` rows where there are fewer candidates. Ties go to
     the smaller id. Vectors that are NULL or hold NULL, NaN or infinite components take no part, nor do rows without an id;
@@ -108,19 +125,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, k
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad)
     rows = rows.withColumn("v", F.transform("v", lambda c: F.floor(c * scale).cast("double")))
     candidates = cut(_packed(rows.select("id", "v"), BLOCK), "topk-rows")
-    asked = cut(_packed(rows.filter("asks").select("id", "v").coalesce(4), QUERIES), "topk-queries")
-    pairs = candidates.select("block", "d").join(asked.select(F.col("block").alias("ask"), "d"), "d")
-    pairs = pairs.join(candidates, ["block", "d"])
-    pairs = pairs.join(asked.select(F.col("block").alias("ask"), "d", F.col("ids").alias("q_ids"), F.col("data").alias("q")), ["ask", "d"])
+    queries = cut(rows.filter("asks").select("id", "v"), "topk-asks")
+    asked = cut(_packed(queries.repartition(max(1, -(-queries.count() // QUERIES))), QUERIES), "topk-queries")
+    slot = F.pmod(F.xxhash64("ask"), F.lit(SLOTS)).cast("int").alias("slot")
+    pairs = candidates.select("block", "d", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot")).join(asked.select(F.col("block").alias("ask"), "d").select("ask", "d", slot), ["d", "slot"])
+    pairs = pairs.select("block", "ask").join(candidates, "block")
+    pairs = pairs.join(asked.select(F.col("block").alias("ask"), F.col("ids").alias("q_ids"), F.col("data").alias("q")), "ask")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidy(batches):
             for r in b.itertuples():
-                x = np.frombuffer(r.data, np.float64).reshape(-1, r.d)
-                q = np.frombuffer(r.q, np.float64).reshape(-1, r.d)
+                x, q = np.frombuffer(r.data, np.float64).reshape(-1, r.d), np.frombuffer(r.q, np.float64).reshape(-1, r.d)
                 ids, q_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                for i, found, score in top_k(x, ids, q, q_ids, k):
-                    yield pd.DataFrame({"query_id": q_ids[i], key: found, "score": score})
+                kind = _exact(x, q)
+                lists, q = Lists(x.astype(kind), ids), q.astype(kind)
+                out = [(i, *top_k(lists, v, i, k)) for i, v in zip(q_ids.tolist(), q, strict=True)]
+                yield pd.DataFrame({"query_id": np.repeat(q_ids, [len(f) for _, f, _ in out]), key: np.concatenate([f for _, f, _ in out]), "score": np.concatenate([s for _, _, s in out])})
 
     found = pairs.select("d", "ids", "data", "q_ids", "q").mapInPandas(best, f"query_id long, `{key}` long, score long")
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))

@@ -184,6 +184,20 @@ def test_top_k(spark, data, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_bounds_save_reads():
+    """Where vectors lie in groups, lists are left before their end and most rows are never resolved; results stay exact."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 300, (40, 32))
+    x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(0, 20, (4000, 32)))
+    ids, stats = rng.permutation(4000), {}
+    lists = topk.Lists(x, ids)
+    for i in range(0, 4000, 200):
+        got, score = topk.top_k(lists, x[i], int(ids[i]), 5, stats)
+        want = sorted((-s, int(k)) for s, k in zip(x @ x[i], ids, strict=True) if k != ids[i])[:5]
+        assert [(-int(s), int(k)) for s, k in zip(score, got, strict=True)] == [(int(s), k) for s, k in want]
+    assert stats["read"] < 0.95 * stats["all"] and stats["resolved"] < 0.05 * stats["rows"], stats
+
+
 def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0]), (50, [-1.0, 0.5]), (None, [1.0, 1.0]), (8, []), (9, [1e9, 1e9])]
