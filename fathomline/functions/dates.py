@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.text import collapse, text
 
-# Date tokens, by priority.
-_MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+# Date tokens, by priority; month names.
 TOKENS = [
-    r"(\d{4}-\d{2}-\d{2})", r"(\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{4})", r"(\d{4}[/\-\.]\d{1,2}[/\-\.]\d{1,2})",
-    rf"(\d{{1,2}}\s+{_MONTH}\s+\d{{4}})", rf"({_MONTH}\s+\d{{1,2}},?\s+\d{{4}})",
-]
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+    r"(\d{4}-\d{2}-\d{2})",
+    r"(\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{4})",
+    r"(\d{4}[/\-\.]\d{1,2}[/\-\.]\d{1,2})",
+    r"(\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{4})",
+    r"((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4})",
+]
+MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
 
 
 def valid(year: Column, month: Column, day: Column) -> Column:
@@ -47,8 +49,8 @@ def month_name(c: Column) -> Column:
     first, second = r"^(\d{1,2}) ([A-Za-z]{3,}) (\d{4})$", r"^([A-Za-z]{3,}) (\d{1,2}),? (\d{4})$"
 
     def named(pattern: str, year: int, month: int, day: int) -> Column:
-        at = F.instr(F.lit(MONTHS), F.lower(F.left(F.regexp_extract(s, pattern, month), F.lit(3))))
-        number = F.when((at > 0) & ((at - 1) % 3 == 0), (((at - 1) / 3).cast("int") + 1).cast("string"))
+        numbers = F.create_map(*(F.lit(x) for name, n in MONTHS.items() for x in (name, str(n))))
+        number = F.try_element_at(numbers, F.lower(F.left(F.regexp_extract(s, pattern, month), F.lit(3))))
         return F.when(s.rlike(pattern) & number.isNotNull(), valid(F.regexp_extract(s, pattern, year), number, F.regexp_extract(s, pattern, day)))
 
     return F.coalesce(named(first, 3, 2, 1), named(second, 3, 1, 2))

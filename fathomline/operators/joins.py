@@ -98,16 +98,21 @@ def with_local(server: DataFrame, local: DataFrame, key: str = "profile_id", ord
 
 
 def located_entities(tokens: Column, names: Column) -> Column:
-    """JON09: for each name the first place where its words stand in ``tokens``: structs ``name``, ``start``, ``end`` (inclusive)."""
-    low = F.transform(tokens, F.lower)
+    """JON09: for each name the first place where it stands in the joined ``tokens``, inside words too: structs ``name``, ``start``, ``end`` (inclusive).
+
+    The start is the number of tokens before, counting one that the name starts inside as its own; the end follows from its words.
+    """
+    joined = F.array_join(tokens, " ")
+    words = lambda s: F.regexp_count(s, F.lit(r"(?U)\S+"))
 
     def place(n: Column) -> Column:
-        words = F.split(F.lower(strip(n)), r"\s+")
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(low), F.lit(1))), lambda i: F.slice(low, i, F.size(words)) == words)
-        at = F.try_element_at(starts, F.lit(1)) - 1
-        return F.struct(n.alias("name"), at.alias("start"), (at + F.size(words) - 1).alias("end"))
+        at = F.instr(F.lower(joined), F.lower(n))
+        before = F.left(joined, at - 1)
+        start = words(before) - ((before != "") & ~F.endswith(before, F.lit(" "))).cast("int")
+        return F.struct(n.alias("name"), at.alias("at"), start.alias("start"), F.least(start + words(n) - 1, F.size(tokens) - 1).alias("end"))
 
-    return F.filter(F.transform(F.filter(names, lambda n: strip(n) != ""), place), lambda x: x["start"].isNotNull())
+    found = F.filter(F.transform(F.filter(names, lambda n: n != ""), place), lambda x: x["at"] > 0)
+    return F.transform(found, lambda x: F.struct(x["name"], x["start"], x["end"]))
 
 
 def resolved_spans(relations: DataFrame, spans: DataFrame, by: Sequence[str] = ("query_id",)) -> DataFrame:

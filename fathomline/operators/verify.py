@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fathomline.functions.scores import support
-from fathomline.functions.text import text
+from fathomline.functions.text import strip, text
 from fathomline.operators.retrieval import ranked
 from fathomline.params import DEFAULT, Params
 
@@ -49,11 +49,15 @@ def budgeted_text(docs: DataFrame, budget: int, by: Sequence[str] = ("query_id",
 
 
 def prompt_block(docs: DataFrame, by: Sequence[str] = ("query_id",), order: str = "order", p: Params = DEFAULT) -> DataFrame:
-    """TXT27: a header, the content's head on one line, and a rule, for each document in order."""
-    body = F.left(F.translate(text(F.col("content")), "\r\n", "  "), F.lit(p.prompt_doc_chars))
-    head = F.concat_ws(" | ", *(F.concat(F.lit(f"{n}: "), text(F.col(c))) for n, c in (("Title", "title"), ("Source", "source"), ("Date", "source_date"), ("URL", "url"))))
-    item = F.struct(order, F.concat_ws("\n", head, body, F.lit("---")).alias("t"))
-    return docs.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "\n").alias("documents_block"))
+    """TXT27: for each of the first documents in order a numbered header, the content's head on one line, and a rule."""
+    rows = ranked(docs, by, [order], p.max_docs, "_n")
+    # The fields of a header and what stands for a missing one.
+    fields = [("Source", "source", "Unknown"), ("Title", "title", "Untitled"), ("Date", "source_date", "N/A"), ("URL", "url", "#")]
+    named = F.concat_ws(" | ", *(F.concat(F.lit(f"{n}: "), F.coalesce(F.col(c).cast("string"), F.lit(other))) for n, c, other in fields))
+    head = F.concat(F.lit("["), F.col("_n").cast("string"), F.lit("] "), named)
+    body = F.concat(F.lit("    Content: "), strip(F.replace(F.left(text(F.col("content")), F.lit(p.prompt_doc_chars)), F.lit("\n"), F.lit(" "))))
+    item = F.struct("_n", F.concat_ws("\n", head, body, F.lit("---")).alias("t"))
+    return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "\n").alias("documents_block"))
 
 
 def prompt(template: str, **parts: Column) -> Column:

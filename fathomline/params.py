@@ -104,8 +104,18 @@ HIGH_RISK_KEYWORDS = [
     "disciplinary", "sanction", "penalty", "fine", "convicted", "arrested", "macc", "sprm", "pdrm", "bnm enforcement", "sc malaysia",
     "bursa enforcement",
 ]
-# Query suffixes, the first of the profile's.
-QUERY_SUFFIXES = ["credit rating", "rating action", "ram ratings", "marc ratings", "annual report"]
+# Query suffixes of profiles and of loan cases, in order.
+QUERY_SUFFIXES = [
+    "credit rating", "rating action", "ram ratings", "marc ratings", "annual report", "sustainability report", "sustainability statement", "esg report",
+    "financing", "financing facility", "term loan", "loan facility", "facility agreement", "corporate guarantee", "guarantor", "issuer", "programme", "sukuk",
+    "sukuk programme", "trust deed", "information memorandum", "principal terms", "bursa announcement", "kemudahan pembiayaan", "kemudahan kredit",
+    "perjanjian kemudahan", "jaminan korporat", "penjamin", "terbitan sukuk", "board changes", "director appointment",
+]
+LOAN_CASE_SUFFIXES = [
+    "corporate guarantee", "guarantor", "facility agreement", "term loan", "loan facility", "financing facility", "sukuk programme", "information memorandum",
+    "trust deed", "rating action", "credit rating", "issuer", "programme", "sukuk", "principal terms", "bursa announcement", "jaminan korporat", "penjamin",
+    "perjanjian kemudahan", "kemudahan pembiayaan", "kemudahan kredit", "terbitan sukuk",
+]
 # Sites whose pages are never fetched, marks of files and of enforcement pages.
 SKIP_DOMAINS = ["twitter.com", "x.com", "facebook.com", "instagram.com", "youtube.com", "reddit.com", "linkedin.com", "tiktok.com"]
 PDF_URL_KEYWORDS = ["disclosure.bursamalaysia.com/fileaccess/apbursaweb/download", "/fileaccess/apbursaweb/download", "ea_ds_attachments"]

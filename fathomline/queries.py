@@ -82,9 +82,7 @@ SENTENCES = "string_split(regexp_replace({}, '([.?!])\\s+', '\\1' || chr(1), 'g'
 scalar("txt11_claims", "documents", "doc_id", claims=(lambda: F.array_join(tx.claims(c("text")), "|"),
        "array_to_string(list_filter(list_transform(" + SENTENCES.format(f"trim({WS.format('text')})") + ", lambda x: trim(x)), lambda x: length(x) >= 20)[1:10], '|')"))
 scalar("txt12_evidence_text", "documents", "doc_id", t=(lambda: tx.evidence_text(c("text")), f"trim({WS.format('left(trim(text, chr(32) || chr(10)), 1500)')})"))
-scalar("txt13_full_sentence", "documents", "doc_id", t=(lambda: tx.to_full_sentence(F.substring("text", 1, 500)),
-       r"CASE WHEN regexp_matches(left(text, 500), '[.?!]') THEN regexp_extract(trim(left(text, 500), chr(32) || chr(10)), '^(.*[.?!])', 1, 's') ELSE trim(left(text, 500), chr(32) || chr(10)) END"))
-scalar("txt13_full_sentence_whole", "documents", "doc_id", t=(lambda: tx.to_full_sentence(c("text")),
+scalar("txt13_full_sentence", "documents", "doc_id", t=(lambda: tx.to_full_sentence(c("text")),
        r"CASE WHEN regexp_matches(text, '[.?!]') THEN regexp_extract(trim(text, chr(32) || chr(10)), '^(.*[.?!])', 1, 's') ELSE trim(text, chr(32) || chr(10)) END"))
 scalar("txt14_strip_preface", "benchmark", "item_id", t=(lambda: tx.strip_preface(F.concat(F.lit("Here is the SNAPSHOT : "), c("text"))), "trim(text, chr(32) || chr(10))"))
 HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
@@ -120,9 +118,6 @@ scalar("mth03_distance_score", "customer", "c_custkey", x=(lambda: scores.distan
 scalar("mth04_decay", "customer", "c_custkey", x=(lambda: F.round(scores.decay(c("c_custkey") - 20, 30), 6), "round(exp(-greatest(c_custkey - 20, 0) / 30.0::DOUBLE), 6)"))
 scalar("mth05_support", "lineitem", "l_orderkey, l_linenumber".split(", ")[0], x=(lambda: F.round(scores.support(c("l_discount") * 8, c("l_tax") * 4), 6), "round(greatest(least(l_discount * 8 + l_tax * 4 * 0.5::DOUBLE, 1.0), 0.0), 6)::DOUBLE"))
 scalar("mth06_band", "lineitem", "l_orderkey", b=(lambda: scores.band(c("l_discount") * 10), "CASE WHEN l_discount * 10 >= 0.7 THEN 'high' WHEN l_discount * 10 >= 0.4 THEN 'medium' ELSE 'low' END"))
-scalar("mth07_jaccard", "documents", "doc_id", j=(lambda: F.round(scores.jaccard(F.array_distinct(F.split(F.substring("text", 1, 200), " ")), F.array_distinct(F.split(F.substring("text", 101, 200), " "))), 6),
-       "round(len(list_intersect(list_distinct(string_split(left(text, 200), ' ')), list_distinct(string_split(substring(text, 101, 200), ' '))))::DOUBLE / "
-       "len(list_distinct(list_concat(string_split(left(text, 200), ' '), string_split(substring(text, 101, 200), ' ')))), 6)"))
 scalar("flt05_pdf", "pages", "page_id", p=(lambda: filters.is_pdf(F.lit(""), F.concat(c("url"), F.when(c("page_id") % 3 == 0, ".PDF").otherwise(""))), "page_id % 3 = 0 AND NOT contains(url, '?') AND NOT contains(url, '#') OR contains(url, 'ea_ds_attachments')"))
 scalar("flt06_skip_sites", "pages", "page_id", s=(lambda: filters.skipped_site(c("url")), " OR ".join(f"contains(lower(url), '{d}')" for d in SKIP_DOMAINS)))
 scalar("flt07_any_word", "documents", "doc_id", m=(lambda: filters.any_query_word(c("text"), F.array(F.lit("the"), F.lit("der"), F.lit("que")), 2), "(contains(lower(text), 'the')::INT + contains(lower(text), 'der')::INT + contains(lower(text), 'que')::INT >= 2) AND trim(text) <> ''"))
@@ -265,12 +260,12 @@ def snk08_to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, and the benchmark passage of their query: its number is theirs modulo 40."""
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(c("item_id").alias("query_id"), F.substring("text", 1, 12).alias("query"))
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("query"))
     d = d.select("doc_id", (c("doc_id") % 40).alias("query_id"), c("text").alias("content"), F.lit("").alias("title"), F.lit("").alias("snippet"), "source")
     return d.join(b, "query_id")
 
 
-@query(f"""WITH d AS (SELECT doc_id, item_id AS query_id, contains(lower({WS.format('d.text')}), lower(trim({WS.format('left(b.text, 12)')}))) AND length(trim({WS.format('left(b.text, 12)')})) >= 6 AS hit
+@query(f"""WITH d AS (SELECT doc_id, item_id AS query_id, contains(lower({WS.format('d.text')}), lower(trim({WS.format('b.text')}))) AND length(trim({WS.format('b.text')})) >= 6 AS hit
     FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id) SELECT doc_id, query_id FROM d QUALIFY hit OR NOT max(hit) OVER (PARTITION BY query_id)""")
 def flt01_prefer_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.prefer_phrase(passages(spark, sf_dir)).select("doc_id", "query_id")
@@ -296,7 +291,7 @@ COSINE = ("list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x:
 
 @query("""SELECT a.doc_id, round(len(list_intersect(list_distinct(string_split(a.text, ' ')), list_distinct(string_split(b.text, ' '))))::DOUBLE / len(list_distinct(list_concat(string_split(a.text, ' '), string_split(b.text, ' ')))), 6) AS j
     FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
-def mth07_jaccard_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mth07_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of each document against those of the next one."""
     a = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("words"))
     b = a.select((c("doc_id") - 1).alias("doc_id"), c("words").alias("next"))
@@ -310,18 +305,9 @@ def vec01_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "vec_id").select("vec_id", F.round(scores.cosine(c("embedding"), c("next")), 5).alias("cosine"))
 
 
-@query(f"""SELECT a.vec_id AS claim_id, b.vec_id AS doc_index, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id)::INT AS evidence_rank
-    FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id % 7 = 1 WHERE a.vec_id % 10 = 0 QUALIFY evidence_rank <= 3""")
-def jon02_claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "query_id")
-    claims = e.filter(c("vec_id") % 10 == 0).select("query_id", c("vec_id").alias("claim_id"), c("embedding").alias("claim_vec"))
-    evidence = e.filter(c("vec_id") % 7 == 1).select("query_id", c("vec_id").alias("doc_index"), c("embedding").alias("evidence_vec"))
-    return joins.ranked_evidence(claims, evidence).select("claim_id", "doc_index", "evidence_rank")
-
-
 @query(f"""SELECT a.vec_id AS claim_id, b.vec_id AS doc_index, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id)::INT AS evidence_rank
     FROM embeddings a JOIN embeddings b ON a.label = b.label QUALIFY evidence_rank <= 3""")
-def jon02_claim_evidence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jon02_claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector asks, and every vector of its label is evidence."""
     e = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "query_id")
     claims = e.select("query_id", c("vec_id").alias("claim_id"), c("embedding").alias("claim_vec"))
@@ -366,9 +352,9 @@ def jon07_same_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT query_id, value_id, doc_index, row_number() OVER (PARTITION BY query_id, value_id ORDER BY doc_index)::INT AS cite_rank FROM (SELECT b.item_id % 4 AS query_id, b.item_id AS value_id, d.doc_id AS doc_index
-    FROM benchmark b JOIN documents d ON d.doc_id % 4 = b.item_id % 4 WHERE contains(lower(trim({WS.format('d.text')})), left(lower(trim({WS.format('left(b.text, 60)')})), 200))) QUALIFY cite_rank <= 5""")
+    FROM benchmark b JOIN documents d ON d.doc_id % 4 = b.item_id % 4 WHERE contains(lower(trim({WS.format('d.text')})), left(lower(trim({WS.format('b.text')})), 200))) QUALIFY cite_rank <= 5""")
 def jon10_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = table(spark, sf_dir, "benchmark").select((c("item_id") % 4).alias("query_id"), c("item_id").alias("value_id"), F.substring("text", 1, 60).alias("value"))
+    values = table(spark, sf_dir, "benchmark").select((c("item_id") % 4).alias("query_id"), c("item_id").alias("value_id"), c("text").alias("value"))
     docs = table(spark, sf_dir, "documents").select((c("doc_id") % 4).alias("query_id"), c("doc_id").alias("doc_index"), c("text").alias("content"), F.lit("").alias("title"), F.lit("").alias("snippet"))
     return joins.cited(values, docs).select("query_id", "value_id", "doc_index", "cite_rank")
 
@@ -593,16 +579,8 @@ def jon13_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").filter("l_tax > 0.04").select(c("l_suppkey").alias("k")).intersect(table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select("s_suppkey"))
 
 
-@query("""SELECT c_custkey % 100 + 10000 AS company_code, CASE WHEN c_custkey % 3 = 0 THEN 5 WHEN c_custkey % 5 = 0 THEN 0 ELSE 5 + c_custkey % 7 END::BIGINT AS next_offset, c_custkey % 3 = 0 OR c_custkey % 5 = 0 AS done FROM customer WHERE c_custkey BETWEEN 1 AND 100""")
-def str03_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "customer").filter("c_custkey BETWEEN 1 AND 100").select((c("c_custkey") % 100 + 10000).alias("company_code"), "c_custkey")
-    old = x.select("company_code", F.lit(5).cast("long").alias("next_offset"), (c("c_custkey") % 3 == 0).alias("done"), F.lit("a").alias("updated_at"))
-    ran = x.select("company_code", (c("c_custkey") % 7).alias("n"), (c("c_custkey") % 5 == 0).alias("exhausted"))
-    return listing.advanced(old, ran, "b").drop("updated_at")
-
-
 @query("""SELECT c_custkey + 10000 AS company_code, CASE WHEN c_custkey % 3 = 0 THEN 5 WHEN c_custkey % 5 = 0 THEN 0 ELSE 5 + c_custkey % 7 END::BIGINT AS next_offset, c_custkey % 3 = 0 OR c_custkey % 5 = 0 AS done FROM customer""")
-def str03_cursor_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def str03_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cursor of each customer."""
     x = table(spark, sf_dir, "customer").select((c("c_custkey") + 10000).alias("company_code"), "c_custkey")
     old = x.select("company_code", F.lit(5).cast("long").alias("next_offset"), (c("c_custkey") % 3 == 0).alias("done"), F.lit("a").alias("updated_at"))
@@ -622,6 +600,62 @@ def src16_parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", c("p.h1").isNotNull().alias("has_h1"), F.size("p.links").cast("long").alias("links"))
 
 
+def dated_pages() -> Column:
+    """A page dated by a meta, by metas of which the first isn't ISO, by text though a time has no datetime, by a time, or not at all."""
+    kinds = [
+        '<meta property="og:published_time" content="2024-03-05T10:00"><meta name="date" content="2020-01-01">',
+        '<meta name="date" content="2019-09-09"><meta name="publishdate" content="05/03/2024"><meta name="pubdate" content="2023-01-02">',
+        '<meta property="article:modified_time" content="2018-01-01"><time>2020-01-01</time>', '<time datetime="2021-05-06T01:02">x</time>', "<p>no date</p>",
+    ]
+    return F.element_at(F.array(*(F.lit(k) for k in kinds)), (c("page_id") % 5 + 1).cast("int"))
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN DATE '2024-03-05' WHEN 1 THEN DATE '2023-01-02' WHEN 2 THEN DATE '2021-01-01' WHEN 3 THEN DATE '2021-05-06' ELSE CASE WHEN page_id % 2 = 0 THEN DATE '2017-07-07' ELSE DATE '2021-01-01' END END AS d FROM pages""")
+def dat08_page_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", web.parsed_page(dated_pages()).alias("p"))
+    return p.select("page_id", web.page_date(c("p"), F.lit("said on 7 March 2022 and 1/1/2021"), F.when((c("page_id") % 5 == 4) & (c("page_id") % 2 == 0), "2017-07-07T00").otherwise("7/7/2017")).alias("d"))
+
+
+@query("""SELECT page_id, 'Head ' || page_id AS title, DATE '2024-02-01' AS d, 'First of ' || page_id || chr(10) || chr(10) || 'Share this' AS content FROM pages""")
+def src17_rating_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = c("page_id").cast("string")
+    html = F.concat(F.lit("<title>T</title><h1>Head "), n, F.lit("</h1><em>On 1 Feb 2024</em><p>First of "), n, F.lit('</p><p class="a WRAPPER_SOCIAL">Tweet</p><p>RAM Ratings receives compensation for it</p><p>Share this</p>'))
+    p = table(spark, sf_dir, "pages").select("page_id", web.parsed_page(html).alias("p")).select("page_id", web.rating_detail(c("p")).alias("r"))
+    return p.select("page_id", "r.title", c("r.date").alias("d"), "r.content")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Og ' || page_id ELSE 'Head' END AS title, 'In widget ' || page_id || chr(10) || chr(10) || 'in entry' AS content FROM pages""")
+def src19_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = c("page_id").cast("string")
+    html = F.concat(F.when(c("page_id") % 2 == 0, F.concat(F.lit('<meta property="og:title" content="Og '), n, F.lit('">'))).otherwise(""), F.lit('<h1>Head</h1><p>outside</p><div class="entry-content"><p>in entry</p></div>'),
+                    F.lit('<div class="x elementor-widget-container"><div><p>In widget '), n, F.lit('</p></div><p>IN WIDGET '), n, F.lit("</p></div>"))
+    p = table(spark, sf_dir, "pages").select("page_id", web.parsed_page(html).alias("p")).select("page_id", web.article(c("p")).alias("r"))
+    return p.select("page_id", "r.title", "r.content")
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
+    SELECT conv_id AS query_id, string_agg('[' || i || '] Source: ' || role || ' | Title: ' || CASE WHEN turn % 2 = 0 THEN 'Untitled' ELSE 'Turn ' || turn END || ' | Date: N/A | URL: #' || chr(10) || '    Content: ' ||
+    trim(replace(left(text, 1500), chr(10), ' '), ' ' || chr(9) || chr(13)) || chr(10) || '---', chr(10) ORDER BY turn) AS documents_block FROM n WHERE i <= 15 GROUP BY conv_id""")
+def txt27_prompt_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    d = table(spark, sf_dir, "conversations").select(c("conv_id").alias("query_id"), c("turn").alias("order"), c("text").alias("content"), c("role").alias("source"), F.when(c("turn") % 2 != 0, F.concat(F.lit("Turn "), c("turn").cast("string"))).alias("title"), none.alias("source_date"), none.alias("url"))
+    return verify.prompt_block(d)
+
+
+LOCATED_SQL = """WITH t AS (SELECT c_custkey, 'The ' || c_mktsegment || ', and X' || c_name || ' of it' AS s, unnest([c_mktsegment, 'AND x', c_name, 'nobody', 'of it']) AS name FROM customer),
+    p AS (SELECT *, strpos(lower(s), lower(name)) AS place FROM t), b AS (SELECT *, left(s, place - 1) AS before FROM p WHERE place > 0),
+    x AS (SELECT *, len(regexp_extract_all(before, '\S+')) - (before <> '' AND right(before, 1) <> ' ')::INT AS start FROM b)
+    SELECT c_custkey, name, start::INT AS start, least(start + len(regexp_extract_all(name, '\S+')) - 1, len(string_split(s, ' ')) - 1)::INT AS "end" FROM x"""
+
+
+@query(LOCATED_SQL)
+def jon09_located_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.concat(F.lit("The "), c("c_mktsegment"), F.lit(", and X"), c("c_name"), F.lit(" of it"))
+    names = F.array(c("c_mktsegment"), F.lit("AND x"), c("c_name"), F.lit("nobody"), F.lit("of it"), F.lit(""))
+    found = table(spark, sf_dir, "customer").select("c_custkey", F.explode(joins.located_entities(F.split(words, " "), names)).alias("x"))
+    return found.select("c_custkey", "x.name", c("x.start").cast("int").alias("start"), c("x.end").cast("int").alias("end"))
+
+
 @query()
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan of a search up to its top documents: scan, best per URL, near-duplicates, reranking, recency."""

@@ -23,7 +23,7 @@ from fathomline.params import DEFAULT, ENFORCEMENT_URL_KEYWORDS, Params
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PARSED = (
-    "struct<h1:string,og_title:string,title:string,paragraphs:array<string>,ems:array<string>,times:array<string>,metas:map<string,string>,"
+    "struct<h1:string,og_title:string,title:string,paragraphs:array<struct<text:string,class:string,widget:boolean,entry:boolean>>,ems:array<string>,times:array<string>,metas:map<string,string>,"
     "links:array<struct<href:string,text:string,parent:string>>,rows:array<array<string>>,iframes:array<string>,images:array<string>>"
 )
 
@@ -41,7 +41,11 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
         if tag == "meta":
-            self.metas.setdefault((a.get("property") or a.get("name") or a.get("itemprop") or "").lower(), a.get("content", ""))
+            for kind in ("property", "name", "itemprop"):
+                if a.get(kind):
+                    self.metas.setdefault(f"{kind}={a[kind]}", a.get("content", ""))
+        elif tag == "time" and "datetime" in a:
+            self.out["time"].append(a["datetime"])
         elif tag in ("iframe", "img") and a.get("src"):
             self.out[tag].append(a["src"])
         if tag in VOID:
@@ -60,15 +64,16 @@ class _Page(HTMLParser):
             words = " ".join("".join(parts).split())
             if t == "a":
                 self.out["a"].append([a.get("href", ""), words, len(self.stack)])
-            elif t == "time":
-                self.out["time"].append(a.get("datetime") or words)
             elif t in ("td", "th"):
                 row = next((x for x in reversed(self.stack) if x[0] == "tr"), None)
                 if row:
                     row[2].setdefault("", []).append(words)
             elif t == "tr":
                 self.out["tr"].append(a.get("", []))
-            elif t in self.out and words:
+            elif t == "p" and words:
+                around = {c for x in self.stack if x[0] == "div" for c in x[2].get("class", "").split()}
+                self.out["p"].append({"text": words, "class": a.get("class", ""), "widget": "elementor-widget-container" in around, "entry": "entry-content" in around})
+            elif t in self.out and t != "time" and words:
                 self.out[t].append(words)
             for link in self.out["a"]:
                 if link[2] == len(self.stack) + 1 and t != "a":
@@ -90,7 +95,7 @@ class _Page(HTMLParser):
             self._close(tag)
         o, first = self.out, lambda x: x[0] if x else ""
         return {
-            "h1": first(o["h1"]), "og_title": self.metas.get("og:title", ""), "title": first(o["title"]), "paragraphs": o["p"], "ems": o["em"], "times": o["time"],
+            "h1": first(o["h1"]), "og_title": self.metas.get("property=og:title", ""), "title": first(o["title"]), "paragraphs": o["p"], "ems": o["em"], "times": o["time"],
             "metas": self.metas, "links": [{"href": h, "text": t, "parent": p if isinstance(p, str) else t} for h, t, p in o["a"]], "rows": o["tr"],
             "iframes": o["iframe"], "images": o["img"],
         }
@@ -113,25 +118,35 @@ def parsed_page(html: Column) -> Column:
 
 
 # Metas that may date a page, in this order.
-DATE_METAS = ["article:published_time", "article:modified_time", "date", "publishdate", "pubdate", "datepublished"]
+DATE_METAS = ["property=article:published_time", "property=og:published_time", "name=pubdate", "name=publishdate", "name=date", "itemprop=datePublished"]
+# What marks paragraphs that are no content.
+DISCLAIMERS = ["ram ratings receives compensation", "the credit rating is not a recommendation"]
 
 
 def page_date(page: Column, content: Column, known: Column, p: Params = DEFAULT) -> Column:
-    """DAT08: the known date, else the metas', else a ``<time>``'s, else the first date token of the content's head."""
-    metas = [dates.parsed(F.left(page["metas"][m], F.lit(10))) for m in DATE_METAS]
-    time = dates.parsed(F.left(F.try_element_at(page["times"], F.lit(1)), F.lit(10)))
-    return F.coalesce(dates.parsed(known), *metas, time, dates.parsed(dates.first_token(F.left(content, F.lit(p.date_chars)))))
+    """DAT08: the known date, else the metas', else that of the first ``<time>`` with a ``datetime``, all as ISO only; else the first date token
+    of the content's head, in any form."""
+    head = lambda x: dates.iso(F.left(x, F.lit(10)))
+    time = head(F.try_element_at(page["times"], F.lit(1)))
+    return F.coalesce(head(F.trim(known)), *(head(page["metas"][m]) for m in DATE_METAS), time, dates.parsed(dates.first_token(F.left(content, F.lit(p.date_chars)))))
+
+
+def rating_detail(page: Column) -> Column:
+    """SRC17: ``title`` (h1), ``date`` (first em's first token), ``content``: paragraphs, without those of social boxes and disclaimers."""
+    good = lambda x: ~F.contains(F.lower(x["class"]), F.lit("wrapper_social")) & ~contains_any(F.lower(x["text"]), DISCLAIMERS)
+    date = dates.parsed(dates.first_token(F.try_element_at(page["ems"], F.lit(1))))
+    content = F.array_join(F.transform(F.filter(page["paragraphs"], good), lambda x: x["text"]), "\n\n")
+    return F.struct(strip(page["h1"]).alias("title"), date.alias("date"), content.alias("content"))
 
 
 def article(page: Column) -> Column:
-    """SRC17, SRC19: ``title`` (og, then h1, then title), ``date`` (first em), ``content`` of different paragraphs in order."""
+    """SRC19: ``title`` (og, then h1, then title) and ``content``: different paragraphs of widget containers, then of entry contents."""
     title = F.coalesce(*(F.nullif(strip(page[c]), F.lit("")) for c in ("og_title", "h1", "title")), F.lit(""))
-    chosen = F.filter(page["paragraphs"], lambda x: ~contains_any(F.lower(x), ["disclaimer", "share this", "follow us"]))
+    inside = lambda box: F.transform(F.filter(page["paragraphs"], lambda x: x[box]), lambda x: x["text"])
+    chosen = F.concat(inside("widget"), inside("entry"))
     lows = F.transform(chosen, F.lower)
     once = F.filter(F.transform(chosen, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_position(lows, F.lower(s["x"])) == s["i"] + 1)
-    return F.struct(
-        title.alias("title"), dates.parsed(F.try_element_at(page["ems"], F.lit(1))).alias("date"), F.array_join(F.transform(once, lambda s: s["x"]), "\n\n").alias("content")
-    )
+    return F.struct(title.alias("title"), F.array_join(F.transform(once, lambda s: s["x"]), "\n\n").alias("content"))
 
 
 def search_links(pages: DataFrame, query: str = "query", least_title: int = 8, most: int = 10, enforcement: bool = False, by: Sequence[str] = ("query_id",)) -> DataFrame:

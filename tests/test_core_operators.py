@@ -132,11 +132,12 @@ def test_listing_source(spark):
 
 
 def test_web_parsers(spark):
-    html = """<html><head><title>T</title><meta property="og:title" content="Og"></head><body><h1>H</h1><em>1 Jan 2024</em><p>One.</p><p>one.</p><p>Share this</p>
+    html = """<html><head><title>T</title><meta property="og:title" content="Og"></head><body><h1>H</h1><em>1 Jan 2024</em><div class="entry-content"><p>One.</p><p>one.</p></div><p class="wrapper_social">Share this</p>
     <table><tr><th>Name</th><td>X</td><td>Y</td></tr></table><a href="/news/acme-report">Acme annual report</a><iframe src="/FileAccess/1"></iframe><img src="http://a/i.svg"><img src="http://a/i.png"></body></html>"""
     df = spark.createDataFrame([(html,)], "html string").select(web.parsed_page(F.col("html")).alias("p"))
-    r = df.select(web.article(F.col("p")).alias("a"), web.table_lines(F.col("p.rows")).alias("t"), web.marked_iframe(F.col("p"), "fileaccess").alias("i"), web.image_urls(F.col("p")).alias("m")).first()
-    assert (r["a"]["title"], str(r["a"]["date"]), r["a"]["content"], r["t"], r["i"], r["m"]) == ("Og", "2024-01-01", "One.", "Name: X | Y", "/FileAccess/1", ["http://a/i.png"])
+    r = df.select(web.article(F.col("p")).alias("a"), web.rating_detail(F.col("p")).alias("d"), web.table_lines(F.col("p.rows")).alias("t"), web.marked_iframe(F.col("p"), "fileaccess").alias("i"), web.image_urls(F.col("p")).alias("m")).first()
+    assert (r["a"]["title"], str(r["d"]["date"]), r["a"]["content"], r["t"], r["i"], r["m"]) == ("Og", "2024-01-01", "One.", "Name: X | Y", "/FileAccess/1", ["http://a/i.png"])
+    assert (r["d"]["title"], r["d"]["content"]) == ("H", "One.\n\none.")
     pages = spark.createDataFrame([(0, "acme", "s", 0, "https://s.my", html)], "query_id int, query string, site string, site_pos int, base_url string, html string")
     assert [x["url"] for x in web.search_links(pages).collect()] == ["https://s.my/news/acme-report"]
     items = "<ul><li><a href='/x'>A &amp; b</a><em>2024-01-02</em><span>-</span><span>snip</span></li></ul>"
