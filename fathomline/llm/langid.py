@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fathomline.llm.shared import small_batches, tidy
 
@@ -151,12 +152,15 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     order = F.pmod(F.xxhash64(F.lit(11), F.col(key), F.col(text)), F.lit(SPREAD))
     start = F.pmod(F.xxhash64(F.lit(12), F.col(key)), F.greatest(F.length(text) - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
     rows = usable.select(F.col(label).alias("y"), order.alias("h"), F.substring(F.col(text), start, F.lit(TRAIN_CHARS)).alias("t"))
-    sample = []
-    for y, n in sorted(rows.groupBy("y").count().collect()):  # a row per language
-        # Hashes spread evenly, so half as many again as are needed lie below this one; few rows are sorted.
-        below = SPREAD if n <= 2 * TRAIN_ROWS else SPREAD * 3 * TRAIN_ROWS // (2 * n)
-        some = rows.filter((F.col("y") == y) & (F.col("h") < below))
-        sample += some.orderBy("h", "t").limit(TRAIN_ROWS).collect()
+    counts = rows.groupBy("y").count().collect()  # a row per language
+    if not counts:
+        return None
+    # Hashes spread evenly, so half as many again as are needed lie below these; few rows are sorted, in one pass for all languages.
+    below = {r["y"]: SPREAD if r["count"] <= 2 * TRAIN_ROWS else SPREAD * 3 * TRAIN_ROWS // (2 * r["count"]) for r in counts}
+    limits = F.create_map(*(F.lit(x) for y, h in below.items() for x in (y, h)))
+    turn = F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))
+    some = rows.filter(F.col("h") < F.try_element_at(limits, F.col("y"))).withColumn("turn", turn).filter(F.col("turn") <= TRAIN_ROWS)
+    sample = sorted(some.collect(), key=lambda r: (r["y"], r["turn"]))
     return fit([r["t"] for r in sample], [r["y"] for r in sample])
 
 
