@@ -15,8 +15,10 @@ from fathomline.llm.shared import cut, tidy
 
 #: Vectors of a candidate block and of a query block.
 BLOCK, QUERIES = 16_384, 2_048
-#: A list is read on by this part of its length; reads between looks at the bounds, as a share of all lists.
-STEP, LOOK = 8, 4
+#: Queries that read lists together; a list is read on by this part of its length; reads between looks at the bounds, as a share of all lists.
+TOGETHER, STEP, LOOK = 64, 2, 8
+#: Rows of a query whose lower bounds are looked at.
+BEST = 128
 #: Slots of query blocks of one dimension: pairs of blocks meet by slot, not by dimension alone.
 SLOTS = 64
 
@@ -31,53 +33,70 @@ class Lists:
         self.values = np.ascontiguousarray(np.take_along_axis(self.x.T, self.rows, axis=1))
 
 
-def top_k(lists: Lists, q: np.ndarray, q_id: int, k: int, stats: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the best ``k`` rows with another id than ``q_id``, ties to the smaller id; no random access until the end.
+def top_k(lists: Lists, q: np.ndarray, q_ids: np.ndarray, k: int, stats: dict[str, int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query, ids and scores of the best ``k`` rows with another id, ties to the smaller id; no random access until the end.
 
-    Each list is read in order from the end where its products are greatest. Of a row, products that were read are known; each
-    other one lies between the product of the last value read from its list and that of the list's other end. A read changes the sums of
-    the rows that it or an earlier one of its list met, and nothing else: ``high`` and ``low`` hold, for each row, its known products less the
-    list bounds that they replace. The list whose bounds lie farthest apart is read next. Now and then, rows whose upper bound is
-    below the ``k``-th best lower bound go: they can't qualify any more. When few are left, or the lists end, scores of those left are
-    resolved. All arithmetic is on integers, held in floats where they are exact there. ``stats`` counts entries ``read`` of ``all`` and rows
-    ``resolved``.
+    Each list is read in order, by each query from the end where its products are greatest. Of a row, products that were read are
+    known; each other one lies between the product of the last value read from its list and that of the list's other end. A read changes
+    the sums of the rows that it or an earlier one of its list met, and nothing else: ``high`` holds, for each row and query, its
+    known products less the upper list bounds that they replace. The list whose bounds lie farthest apart is read next. Now and then,
+    lower bounds are taken of the :data:`BEST` rows of the greatest upper bounds, and rows whose upper bound is below the ``k``-th best of
+    them go: they can't qualify any more. When few are left for every query, or the lists end, scores of those left are resolved. All arithmetic is on integers, held in floats where they are exact
+    there. ``stats`` counts entries ``read`` of ``all`` and rows ``resolved`` of ``rows``, over queries.
     """
-    n, d = lists.x.shape
-    left = np.flatnonzero(lists.ids != q_id)
-    up = q > 0
-    # Products of what the next read of a list may still meet at most, and of its other end.
-    top = np.where(up, lists.values[:, -1], lists.values[:, 0]) * q if n else np.zeros(d, q.dtype)
-    end = np.where(up, lists.values[:, 0], lists.values[:, -1]) * q if n else np.zeros(d, q.dtype)
-    high, low, depth, reads, step = np.zeros(n, q.dtype), np.zeros(n, q.dtype), np.zeros(d, np.int64), 0, max(1, -(-n // STEP))
-    apart = top - end
-    while len(left) > 4 * k and apart.any():
-        j = int(apart.argmax())
-        s, e = int(depth[j]), min(n, int(depth[j]) + step)
-        at = slice(n - e, n - s) if up[j] else slice(s, e)
-        rows, products = lists.rows[j, at], lists.values[j, at] * q[j]
-        last = products[0] if up[j] else products[-1]
-        before = lists.rows[j, n - s :] if up[j] else lists.rows[j, :s]
-        high[before] += top[j] - last
-        high[rows] += products - last
-        low[rows] += products - end[j]
-        top[j], depth[j] = last, e
-        apart[j] = 0 if e == n else last - end[j]
-        reads += 1
-        if reads % max(1, d // LOOK) == 0:
-            lower = low[left] + end.sum()
-            least = np.partition(lower, len(left) - k)[len(left) - k]
-            left = left[high[left] + top.sum() >= least]
+    (n, d), m = lists.x.shape, len(q)
+    up, down = np.maximum(q, 0).T, np.minimum(q, 0).T  # by component, then query: what reads from the greatest and the least value on
+    least, most = (lists.values[:, 0], lists.values[:, -1]) if n else (np.zeros(d, q.dtype), np.zeros(d, q.dtype))
+    top_up, top_down = most[:, None] * up, least[:, None] * down  # of the next read, at most
+    end_up, end_down = least[:, None] * up, most[:, None] * down  # of the other end
+    high, last_up, last_down = np.zeros((n, m), q.dtype), most.copy(), least.copy()
+    left, depth, reads, step = lists.ids[:, None] != q_ids[None, :], np.zeros(d, np.int64), 0, max(1, -(-n // STEP))
+    apart = (top_up + top_down - end_up - end_down).max(1, initial=0)
+    none = np.iinfo(np.int64).min // 4 if q.dtype == np.int64 else -np.inf
+    while apart.any() and left.sum(0).max(initial=0) > max(4 * k, n // 64):
+        for _ in range(max(1, d // LOOK)):
+            j = int(apart.argmax())
+            s, e = int(depth[j]), min(n, int(depth[j]) + step)
+            last_up[j], last_down[j] = lists.values[j, n - e], lists.values[j, e - 1]
+            for rows, values, before, last, product, top in (
+                (lists.rows[j, n - e : n - s], lists.values[j, n - e : n - s], lists.rows[j, n - s :], last_up[j], up[j], top_up),
+                (lists.rows[j, s:e], lists.values[j, s:e], lists.rows[j, :s], last_down[j], down[j], top_down),
+            ):
+                bound = last * product
+                if s:
+                    high[before] += top[j] - bound
+                high[rows] += (values - last)[:, None] * product
+                top[j] = bound
+            depth[j], reads = e, reads + 1
+            apart[j] = 0 if e == n else (top_up[j] + top_down[j] - end_up[j] - end_down[j]).max()
+            if not apart.any():
+                break
+        upper = np.where(left, high + (top_up + top_down).sum(0), none)
+        best = np.argpartition(np.ascontiguousarray(upper.T), n - min(max(BEST, k), n), axis=1)[:, n - min(max(BEST, k), n) :]
+        for i in range(m):
+            of = best[i][left[best[i], i]]
+            x, read = lists.x[of], depth > 0
+            # A value that its list was read down to, or one as good, is known.
+            known = read & np.where(q[i] > 0, x >= last_up, x <= last_down)
+            lower = np.where(known, x * q[i], end_up[:, i] + end_down[:, i]).sum(1)
+            if len(lower) >= k:
+                left[:, i] &= upper[:, i] >= np.partition(lower, len(lower) - k)[len(lower) - k]
     if stats is not None:
-        for name, more in (("read", int(depth.sum())), ("all", n * d), ("resolved", len(left)), ("rows", n)):
+        for name, more in (("read", int(depth.sum()) * m), ("all", n * d * m), ("resolved", int(left.sum())), ("rows", n * m)):
             stats[name] = stats.get(name, 0) + more
-    score = (lists.x[left] @ q).astype(np.int64)
-    best = np.lexsort((lists.ids[left], -score))[:k]
-    return lists.ids[left[best]], score[best]
+    found = []
+    for i in range(m):
+        of = np.flatnonzero(left[:, i])
+        score = (lists.x[of] @ q[i]).astype(np.int64)
+        best = np.lexsort((lists.ids[of], -score))[:k]
+        found.append((lists.ids[of[best]], score[best]))
+    return found
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> type:
     """Floats where all sums of products are exact in them, else integers."""
-    return np.float64 if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(x.shape[1], 1) < 2**51 else np.int64
+    reach = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(x.shape[1], 1)
+    return np.float32 if reach < 2**22 else np.float64 if reach < 2**51 else np.int64
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
@@ -139,8 +158,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, k
                 ids, q_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
                 kind = _exact(x, q)
                 lists, q = Lists(x.astype(kind), ids), q.astype(kind)
-                out = [(i, *top_k(lists, v, i, k)) for i, v in zip(q_ids.tolist(), q, strict=True)]
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, [len(f) for _, f, _ in out]), key: np.concatenate([f for _, f, _ in out]), "score": np.concatenate([s for _, _, s in out])})
+                for i in range(0, len(q), TOGETHER):
+                    out = top_k(lists, q[i : i + TOGETHER], q_ids[i : i + TOGETHER], k)
+                    yield pd.DataFrame({"query_id": np.repeat(q_ids[i : i + TOGETHER], [len(f) for f, _ in out]), key: np.concatenate([f for f, _ in out]), "score": np.concatenate([x for _, x in out])})
 
     found = pairs.select("d", "ids", "data", "q_ids", "q").mapInPandas(best, f"query_id long, `{key}` long, score long")
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))

@@ -191,8 +191,8 @@ def test_bounds_save_reads():
     x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(0, 20, (4000, 32)))
     ids, stats = rng.permutation(4000), {}
     lists = topk.Lists(x, ids)
-    for i in range(0, 4000, 200):
-        got, score = topk.top_k(lists, x[i], int(ids[i]), 5, stats)
+    of = np.arange(0, 4000, 200)
+    for i, (got, score) in zip(of, topk.top_k(lists, x[of], ids[of], 5, stats), strict=True):
         want = sorted((-s, int(k)) for s, k in zip(x @ x[i], ids, strict=True) if k != ids[i])[:5]
         assert [(-int(s), int(k)) for s, k in zip(score, got, strict=True)] == [(int(s), k) for s, k in want]
     assert stats["read"] < 0.95 * stats["all"] and stats["resolved"] < 0.05 * stats["rows"], stats
