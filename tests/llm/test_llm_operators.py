@@ -528,6 +528,40 @@ def test_pages(spark, data):
         assert (r["text"], r["n_chars"]) == (want, len(want))
 
 
+def test_cut_decides_without_names(spark, data, monkeypatch):
+    """Pages without classes, ids, roles and telling elements: edges decide uncertain blocks, and more pages come out right than by own gains."""
+    import html
+
+    pages = [r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect() if r["html"]]
+    right = Counter()
+    for edges in (True, False):
+        stats: dict[str, int] = {}
+        for name in ("NEXT", "PARENT", "GRANDPARENT") if not edges else ():
+            monkeypatch.setattr(html_extract, name, 0.0)
+        for page in pages:
+            m = re.search(r"<article>(.*?)(?:</article>|<footer|\Z)", page, re.S)
+            want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", m[1])).split()) if m else ""
+            blind = re.sub(r"<(/?)(article|main|nav|aside|header|footer)\b", r"<\1div", re.sub(r"\s(?:class|id|role)=(\"[^\"]*\"|'[^']*'|\S+?(?=[\s>]))", " ", page))
+            got = html_extract.main_text(blind, stats)
+            x, y = Counter(got.split()), Counter(want.split())
+            right["f1", edges] += 2 * (x & y).total() / max(1, x.total() + y.total()) if x or y else 1
+            right["equal", edges] += got == want
+        right["changed", edges] = stats["changed"]
+    assert right["f1", True] >= 0.96 * len(pages) and right["equal", True] > 2 * right["equal", False] and right["changed", True] > 0 == right["changed", False], right
+
+
+def test_article_with_a_misleading_name(spark):
+    body = "<h1>Title</h1>" + "<p>This is one of the long paragraphs of an article, with many words in it to be read by all.</p>" * 4
+    page = f'<div class="menu"><a>Home</a></div><div class="share-thread">{body}</div><div id="footer">&copy; 2024</div>'
+    assert html_extract.main_text(page).startswith("Title This is one") and "Home" not in html_extract.main_text(page)
+    deep = "<div>" * 20_000 + "<p>Some text that is long enough to stay, in the middle of very many elements.</p>"
+    assert "very many elements" in html_extract.main_text(deep)
+    odd = spark.createDataFrame([(1, "u", page, "t", 5), (1, "u", page, "t", 5), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    got = html_extract.extract(odd)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and sorted(r["n_chars"] for r in got.collect())[0] == 0 and got.count() == 3
+    assert html_extract.extract(odd.filter("false")).count() == 0
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(4)
     for _ in range(60):
