@@ -16,7 +16,7 @@ from fathomline.llm.shared import cut, tidy
 #: Vectors of a candidate block and of a query block.
 BLOCK, QUERIES = 16_384, 2_048
 #: Queries that read lists together; a list is read on by this part of its length; reads between looks at the bounds, as a share of all lists.
-TOGETHER, STEP, LOOK = 64, 2, 8
+TOGETHER, STEP, LOOK = 32, 2, 8
 #: Rows of a query whose lower bounds are looked at.
 BEST = 128
 #: Slots of query blocks of one dimension: pairs of blocks meet by slot, not by dimension alone.
@@ -29,7 +29,7 @@ class Lists:
     def __init__(self, x: np.ndarray, ids: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.x, self.ids = x[order], ids[order]
-        self.rows = np.ascontiguousarray(np.argsort(self.x, axis=0, kind="stable").T.astype(np.int32))
+        self.rows = np.ascontiguousarray(np.argsort(self.x, axis=0, kind="stable").T)
         self.values = np.ascontiguousarray(np.take_along_axis(self.x.T, self.rows, axis=1))
 
 
@@ -71,6 +71,9 @@ def top_k(lists: Lists, q: np.ndarray, q_ids: np.ndarray, k: int, stats: dict[st
             apart[j] = 0 if e == n else (top_up[j] + top_down[j] - end_up[j] - end_down[j]).max()
             if not apart.any():
                 break
+        # No row can go while bounds are farther apart than rows are from one another.
+        if not ((top_up + top_down - end_up - end_down).sum(0) < high.max(0) - high.min(0)).any():
+            continue
         upper = np.where(left, high + (top_up + top_down).sum(0), none)
         best = np.argpartition(np.ascontiguousarray(upper.T), n - min(max(BEST, k), n), axis=1)[:, n - min(max(BEST, k), n) :]
         for i in range(m):
