@@ -101,6 +101,19 @@ def models_in_order(models: DataFrame) -> DataFrame:
     return models.filter("enabled").orderBy(tier, "name")
 
 
+def merged_models(default: DataFrame, custom: DataFrame) -> DataFrame:
+    """JSN07: models by ``model_id``; an enabled custom one takes the default one's place, a disabled one is passed over. NULL ``enabled`` is enabled."""
+    own = custom.filter(F.coalesce("enabled", F.lit(True)))
+    return default.join(own.select("model_id"), "model_id", "left_anti").unionByName(own.select(*default.columns))
+
+
+def parsed_limit(raw: Column, default: int) -> Column:
+    """FLT13: a struct ``limit``, ``status``: the default for none at all, a number of digits alone, else no limit and 400."""
+    s = strip(raw)
+    good = F.when(raw.isNull(), F.lit(default).cast("long")).when(s.rlike("^[0-9]+$"), s.try_cast("long"))
+    return F.struct(good.alias("limit"), F.when(good.isNull(), 400).otherwise(200).alias("status"))
+
+
 def output_meta(meta: Column) -> Column:
     """FLT15, FLT16: a map without NULLs and internal keys."""
     return F.map_filter(meta, lambda k, v: v.isNotNull() & ~k.isin(*INTERNAL_META))

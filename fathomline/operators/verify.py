@@ -95,3 +95,9 @@ def per_source_counts(docs: DataFrame, source: str = "source") -> DataFrame:
 
 def best_relations(relations: DataFrame, most: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
     return ranked(relations, by, [F.desc("confidence"), "pos"], most)
+
+
+def retrieved_counts(docs: DataFrame, by: Sequence[str] = ("query_id",), retriever: str = "retriever") -> DataFrame:
+    """AGG18: documents of each query, summed over retrievers, and how many of those found any."""
+    each = docs.groupBy(*by, retriever).agg(F.count("*").alias("_n"))
+    return each.groupBy(*by).agg(F.sum("_n").alias("documents"), F.count("*").alias("retrievers"))

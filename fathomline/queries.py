@@ -642,6 +642,28 @@ def txt27_prompt_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.prompt_block(d)
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 50 WHEN c_custkey % 4 = 1 THEN c_custkey END::BIGINT AS "limit", CASE WHEN c_custkey % 4 < 2 THEN 200 ELSE 400 END AS status FROM customer""")
+def flt13_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = c("c_custkey").cast("string")
+    raw = F.when(c("c_custkey") % 4 == 1, F.concat(F.lit(" "), n, F.lit(" "))).when(c("c_custkey") % 4 == 2, F.concat(F.lit("-"), n)).when(c("c_custkey") % 4 == 3, "")
+    return table(spark, sf_dir, "customer").select("c_custkey", filters.parsed_limit(raw, 50).alias("x")).select("c_custkey", "x.limit", "x.status")
+
+
+@query("""SELECT p_partkey AS model_id, p_name AS name FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'custom' FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 <> 0
+    UNION ALL SELECT p_partkey + 1000000, 'custom' FROM part WHERE p_partkey % 5 = 0""")
+def jsn07_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    default = part.select(c("p_partkey").alias("model_id"), c("p_name").alias("name"))
+    custom = part.filter("p_partkey % 3 = 0").select(c("p_partkey").alias("model_id"), F.lit("custom").alias("name"), F.when(c("p_partkey") % 2 == 0, False).alias("enabled"))
+    new = part.filter("p_partkey % 5 = 0").select((c("p_partkey") + 1_000_000).alias("model_id"), F.lit("custom").alias("name"), F.lit(True).alias("enabled"))
+    return filters.merged_models(default, custom.unionByName(new))
+
+
+@query("SELECT l_orderkey % 100 AS query_id, count(*) AS documents, count(DISTINCT l_returnflag) AS retrievers FROM lineitem GROUP BY 1")
+def agg18_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.retrieved_counts(table(spark, sf_dir, "lineitem").select((c("l_orderkey") % 100).alias("query_id"), c("l_returnflag").alias("retriever")))
+
+
 LOCATED_SQL = """WITH t AS (SELECT c_custkey, 'The ' || c_mktsegment || ', and X' || c_name || ' of it' AS s, unnest([c_mktsegment, 'AND x', c_name, 'nobody', 'of it']) AS name FROM customer),
     p AS (SELECT *, strpos(lower(s), lower(name)) AS place FROM t), b AS (SELECT *, left(s, place - 1) AS before FROM p WHERE place > 0),
     x AS (SELECT *, len(regexp_extract_all(before, '\S+')) - (before <> '' AND right(before, 1) <> ' ')::INT AS start FROM b)
