@@ -49,6 +49,7 @@ class Params:
     # entities and relations
     entity_ratio: float = 0.75
     relation_confidence: float = 0.8
+    relation_tokens: int = 512
     # candidates
     max_party: int = 6
     max_high_risk: int = 8

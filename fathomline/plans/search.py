@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,23 +15,6 @@ from fathomline.operators.retrieval import ranked, retrieved, vector_top_k
 from fathomline.params import DEFAULT, Params
 
 
-@dataclass(frozen=True)
-class Models:
-    """What the engine takes from outside: ``embed`` texts to vectors, ``score`` queries and texts to logits."""
-
-    embed: Callable[[list[str]], list[list[float]]]
-    score: Callable[[list[str], list[str]], list[float]]
-
-
-def overlap_score(queries: list[str], texts: list[str]) -> list[float]:
-    """A deterministic stand-in for a reranker: the share of the query's words in the text, as a logit."""
-    out = []
-    for q, t in zip(queries, texts, strict=True):
-        words, have = set(q.lower().split()), set(t.lower().split())
-        out.append(4.0 * len(words & have) / max(1, len(words)))
-    return out
-
-
 def candidate_documents(store: DataFrame, vectors: Sequence[Sequence[float]], p: Params = DEFAULT, id_col: str = "doc_id") -> DataFrame:
     """Stages 3 and 4 (SRC04, SRC08, AGG01, AGG03): the documents nearest to each vector, best per URL, without near-duplicates."""
     hits = retrieved(vector_top_k(store, vectors, p.retrieval_limit, id_col), p).withColumn("pos", F.col("rank"))

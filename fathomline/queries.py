@@ -7,16 +7,18 @@ for phrases and claims, orders and customers for profiles and names, events for
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline import models
 from fathomline.functions import dates, scores
 from fathomline.functions import json as js
 from fathomline.functions import text as tx
 from fathomline.operators import dedupe, filters, joins, mentions, rank, retrieval, verify
 from fathomline.params import SKIP_DOMAINS, Params
-from fathomline.plans import search
+from fathomline.plans import profile, search
 from fathomline.schema import PARTY
 from fathomline.sources import listing, stores, web
 from fathomline.streaming import ingest
@@ -664,7 +666,7 @@ def agg18_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.retrieved_counts(table(spark, sf_dir, "lineitem").select((c("l_orderkey") % 100).alias("query_id"), c("l_returnflag").alias("retriever")))
 
 
-LOCATED_SQL = """WITH t AS (SELECT c_custkey, 'The ' || c_mktsegment || ', and X' || c_name || ' of it' AS s, unnest([c_mktsegment, 'AND x', c_name, 'nobody', 'of it']) AS name FROM customer),
+LOCATED_SQL = r"""WITH t AS (SELECT c_custkey, 'The ' || c_mktsegment || ', and X' || c_name || ' of it' AS s, unnest([c_mktsegment, 'AND x', c_name, 'nobody', 'of it']) AS name FROM customer),
     p AS (SELECT *, strpos(lower(s), lower(name)) AS place FROM t), b AS (SELECT *, left(s, place - 1) AS before FROM p WHERE place > 0),
     x AS (SELECT *, len(regexp_extract_all(before, '\S+')) - (before <> '' AND right(before, 1) <> ' ')::INT AS start FROM b)
     SELECT c_custkey, name, start::INT AS start, least(start + len(regexp_extract_all(name, '\S+')) - 1, len(string_split(s, ' ')) - 1)::INT AS "end" FROM x"""
@@ -682,7 +684,7 @@ def jon09_located_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan of a search up to its top documents: scan, best per URL, near-duplicates, reranking, recency."""
     docs = search.candidate_documents(store(spark, sf_dir), [vector(spark, sf_dir, i) for i in (7, 11)])
-    top = search.top_documents(docs.withColumn("query", F.lit("the of and in que de der die")), as_of(), search.overlap_score)
+    top = search.top_documents(docs.withColumn("query", F.lit("the of and in que de der die")), as_of(), models.overlap_score)
     return top.select("query_id", "doc_id", "order", "url", F.round("relevance_score", 5).alias("relevance_score"))
 
 
@@ -690,8 +692,8 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan of a search up to the chunks that a snapshot is written from."""
     docs = search.candidate_documents(store(spark, sf_dir), [vector(spark, sf_dir, i) for i in (7, 11)])
-    docs = search.top_documents(docs.withColumn("query", F.lit("the of and in que de der die")), as_of(), search.overlap_score)
-    return search.best_chunks(docs, as_of(), search.overlap_score).select("query_id", "doc_id", "chunk", "order", F.length("content").alias("n_chars"))
+    docs = search.top_documents(docs.withColumn("query", F.lit("the of and in que de der die")), as_of(), models.overlap_score)
+    return search.best_chunks(docs, as_of(), models.overlap_score).select("query_id", "doc_id", "chunk", "order", F.length("content").alias("n_chars"))
 
 
 @query()
@@ -706,6 +708,49 @@ def jsn02_first_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", js.first_object(F.concat(F.lit("say {"), c("props"), F.lit("} or {"))).alias("o"))
 
 
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+FINDINGS = [("Alpha Holdings", "ORG", 0.9), ("Zenith Trust", "ORG", 0.8), ("alpha holding", "ORG", 0.7), ("Nowhere", "PLACE", 0.99)]
+FINDINGS_TEXT = "ENTITIES:\n- ORG: Alpha Holdings | score=0.90\n- ORG: Zenith Trust | score=0.80\n"
+
+
+def without_places(template: str) -> int:
+    """The characters of a prompt that aren't filled in."""
+    return len(template.replace("{company}", "").replace("{documents_block}", "").replace("{context_block}", ""))
+
+
+def listed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as result lists of ten."""
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "documents").select(
+        F.floor(c("doc_id") / 10).alias("query_id"), (c("doc_id") % 10 + 1).cast("int").alias("order"), F.coalesce("text", F.lit("")).alias("content"),
+        c("source"), none.alias("title"), none.alias("source_date"), none.alias("url"), none.alias("snippet"),
+    )
+
+
+PROFILE_PLAN_SQL = f"""WITH d AS (SELECT doc_id // 10 AS query_id, doc_id % 10 + 1 AS i, coalesce(text, '') AS t, source, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS n FROM documents),
+    b AS (SELECT query_id, count(*) AS docs, sum(length('[' || n || '] Source: ' || coalesce(source, 'Unknown') || ' | Title: Untitled | Date: N/A | URL: #' || chr(10) || '    Content: ' ||
+        {STRIP.format("replace(left(t, 1500), chr(10), ' ')")} || chr(10) || '---')) + count(*) - 1 AS size FROM d GROUP BY ALL),
+    q AS (SELECT query_id, 'Company ' || query_id AS company, docs, size FROM b),
+    e AS (SELECT query_id, length(left({STRIP.format("t")}, 1500)) AS n FROM d WHERE i <= 3 AND length({STRIP.format("t")}) >= 50),
+    f AS (SELECT query_id, CASE WHEN bool_or(n % 10 = 0) THEN 0.25 ELSE avg(least(n, 1000) / 1000) END AS s FROM e GROUP BY ALL)
+    SELECT query_id, company, 'The documents and the request hold ' || ({without_places(profile.SNAPSHOT_PROMPT)} + length(company) + size) || ' characters.' AS snapshot,
+    'Party of ' || ({without_places(profile.PROFILE_PROMPT)} + length(company) + size + {len(FINDINGS_TEXT)}) AS party, 1 AS risks, docs::INT AS documents, round(coalesce(s, 0.25), 6) AS fact_check_score,
+    round(0.6 * (0.6 + 0.4 * coalesce(s, 0.25)), 6) AS confidence FROM q LEFT JOIN f USING (query_id)"""
+
+
+@query(PROFILE_PLAN_SQL)
+def profile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts, replies, claims, findings, profile and its score of each result list, with scripted models."""
+    docs = listed_documents(spark, sf_dir)
+    asked = docs.select("query_id").distinct().withColumn("query", F.concat(F.lit("Company "), c("query_id").cast("string")))
+    scripted = replace(models.STAND_INS, entities=lambda texts: [FINDINGS] * len(texts))
+    made = profile.profiles(asked, docs, docs, scripted).profiles
+    return made.select(
+        "query_id", "company", "snapshot", c("customer.name").alias("party"), F.size("high_risk_entities").alias("risks"), F.size("documents").alias("documents"),
+        F.round("fact_check_score", 6).alias("fact_check_score"), F.round("confidence", 6).alias("confidence"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
