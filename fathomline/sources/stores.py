@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from fathomline.functions.text import strip, text
+from fathomline.functions.text import escaped_html, strip, text
 from fathomline.params import DEFAULT, Params
 from fathomline.schema import PARTY, PROFILE, RISKS
 
@@ -176,3 +176,20 @@ def text_report(company: str = "company") -> Column:
         "\n", F.concat(F.lit("Company: "), F.col(company)), F.lit("\nSnapshot"), text(F.col("snapshot")), *party("Customer", "customer"),
         *party("Corporate guarantor", "corporate_guarantor"), F.lit("\nHigh-risk entities"), F.array_join(risks, "\n"),
     )
+
+
+def html_report(company: str = "company") -> Column:
+    """SNK13: a profile as an HTML document, every value escaped; word processors open it."""
+    value = lambda c, none="-": F.coalesce(F.nullif(F.trim(escaped_html(text(c))), F.lit("")), F.lit(none))
+    line = lambda *cells: F.concat(F.lit("<tr>"), *(x for c in cells for x in (F.lit("<td>"), c, F.lit("</td>"))), F.lit("</tr>"))
+    table = lambda names, rows: F.concat(F.lit("<table><tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>"), rows, F.lit("</table>"))
+    fields = [("Name", "name", "Not identified"), ("Rating", "rating", "-"), ("ESG Scorecard", "esg_scorecard", "-"), ("New Director", "new_director", "-"), ("Appointment Date", "appointment_date", "-")]
+    party = lambda c: table(("Field", "Value"), F.concat(*(line(F.lit(label), value(F.col(f"{c}.{f}"), none)) for label, f, none in fields)))
+    risks = F.transform(F.filter("high_risk_entities", lambda x: x.isNotNull()), lambda x: line(value(x["name"]), value(x["position"]), value(x["relationship"])))
+    risks = F.coalesce(F.nullif(F.array_join(risks, ""), F.lit("")), F.lit('<tr><td colspan="3">None identified.</td></tr>'))
+    parts = [
+        ("Snapshot", F.concat(F.lit("<div>"), value(F.col("snapshot"), "No snapshot available."), F.lit("</div>"))), ("Customer", party("customer")),
+        ("Corporate Guarantor", party("corporate_guarantor")), ("High Risk Entities / Individuals", table(("Name", "Position", "Status / Relationship"), risks)),
+    ]
+    head = F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>Profile</title></head><body><h1>'), value(F.col(company)), F.lit("</h1>"))
+    return F.concat(head, *(x for title, body in parts for x in (F.lit(f"<h2>{title}</h2>"), body)), F.lit("</body></html>"))

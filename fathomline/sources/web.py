@@ -6,6 +6,7 @@ import gzip
 import re
 from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
+from itertools import islice
 from urllib.parse import urljoin
 from xml.etree import ElementTree
 
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from fathomline.functions import dates
-from fathomline.functions.text import absolute_url, any_or_all_words, clean_html, collapse, contains_any, query_words, strip, text
+from fathomline.functions.text import absolute_url, any_or_all_words, clean_block, clean_html, collapse, contains_any, query_words, strip, text
 from fathomline.operators.filters import any_query_word, is_pdf, skipped_site
 from fathomline.operators.retrieval import ranked
 from fathomline.params import DEFAULT, ENFORCEMENT_URL_KEYWORDS, Params
@@ -219,6 +220,171 @@ def joined_url(base: Column, href: Column) -> Column:
     return join(base, href)
 
 
+# What marks a rating announcement's URL.
+RATING_SITE = "marc.com.my"
+RATING_PATHS = ["/rating-announcements/", "/rating-announcement/"]
+
+
+def rating_links(pages: DataFrame, base: str, most: int = 30, by: Sequence[str] = ("query_id",)) -> DataFrame:
+    """SRC18: ``url`` and ``pos`` of rating announcements on result pages (``html``): links of card headings within articles, or of all card headings
+    where no article has one; of the site only, different URLs in either case, at most thirty."""
+
+    @F.pandas_udf("array<struct<inside:boolean,href:string>>")
+    def cards(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            out = []
+            for html in b:
+                page = _Cards()
+                page.feed(html or "")
+                out.append(page.links)
+            yield pd.Series(out, dtype="object")
+
+    rows = pages.select(*by, cards(F.col("html")).alias("_all"))
+    inside = F.filter("_all", lambda x: x["inside"])
+    rows = rows.select(*by, F.posexplode(F.when(F.size(inside) > 0, inside).otherwise(F.col("_all"))).alias("_i", "_x"))
+    rows = rows.withColumn("url", joined_url(F.lit(base + "/"), strip(F.col("_x.href")))).withColumn("_low", F.lower("url"))
+    rows = rows.filter((strip(F.col("_x.href")) != "") & F.contains("_low", F.lit(RATING_SITE)) & contains_any(F.col("_low"), RATING_PATHS))
+    return ranked(ranked(rows, [*by, "_low"], ["_i"], 1, "_turn"), by, ["_i"], most, "pos").select(*by, "url", "pos")
+
+
+class _Cards(HTMLParser):
+    """Links within card headings, and whether an article is around them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.links: list[dict] = []
+        self.articles = 0
+        self.heading = False
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        a = {k: v or "" for k, v in attrs}
+        self.articles += tag == "article"
+        if tag == "h4":
+            self.heading = "elementor-heading-title" in a.get("class", "").split()
+        elif tag == "a" and self.heading and "href" in a:
+            self.links.append({"inside": self.articles > 0, "href": a["href"]})
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "article":
+            self.articles = max(0, self.articles - 1)
+        elif tag == "h4":
+            self.heading = False
+
+
+class _Tree(HTMLParser):
+    """A page as nodes ``(tag, attributes, children)``; a child is a node or a text. Scripts have no text. Open tags are counted, so a stray end tag costs nothing."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = ("", {}, [])
+        self.open = [self.root]
+        self.counts: dict[str, int] = {}
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        node = (tag, {k: v or "" for k, v in attrs}, [])
+        self.open[-1][2].append(node)
+        if tag not in VOID:
+            self.open.append(node)
+            self.counts[tag] = self.counts.get(tag, 0) + 1
+
+    def handle_endtag(self, tag: str) -> None:
+        while self.counts.get(tag):
+            done = self.open.pop()[0]
+            self.counts[done] -= 1
+            if done == tag:
+                return
+
+    def handle_data(self, data: str) -> None:
+        if not self.counts.get("script"):
+            self.open[-1][2].append(data)
+
+
+def _walk(node: tuple, *tags: str) -> Iterator[tuple]:
+    """Nodes below ``node`` in page order; of ``tags`` alone, if given."""
+    left = list(reversed(node[2]))
+    while left:
+        x = left.pop()
+        if not isinstance(x, str):
+            if not tags or x[0] in tags:
+                yield x
+            left.extend(reversed(x[2]))
+
+
+def _words(node: tuple) -> str:
+    """The texts below a node, stripped, one a line."""
+    parts, left = [], [node]
+    while left:
+        x = left.pop()
+        parts.append(x) if isinstance(x, str) else left.extend(reversed(x[2]))
+    lines = "\n".join(y for x in parts if (y := x.strip()))
+    return re.sub(r"\n\s*\n+", "\n\n", re.sub(r"[ \t]+", " ", lines.replace("\r\n", "\n").replace("\r", "\n"))).strip()
+
+
+def _classes(node: tuple) -> list[str]:
+    return node[1].get("class", "").split()
+
+
+def _row_lines(table: tuple) -> Iterator[str]:
+    """A row of a table of changes: two cells as key and value, others by bars; of another table: key and value, further cells on a line by bars."""
+    changes = "ven_table" in table[1].get("class", "").lower()
+    for tr in _walk(table, "tr"):
+        cells = [_words(x) for x in _walk(tr, "th", "td")]
+        full = [x for x in cells if x]
+        if changes:
+            yield (": " if len(full) == 2 else " | ").join(full)
+        elif any(cells[:2]):
+            yield ": ".join(x for x in cells[:2] if x)
+            yield " | ".join(x for x in cells[2:] if x)
+
+
+def _detail(html: str) -> dict:
+    page = _Tree()
+    page.feed(html)
+    root = page.root
+    title = next(map(_words, _walk(root, "h3")), "")
+    info = next((x for x in _walk(root, "div") if "ven_announcement_info" in _classes(x)), ("", {}, []))
+    pairs = [cells for tr in _walk(info, "tr") if len(cells := [_words(x) for x in _walk(tr, "td")]) > 1]
+    labelled = lambda label: next((r[1] for r in pairs if label in r[0].lower() and r[1]), "")
+    company = next((_words(x) for x in _walk(root, "td") if "company_name" in _classes(x)), "") or labelled("company name")
+    main = next((x for x in _walk(root) if x[1].get("id") == "main"), root)
+    lines = [x for x in (title, company) if x]
+    places = {id(x): (parent, i) for parent in (main, *_walk(main)) for i, x in enumerate(parent[2]) if not isinstance(x, str)}
+    for h4 in _walk(main, "h4"):
+        if name := _words(h4):
+            lines += ["", name]
+        parent, i = places[id(h4)]
+        for x in islice(parent[2], i + 1, None):
+            if not isinstance(x, str):
+                if x[0] in ("h3", "h4"):
+                    break
+                lines += filter(None, _row_lines(x)) if x[0] == "table" else ()
+    return {"title": title, "company": company, "announced": labelled("date announced"), "text": "\n".join(lines)}
+
+
+def disclosure_detail(html: Column) -> Column:
+    """TXT26, SRC20: ``title`` (the first h3), ``company``, ``source_date`` and ``text`` of a disclosure's page: title, company, then each h4 with the
+    rows of the tables that follow it up to the next heading, within the main part if there is one."""
+
+    @F.pandas_udf("struct<title:string,company:string,announced:string,text:string>")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([_detail(page or "") for page in b], columns=["title", "company", "announced", "text"])
+
+    x = read(html)
+    date = F.coalesce(dates.parsed(dates.first_token(x["announced"])), dates.parsed(x["announced"]))
+    return F.struct(x["title"].alias("title"), x["company"].alias("company"), date.alias("source_date"), clean_block(x["text"]).alias("text"))
+
+
+def disclosure_documents(details: DataFrame, most: int = 40, by: Sequence[str] = ("query_id",)) -> DataFrame:
+    """SRC20: documents of fetched details (``pos``, ``url``, ``html``, ``attachments``: URLs): each page's text, then a placeholder of each attachment
+    for the enrichment to fill; pages without text go, forty documents stay."""
+    rows = details.withColumn("_d", disclosure_detail(F.col("html"))).filter("_d.text != ''")
+    page = F.struct(F.col("url").alias("url"), F.col("_d.text").alias("content"), F.lit(False).alias("is_attachment"))
+    files = F.transform("attachments", lambda u: F.struct(u.alias("url"), F.lit("").alias("content"), F.lit(True).alias("is_attachment")))
+    rows = rows.select(*by, F.col("pos").alias("_page"), F.posexplode(F.concat(F.array(page), F.coalesce(files, F.filter(F.array(page), lambda x: F.lit(False))))).alias("_i", "_x"), F.col("_d.title").alias("title"), F.col("_d.company").alias("company"), F.col("_d.source_date").alias("source_date"))
+    return ranked(rows.select(*by, "_page", "_i", "title", "company", "source_date", "_x.*"), by, ["_page", "_i"], most, "pos").drop("_page", "_i")
+
+
 def announcement_ids(c: Column) -> Column:
     """SRC21: different ids in order."""
     return F.array_distinct(F.regexp_extract_all(text(c), F.lit(r"\bann_id=(\d+)\b"), F.lit(1)))
@@ -256,10 +422,11 @@ def archive_hits(hits: DataFrame, per_index: int = 50, most: int = 50, by: Seque
     return ranked(rows, by, order, most, "pos")
 
 
-def archive_documents(records: DataFrame, extract: Callable[[str], str], least: int = 100, most: int = 15000) -> DataFrame:
+def archive_documents(records: DataFrame, extract: Callable[[str], str], least: int = 100, most: int = 15000, wanted: int = 0, order: Sequence[str] = ("url",)) -> DataFrame:
     """SRC11, SRC12: records (``url``, ``timestamp``, gzip ``body``) as documents: headers off, main text by ``extract``, title and date.
 
-    A record that can't be read gives no document, and no failure.
+    A record that can't be read gives no document, and no failure. With ``wanted``, the first so many documents in ``order`` stay, each task
+    keeping no more than that; unlike a race of fetches, reruns agree.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,7 +445,8 @@ def archive_documents(records: DataFrame, extract: Callable[[str], str], least:
     date = dates.iso(F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2)))
     title = F.left(collapse(F.regexp_extract("html", r"(?i)<title[^>]*>([^<]+)</title>", 1)), F.lit(200))
     rows = rows.filter(F.length("content") >= least)
-    return rows.select("url", title.alias("title"), F.left("content", F.lit(most)).alias("content"), date.alias("source_date"))
+    rows = rows.select("url", title.alias("title"), F.left("content", F.lit(most)).alias("content"), date.alias("source_date"))
+    return rows.orderBy(*order).limit(wanted) if wanted else rows
 
 
 def enriched(docs: DataFrame, fetch: Callable[[str], tuple[int, str, bytes]], extract: Callable[[str], str], pdf_text: Callable[[bytes], str], p: Params = DEFAULT) -> DataFrame:
