@@ -15,7 +15,7 @@ from fathomline.functions.scores import candidate_score
 from fathomline.functions.text import entity_key, entity_name, text
 from fathomline.operators.dedupe import first_wins
 from fathomline.operators.joins import same_entity
-from fathomline.operators.retrieval import ranked
+from fathomline.operators.retrieval import numbered, ranked
 from fathomline.params import CUSTOMER_KEYWORDS, DEFAULT, GUARANTOR_KEYWORDS, HIGH_RISK_KEYWORDS, Params
 
 KEYWORDS = {"customer": CUSTOMER_KEYWORDS, "corporate_guarantor": GUARANTOR_KEYWORDS, "high_risk": HIGH_RISK_KEYWORDS}
@@ -118,8 +118,7 @@ def upsert_candidates(stored: DataFrame, new: DataFrame, now: str) -> tuple[Data
         F.coalesce(F.sum("_added"), F.lit(0)).cast("long").alias("added"),
         F.coalesce(F.sum(F.col("_batch") - F.col("_added")), F.lit(0)).cast("long").alias("updated"), F.count("*").alias("total"),
     )
-    order = F.row_number().over(W.orderBy(F.desc("score"), "_first"))
-    return merged.withColumn("pos", order).withColumn("role", F.try_element_at("roles", F.lit(1))).drop("_key", "_added", "_batch", "_first"), counts
+    return numbered(merged, [F.desc("score"), "_first", "_key"]).withColumn("role", F.try_element_at("roles", F.lit(1))).drop("_key", "_added", "_batch", "_first"), counts
 
 
 def promote(candidates: DataFrame, seeds: DataFrame, now: str, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -135,9 +134,10 @@ def promote(candidates: DataFrame, seeds: DataFrame, now: str, p: Params = DEFAU
     # A later candidate of the same name finds the first one seeded.
     first = F.row_number().over(W.partitionBy("_key").orderBy("pos")) == 1
     open_ = open_.withColumn("_adds", ~F.col("_seeded") & first)
-    # All open candidates are one list in order; it holds names and numbers only.
-    taken = F.coalesce(F.sum(F.col("_adds").cast("int")).over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    chosen = open_.withColumn("_taken", taken).filter(F.col("_taken") < p.max_promotions)
+    # Up to the row that fills the cap; the first rows that add are found in tasks.
+    filling = open_.filter("_adds").select("pos").orderBy("pos").limit(p.max_promotions)
+    edge = filling.agg(F.when(F.count("*") == p.max_promotions, F.max("pos")).alias("edge"))
+    chosen = open_.withColumn("_edge", edge.scalar()).filter(F.col("_edge").isNull() | (F.col("pos") <= F.col("_edge"))).drop("_edge")
     stamped = chosen.select("pos", F.lit(now).alias("_now"))
     after = candidates.join(stamped, "pos", "left").withColumn("promoted_at", F.coalesce("_now", "promoted_at")).drop("_now")
     more = chosen.filter("_adds").select(F.col("name"), (F.col("pos") + F.lit(1 << 40)).cast("long").alias("pos"))

@@ -20,6 +20,19 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence, most: int | None =
     return out if most is None else out.filter(F.col(name) <= most)
 
 
+def numbered(df: DataFrame, order: Sequence, name: str = "pos") -> DataFrame:
+    """Numbers all rows from 1 in ``order`` without gathering them: a range sort, places within its parts, and the sizes of the parts before.
+
+    The sorted rows are kept, so that sizes and places speak of the same parts; what is broadcast has a row a part.
+    """
+    rows = df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).persist()
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.select("_part", before.alias("_before"))
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1
+    return rows.join(F.broadcast(parts), "_part").withColumn(name, at.cast("long")).drop("_part", "_at", "_before")
+
+
 def vector_top_k(store: DataFrame, queries: Sequence[Sequence[float]], k: int, id_col: str = "doc_id", vector: str = "embedding",
                  distance: Callable = squared_distance) -> DataFrame:
     """SRC04: the ``k`` nearest rows (1 at least) for each query vector, ties by id: ``query_id``, ``distance``, ``rank`` and all columns.

@@ -21,7 +21,7 @@ from fathomline.params import SKIP_DOMAINS, Params
 from fathomline.plans import profile, search
 from fathomline.schema import PARTY
 from fathomline.sources import listing, stores, web
-from fathomline.streaming import ingest
+from fathomline.streaming import ingest, seeding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -751,6 +751,56 @@ def profile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""WITH r AS (SELECT c_custkey AS pos, CASE c_custkey % 6 WHEN 0 THEN '"' || upper(c_name) || '"' WHEN 1 THEN c_name || ',,' WHEN 2 THEN chr(92) || c_name WHEN 3 THEN ' Here is ' || c_name WHEN 4 THEN '[' || c_name || ']' ELSE c_name || ' JSON' END AS raw FROM customer),
+    s AS (SELECT pos, trim(raw) AS s FROM r WHERE NOT regexp_matches(lower(trim(raw)), '^here (is|are)|queries|json')),
+    n AS (SELECT pos, trim(rtrim(regexp_replace(regexp_replace(trim(s, chr(92)), '^"', ''), '"$', ''), ',')) AS name, true AS is_new FROM s),
+    u AS (SELECT c_name AS name, false AS is_new, c_custkey AS pos FROM customer WHERE c_custkey % 4 = 1 UNION ALL SELECT name, is_new, pos FROM n WHERE name <> '' AND NOT regexp_matches(name, '[{}\\[\\]]'))
+    SELECT name, is_new, pos FROM u QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY is_new, pos) = 1""")
+def agg22_merged_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cust, k = table(spark, sf_dir, "customer"), c("c_custkey") % 6
+    raw = F.when(k == 0, F.concat(F.lit('"'), F.upper("c_name"), F.lit('"'))).when(k == 1, F.concat(c("c_name"), F.lit(",,"))).when(k == 2, F.concat(F.lit("\\"), c("c_name")))
+    raw = raw.when(k == 3, F.concat(F.lit(" Here is "), c("c_name"))).when(k == 4, F.concat(F.lit("["), c("c_name"), F.lit("]"))).otherwise(F.concat(c("c_name"), F.lit(" JSON")))
+    return seeding.merged_names(cust.filter("c_custkey % 4 = 1").select(c("c_name").alias("name"), c("c_custkey").alias("pos")), cust.select(raw.alias("name"), c("c_custkey").alias("pos")))
+
+
+@query("""SELECT event_type || event_id AS name, value AS score, p AS pos FROM events, (SELECT unnest([0, 2])::BIGINT AS p) WHERE event_id % 3 = 0""")
+def src26_stored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third event's list holds two candidates around a number; the others hold an object."""
+    one = F.to_json(F.struct(F.concat("event_type", c("event_id").cast("string")).alias("name"), c("value").alias("score")))
+    raw = F.when(c("event_id") % 3 == 0, F.concat(F.lit("["), one, F.lit(", 3, "), one, F.lit("]"))).otherwise(one)
+    return seeding.stored_candidates(table(spark, sf_dir, "events").select(raw.alias("value"))).select("name", "score", "pos")
+
+
+@query("""WITH x AS (SELECT page_id // 40 AS query_id, page_id, 'https://www.marc.com.my/rating-announcements/' || lpad((page_id % 37)::VARCHAR, 2, '0') AS url FROM pages WHERE page_id % 5 <> 0),
+    f AS (SELECT query_id, url, min(page_id) AS p FROM x GROUP BY ALL) SELECT query_id, url, row_number() OVER (PARTITION BY query_id ORDER BY p)::INT AS pos FROM f QUALIFY pos <= 30""")
+def src18_rating_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by forty as the cards of one result page; every fifth isn't an announcement."""
+    path = F.when(c("page_id") % 5 == 0, "/news/").when(c("page_id") % 2 == 0, "/rating-announcements/").otherwise("rating-announcements/")
+    card = F.concat(F.lit('<h4 class="elementor-heading-title"><a href="'), path, F.lpad((c("page_id") % 37).cast("string"), 2, "0"), F.lit('">t</a></h4>'))
+    outside = F.lit('<h4 class="elementor-heading-title"><a href="/rating-announcements/outside">t</a></h4>')
+    cards = table(spark, sf_dir, "pages").groupBy(F.floor(c("page_id") / 40).alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("page_id", card.alias("c")))).alias("a"))
+    html = F.concat(outside, F.lit("<article>"), F.array_join(F.transform("a", lambda x: x["c"]), " "), F.lit("</article>"))
+    return web.rating_links(cards.select("query_id", html.alias("html")), "https://www.marc.com.my")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderdate AS d, o_orderstatus AS s, o_orderpriority AS p, 'Company ' || o_custkey AS k FROM orders),
+    x AS (SELECT *, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [0, 1] ELSE [0] END) AS i FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n, i) AS pos FROM x)
+    SELECT query_id, pos::INT AS pos, 'Notice ' || o_orderkey AS title, k AS company, d::DATE AS source_date, i = 1 AS is_attachment,
+    CASE WHEN i = 1 THEN '' ELSE concat_ws(chr(10), 'Notice ' || o_orderkey, k, '', 'Details', 'Status: ' || s, p || ' | x', '', 'Changes', s || ' | ' || p || ' | y') END AS content FROM r WHERE pos <= 40""")
+def src20_disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the pages of their customer's disclosures (SRC20, TXT26)."""
+    page = F.format_string(
+        "<h3>Notice %s</h3><div class='ven_announcement_info'><table><tr><td>Company Name</td><td>%s</td></tr><tr><td>Date Announced</td><td>%s</td></tr></table></div><div id='main'>"
+        "<h4>Details</h4><p>no</p><table><tr><td>Status</td><td>%s</td><td>%s</td><td>x</td></tr></table><h4>Changes</h4><table class='ven_table'><tr><td>%s</td><td>%s</td><td>y</td></tr></table></div>",
+        c("o_orderkey"), F.concat(F.lit("Company "), c("o_custkey").cast("string")), F.date_format("o_orderdate", "dd/MM/yyyy"), c("o_orderstatus"), c("o_orderpriority"), c("o_orderstatus"), c("o_orderpriority"),
+    )
+    rows = table(spark, sf_dir, "orders").select(
+        c("o_custkey").alias("query_id"), c("o_orderkey").alias("pos"), F.lit("u").alias("url"), page.alias("html"),
+        F.when(c("o_orderkey") % 2 == 0, F.array(F.lit("f"))).alias("attachments"),
+    )
+    return web.disclosure_documents(rows).select("query_id", "pos", "title", "company", "source_date", "is_attachment", "content")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -10,9 +10,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from fathomline.functions.text import escaped_html, strip, text
+from fathomline.operators.retrieval import numbered
 from fathomline.params import DEFAULT, Params
 from fathomline.schema import PARTY, PROFILE, RISKS
 
@@ -72,14 +72,14 @@ class ProfileStore:
         Parties and lists come as structs and arrays, and are kept as JSON.
         """
         old = self.table.read()
-        rows = rows.filter(strip(F.col("company")) != "")
+        rows = numbered(rows.filter(strip(F.col("company")) != ""), ["created_at", "company"], "_id")
         last = old.agg(F.coalesce(F.max("profile_id"), F.lit(0))).first()[0]
         n = rows.count()
         if not n:
             return 0
         js = lambda c, empty: F.coalesce(F.to_json(c), F.lit(empty)).alias(f"{c}_json")
         new = rows.select(
-            (F.row_number().over(W.orderBy("created_at", "company")) + last).cast("long").alias("profile_id"), "company", "snapshot",
+            (F.col("_id") + last).cast("long").alias("profile_id"), "company", "snapshot",
             js("customer", "{}"), js("corporate_guarantor", "{}"), js("high_risk_entities", "[]"), js("documents", "[]"), "confidence", "created_at",
         )
         self.table.write(old.unionByName(new))

@@ -37,6 +37,7 @@ class _Page(HTMLParser):
         self.out = {k: [] for k in ("h1", "title", "p", "em", "time", "a", "tr", "iframe", "img")}
         self.metas: dict[str, str] = {}
         self.stack: list[tuple[str, list[str], dict]] = []
+        self.waiting: dict[int, list[list]] = {}  # links by depth, until their parent's text is known
         self.skip = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -64,7 +65,9 @@ class _Page(HTMLParser):
             self.skip -= t in ("script", "style")
             words = " ".join("".join(parts).split())
             if t == "a":
-                self.out["a"].append([a.get("href", ""), words, len(self.stack)])
+                link = [a.get("href", ""), words, len(self.stack)]
+                self.out["a"].append(link)
+                self.waiting.setdefault(len(self.stack), []).append(link)
             elif t in ("td", "th"):
                 row = next((x for x in reversed(self.stack) if x[0] == "tr"), None)
                 if row:
@@ -76,9 +79,8 @@ class _Page(HTMLParser):
                 self.out["p"].append({"text": words, "class": a.get("class", ""), "widget": "elementor-widget-container" in around, "entry": "entry-content" in around})
             elif t in self.out and t != "time" and words:
                 self.out[t].append(words)
-            for link in self.out["a"]:
-                if link[2] == len(self.stack) + 1 and t != "a":
-                    link[2] = words
+            for link in self.waiting.pop(len(self.stack) + 1, ()) if t != "a" else ():
+                link[2] = words
             if self.stack and t not in ("script", "style"):
                 self.stack[-1][1].append(" " + words + " " if t in ("p", "div", "td", "li", "tr") else "".join(parts))
             if t == tag:
