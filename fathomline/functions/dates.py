@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,14 +20,19 @@ TOKENS = [
 MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
 
 
+def _once(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``c``, which is evaluated once however often ``body`` names it; the cascades below would else repeat it hundredfold."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def valid(year: Column, month: Column, day: Column) -> Column:
     joined = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    date = F.try_to_timestamp(F.nullif(joined, F.lit("")), F.lit("yyyy-MM-dd")).cast("date")
-    return F.when(F.year(date).between(1900, 2100), date)
+    date = F.try_to_timestamp(joined, F.lit("yyyy-MM-dd")).cast("date")
+    return _once(date, lambda d: F.when(F.year(d).between(1900, 2100), d))
 
 
 def _groups(s: Column, pattern: str, *order: int) -> Column:
-    return F.when(s.rlike(pattern), valid(*(F.regexp_extract(s, pattern, i) for i in order)))
+    return _once(s, lambda x: F.when(x.rlike(pattern), valid(*(F.regexp_extract(x, pattern, i) for i in order))))
 
 
 def iso(c: Column) -> Column:
@@ -45,20 +52,19 @@ def year_first(c: Column) -> Column:
 
 def month_name(c: Column) -> Column:
     """DAT04: ``d Mon yyyy`` or ``Mon d, yyyy`` by the month's first three letters."""
-    s = collapse(c)
     first, second = r"^(\d{1,2}) ([A-Za-z]{3,}) (\d{4})$", r"^([A-Za-z]{3,}) (\d{1,2}),? (\d{4})$"
+    numbers = F.create_map(*(F.lit(x) for name, n in MONTHS.items() for x in (name, str(n))))
 
-    def named(pattern: str, year: int, month: int, day: int) -> Column:
-        numbers = F.create_map(*(F.lit(x) for name, n in MONTHS.items() for x in (name, str(n))))
+    def named(s: Column, pattern: str, year: int, month: int, day: int) -> Column:
         number = F.try_element_at(numbers, F.lower(F.left(F.regexp_extract(s, pattern, month), F.lit(3))))
         return F.when(s.rlike(pattern) & number.isNotNull(), valid(F.regexp_extract(s, pattern, year), number, F.regexp_extract(s, pattern, day)))
 
-    return F.coalesce(named(first, 3, 2, 1), named(second, 3, 1, 2))
+    return _once(collapse(c), lambda s: F.coalesce(named(s, first, 3, 2, 1), named(s, second, 3, 1, 2)))
 
 
 def parsed(c: Column) -> Column:
     """DAT05: the first form that fits."""
-    return F.coalesce(iso(c), day_first(c), year_first(c), month_name(c))
+    return _once(text(c), lambda s: F.coalesce(iso(s), day_first(s), year_first(s), month_name(s)))
 
 
 def first_token(c: Column) -> Column:
