@@ -380,10 +380,11 @@ def disclosure_detail(html: Column) -> Column:
 def disclosure_documents(details: DataFrame, most: int = 40, by: Sequence[str] = ("query_id",)) -> DataFrame:
     """SRC20: documents of fetched details (``pos``, ``url``, ``html``, ``attachments``: URLs): each page's text, then a placeholder of each attachment
     for the enrichment to fill; pages without text go, forty documents stay."""
-    rows = details.withColumn("_d", disclosure_detail(F.col("html"))).filter("_d.text != ''")
+    # Pages without text go by having nothing to explode: a filter would be pushed below, and parse each page again.
+    rows = details.withColumn("_d", disclosure_detail(F.col("html")))
     page = F.struct(F.col("url").alias("url"), F.col("_d.text").alias("content"), F.lit(False).alias("is_attachment"))
     files = F.transform("attachments", lambda u: F.struct(u.alias("url"), F.lit("").alias("content"), F.lit(True).alias("is_attachment")))
-    rows = rows.select(*by, F.col("pos").alias("_page"), F.posexplode(F.concat(F.array(page), F.coalesce(files, F.filter(F.array(page), lambda x: F.lit(False))))).alias("_i", "_x"), F.col("_d.title").alias("title"), F.col("_d.company").alias("company"), F.col("_d.source_date").alias("source_date"))
+    rows = rows.select(*by, F.col("pos").alias("_page"), F.posexplode(F.when(F.col("_d.text") != "", F.concat(F.array(page), F.coalesce(files, F.filter(F.array(page), lambda x: F.lit(False)))))).alias("_i", "_x"), F.col("_d.title").alias("title"), F.col("_d.company").alias("company"), F.col("_d.source_date").alias("source_date"))
     return ranked(rows.select(*by, "_page", "_i", "title", "company", "source_date", "_x.*"), by, ["_page", "_i"], most, "pos").drop("_page", "_i")
 
 
