@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import clustering, divergence, html_extract, jaccard, langid, merkle, mixing, packing, pii, secrets, sharding, topk
+from fathomline.llm import clustering, divergence, html_extract, jaccard, langid, merkle, mixing, packing, pii, quality, secrets, sharding, topk
 from fathomline.llm.shared import table
 
 #: Bytes of text that one shard may hold.
@@ -63,12 +63,16 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_mix_sources, op2_near_duplicates, op3_top_k, op4_fingerprints, op5_pii, op6_secrets, op7_pack, op8_shard, op9_main_text, op10_language,
-            op11_clusters, op12_divergence,
+            op11_clusters, op12_divergence, op13_quality,
         )
     }
 
