@@ -48,7 +48,7 @@ def counts(text: bytes) -> np.ndarray:
         data = np.frombuffer(whole, np.uint8)
         for n in GRAMS:
             for i in range(0, len(data), PIECE):  # a piece without blanks may be long
-                part = data[max(i - n + 1, max(len(tail) - n + 1, 0) if i == 0 else 0) : i + PIECE]
+                part = data[max(i - n + 1, len(tail) - n + 1, 0) : i + PIECE]
                 found[: 1 << GRAM_BITS] += np.bincount(grams(part, n, GRAM_BITS), minlength=1 << GRAM_BITS)
         tail = whole[-(max(GRAMS) - 1) :]
         kinds = np.frombuffer(piece.translate(SHAPE), np.uint8)
