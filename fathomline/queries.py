@@ -19,8 +19,10 @@ from fathomline.functions import text as tx
 from fathomline.operators import dedupe, filters, joins, mentions, rank, retrieval, verify
 from fathomline.params import SKIP_DOMAINS, Params
 from fathomline.plans import profile, search
-from fathomline.schema import PARTY
+from fathomline.schema import EVIDENCE, PARTY
 from fathomline.sources import listing, stores, web
+from fathomline.sources.deltas import KeyedTable
+from fathomline.sources.folders import scratch
 from fathomline.streaming import ingest, seeding
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,6 +207,43 @@ def src10_archive_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.archive_hits(hits, 15).select("page_id", "pos")
 
 
+@query("""WITH o AS (SELECT *, year(o_orderdate) AS y FROM orders), s AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, y ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM o),
+    g AS (SELECT o_custkey, y FROM o GROUP BY ALL HAVING sum(o_totalprice) < 150000), f AS (SELECT * FROM s WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY y DESC) = 1)
+    SELECT o_custkey AS custkey, o_orderkey AS orderkey, o_totalprice AS price, y::INT AS year FROM f ANTI JOIN g USING (o_custkey, y)""")
+def snk_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK01, SNK02, SNK09: year after year, each customer's latest order is set, then customers who spent little that year are dropped, in a table that
+    is merged when read and compacted on the way. SQL says what is left at the end."""
+    o = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    held = KeyedTable(spark, scratch(spark, "history"), "custkey long, orderkey long, price double, year int", "custkey", buckets=4)
+    for year in [r["year"] for r in o.select("year").distinct().orderBy("year").collect()]:
+        rows = o.filter(c("year") == year)
+        held.change(rows.select(c("o_custkey").alias("custkey"), c("o_orderkey").alias("orderkey"), c("o_totalprice").alias("price"), "year", F.struct("o_orderdate", "o_orderkey").alias("at")), order="at")
+        held.change(gone=rows.groupBy(c("o_custkey").alias("custkey")).agg(F.sum("o_totalprice").alias("s")).filter("s < 150000"))
+    return held.read()
+
+
+@query("SELECT trim(url) AS url, count(*) AS n FROM pages WHERE trim(url) <> '' GROUP BY 1")
+def snk10_seen_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC24, SNK10: pages come in three batches, every one twice; their URLs are met once."""
+    pages, seen = table(spark, sf_dir, "pages"), stores.SeenUrls(spark, scratch(spark, "seen"))
+    for k in (0, 1, 2):
+        seen.add(pages.filter((c("page_id") % 3).isin(k, (k + 1) % 3)).select(F.concat(F.lit(" "), "url").alias("url")))
+    return seen.listed().join(pages.groupBy(F.trim("url").alias("url")).agg(F.count("*").alias("n")), "url")
+
+
+@query("""WITH a AS (SELECT user_id, event_type, event_id, value FROM events), u AS (SELECT 'user ' || user_id AS name, max(value) AS best, count(*) AS n FROM a WHERE event_type <> 'error' GROUP BY user_id)
+    SELECT name, round(best, 6) AS score, n AS mentions FROM u""")
+def snk11_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK11: candidates saved twice, first of all events, then of all but errors: what differs is written, who has only errors goes."""
+    held, e = stores.SeedStore(spark, scratch(spark, "seeds")), table(spark, sf_dir, "events")
+    for rows in (e, e.filter("event_type <> 'error'")):
+        found = rows.groupBy("user_id").agg(F.max("value").alias("score"), F.count("*").alias("mentions"))
+        found = found.select(F.concat(F.lit("user "), c("user_id").cast("string")).alias("name"), F.round("score", 6).alias("score"), "mentions", c("user_id").alias("pos"))
+        blank = {f: F.lit(None).cast(t) for f, t in (("role", "string"), ("roles", "array<string>"), ("context_hits", "long"), ("evidence", EVIDENCE), ("source_query", "string"), ("first_seen_at", "string"), ("last_seen_at", "string"), ("promoted_at", "string"))}
+        held.save_candidates(found.withColumns(blank))
+    return held.candidates().select("name", "score", "mentions")
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey <> o_custkey THEN o_orderkey || '|' || o_custkey ELSE o_custkey::VARCHAR END AS ids FROM orders")
 def src21_announcement_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda k: F.concat(F.lit("x?ann_id="), c(k).cast("string"), F.lit("&y "))

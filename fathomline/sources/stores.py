@@ -1,8 +1,4 @@
-"""Stores on shared folders: profiles, documents and small state tables.
-
-Parquet tables have no row-level changes, so a table that changes is a folder of whole versions, ``v=1``, ``v=2`` and so on. A
-version is written completely before it counts (Spark's ``_SUCCESS`` marker), so readers always see one. One writer at a time.
-"""
+"""Stores on shared folders: profiles, documents, the seed loop's state and the model registry. What changes is a :class:`KeyedTable`."""
 
 from __future__ import annotations
 
@@ -11,86 +7,49 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.functions.text import escaped_html, strip, text
+from fathomline.functions.text import entity_key, escaped_html, strip, text
+from fathomline.operators.dedupe import first_wins
 from fathomline.operators.retrieval import numbered
 from fathomline.params import DEFAULT, Params
-from fathomline.schema import PARTY, PROFILE, RISKS
-
-
-class Folder:
-    """Files below a path of any Hadoop file system."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def children(self) -> list[str]:
-        if not self._fs.exists(self._path(self.path)):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)))
-
-    def has(self, *parts: str) -> bool:
-        return self._fs.exists(self._path("/".join([self.path, *parts])))
-
-    def remove(self, name: str) -> None:
-        self._fs.delete(self._path(f"{self.path}/{name}"), True)
-
-
-class VersionedTable:
-    """A small mutable table (SRC23, SNK09): reads the last complete version, writes the next."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, kept: int = 2):
-        self.spark, self.path, self.schema, self.kept, self.folder = spark, path, schema, kept, Folder(spark, path)
-
-    def versions(self) -> list[int]:
-        return sorted(int(n[2:]) for n in self.folder.children() if n.startswith("v=") and self.folder.has(n, "_SUCCESS"))
-
-    def read(self) -> DataFrame:
-        """The last version; an empty table before the first. Columns that old files lack are NULL (SNK03)."""
-        found = self.versions()
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={found[-1]}")
-
-    def write(self, df: DataFrame) -> None:
-        found = self.versions()
-        df.write.mode("overwrite").parquet(f"{self.path}/v={(found[-1] if found else 0) + 1}")
-        for v in found[: 1 - self.kept] if self.kept > 1 else found:
-            self.folder.remove(f"v={v}")
+from fathomline.schema import CANDIDATE, PARTY, PROFILE, RISKS
+from fathomline.sources.deltas import KeyedTable
+from fathomline.sources.folders import Folder, JsonFile
 
 
 class ProfileStore:
     """The profiles table (SRC01-03, SNK01-04). JSON columns hold NULL, blank or JSON text; readers get typed values."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.table = VersionedTable(spark, path, PROFILE)
+        self.table = KeyedTable(spark, path, PROFILE, "profile_id")
 
     def insert(self, rows: DataFrame) -> int:
-        """SNK01: appends ``rows`` that name a company, ids going on in their order of ``created_at``; the last id, 0 for none.
+        """SNK01: adds ``rows`` that name a company, ids going on in their order of ``created_at``; the last id, 0 for none.
 
-        Parties and lists come as structs and arrays, and are kept as JSON.
+        Parties and lists come as structs and arrays, and are kept as JSON. The last id given out is kept with the table, so ids of deleted
+        profiles never come back, and no stored row is read.
         """
-        old = self.table.read()
-        rows = numbered(rows.filter(strip(F.col("company")) != ""), ["created_at", "company"], "_id")
-        last = old.agg(F.coalesce(F.max("profile_id"), F.lit(0))).first()[0]
-        n = rows.count()
-        if not n:
-            return 0
-        js = lambda c, empty: F.coalesce(F.to_json(c), F.lit(empty)).alias(f"{c}_json")
-        new = rows.select(
-            (F.col("_id") + last).cast("long").alias("profile_id"), "company", "snapshot",
-            js("customer", "{}"), js("corporate_guarantor", "{}"), js("high_risk_entities", "[]"), js("documents", "[]"), "confidence", "created_at",
-        )
-        self.table.write(old.unionByName(new))
+        last = self.table.number("last_id")
+        rows = numbered(rows.filter(strip(F.col("company")) != ""), ["created_at", "company"], "_id").persist()
+        try:
+            n = rows.count()
+            if not n:
+                return 0
+            js = lambda c, empty: F.coalesce(F.to_json(c), F.lit(empty)).alias(f"{c}_json")
+            new = rows.select(
+                (F.col("_id") + last).cast("long").alias("profile_id"), "company", "snapshot",
+                js("customer", "{}"), js("corporate_guarantor", "{}"), js("high_risk_entities", "[]"), js("documents", "[]"), "confidence", "created_at",
+            )
+            self.table.change(new, numbers={"last_id": last + n})
+        finally:
+            rows.unpersist()
         return last + n
 
     def delete(self, profile_id: int) -> int:
-        """SNK02: the number of rows that went."""
-        old = self.table.read()
-        n = old.filter(F.col("profile_id") == profile_id).count()
+        """SNK02: the number of rows that went; a mark of the id is all that is written."""
+        found = self.table.read(only=F.lit(profile_id).cast("long")).select("profile_id")
+        n = found.count()
         if n:
-            self.table.write(old.filter(F.col("profile_id") != profile_id))
+            self.table.change(gone=self.table.spark.createDataFrame([(profile_id,)], "profile_id long"))
         return n
 
     def all(self) -> DataFrame:
@@ -103,7 +62,7 @@ class ProfileStore:
 
     def by_id(self, profile_id: int) -> DataFrame:
         """SRC03: no row if there is no such id."""
-        return typed_profiles(self.table.read().filter(F.col("profile_id") == profile_id))
+        return typed_profiles(self.table.read(only=F.lit(profile_id).cast("long")))
 
 
 def migrated(profiles: DataFrame) -> DataFrame:
@@ -129,6 +88,73 @@ def newest_first(profiles: DataFrame) -> DataFrame:
     return profiles.orderBy(F.desc("created_at"), F.desc("profile_id"))
 
 
+class SeenUrls(KeyedTable):
+    """SRC24, SNK10: URLs that were met; a batch writes those that are new."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, "url string", "url")
+
+    def add(self, urls: DataFrame) -> int:
+        """The number of URLs that weren't there; blanks around them go, and so do blank ones."""
+        new = urls.select(strip(F.col("url")).alias("url")).filter("url != ''").distinct()
+        return self.change(new.join(self.read(), "url", "left_anti"))
+
+    def listed(self) -> DataFrame:
+        return self.read().orderBy("url")
+
+
+class SeedStore:
+    """SNK11: candidates by entity key and the list of seeds by lower-cased name; saving writes what differs."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._candidates = KeyedTable(spark, f"{path}/candidates", f"key string, {CANDIDATE}", "key")
+        self._seeds = KeyedTable(spark, f"{path}/seeds", "key string, name string, pos long", "key")
+
+    def candidates(self) -> DataFrame:
+        return self._candidates.read().drop("key")
+
+    def save_candidates(self, rows: DataFrame) -> int:
+        """Of candidates with one key the last by ``pos`` stays; those without a key go."""
+        return self._candidates.sync(rows.withColumn("key", entity_key(F.col("name"))).filter("key != ''"), "pos")
+
+    def seeds(self) -> DataFrame:
+        return self._seeds.read().drop("key")
+
+    def save_seeds(self, rows: DataFrame) -> int:
+        """Of names that differ in case the first by ``pos`` stays, in its case."""
+        named = rows.withColumn("key", F.lower(strip(F.col("name")))).filter("key != ''")
+        return self._seeds.sync(first_wins(named, [F.col("key")], ["pos"]))
+
+
+class ModelRegistry:
+    """SNK14: custom models by id in a small JSON file, beside the default ones."""
+
+    def __init__(self, spark: SparkSession, path: str, default: dict[str, dict]):
+        self.file, self.default = JsonFile(spark, path), default
+
+    def custom(self) -> dict[str, dict]:
+        found = self.file.load({})
+        return found if isinstance(found, dict) else {}
+
+    def all(self) -> dict[str, dict]:
+        """A custom model takes the default one's place unless it is disabled."""
+        return self.default | {k: m for k, m in self.custom().items() if m.get("enabled", True)}
+
+    def get(self, model_id: str) -> dict | None:
+        return self.all().get(model_id)
+
+    def save(self, model_id: str, config: dict) -> None:
+        self.file.save(self.custom() | {model_id: config})
+
+    def delete(self, model_id: str) -> bool:
+        """Whether there was such a custom model."""
+        found = self.custom()
+        if model_id not in found:
+            return False
+        self.file.save({k: m for k, m in found.items() if k != model_id})
+        return True
+
+
 class DocumentStore:
     """Documents with embeddings (A3, A4): one primary folder to append to, others read along.
 

@@ -13,7 +13,7 @@ from fathomline.operators.dedupe import with_embeddings
 from fathomline.operators.joins import unseen
 from fathomline.operators.retrieval import ranked
 from fathomline.params import DEFAULT, UNRANKED_SOURCES, Params
-from fathomline.sources.stores import DocumentStore, VersionedTable
+from fathomline.sources.stores import DocumentStore, SeenUrls
 
 
 def routed(docs: DataFrame, official: Column, rerank: Callable[[DataFrame], DataFrame], p: Params = DEFAULT, by: tuple[str, ...] = ("seed",)) -> DataFrame:
@@ -30,7 +30,7 @@ def routed(docs: DataFrame, official: Column, rerank: Callable[[DataFrame], Data
     return ranked(every, by, ["_kind", "order"], p.max_index_docs, "_order").drop("order", "_kind").withColumnRenamed("_order", "order")
 
 
-def ingest(docs: DataFrame, store: DocumentStore, seen: VersionedTable, embed, stamp: dict[str, str], strict: bool = False) -> int:
+def ingest(docs: DataFrame, store: DocumentStore, seen: SeenUrls, embed, stamp: dict[str, str], strict: bool = False) -> int:
     """STR01, STR02: one batch: unseen documents are stamped, embedded and appended, and their URLs join the seen ones; their number.
 
     The seen URLs are written after the documents, so a batch that fails between is repeated and not lost. The anti-join comes
@@ -43,8 +43,7 @@ def ingest(docs: DataFrame, store: DocumentStore, seen: VersionedTable, embed, s
         n = fresh.count()
         if n:
             store.append(fresh)
-            urls = fresh.select(strip(F.col("url")).alias("url")).filter("url != ''")
-            seen.write(known.select("url").union(urls).distinct().sort("url"))
+            seen.add(fresh)
     finally:
         fresh.unpersist()
     return n

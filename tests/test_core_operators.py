@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathomline.operators import dedupe, joins, mentions, rank
 from fathomline.params import Params
 from fathomline.sources import listing, registry, web
-from fathomline.sources.stores import DocumentStore, ProfileStore, VersionedTable, text_report
+from fathomline.sources.stores import DocumentStore, ProfileStore, SeenUrls, text_report
 from fathomline.streaming import ingest
 
 
@@ -96,7 +96,7 @@ def test_profile_store(spark, tmp_path):
 
 
 def test_ingest_once(spark, tmp_path):
-    store, seen = DocumentStore(spark, str(tmp_path / "d")), VersionedTable(spark, str(tmp_path / "s"), "url string")
+    store, seen = DocumentStore(spark, str(tmp_path / "d")), SeenUrls(spark, str(tmp_path / "s"))
     docs = spark.createDataFrame([(1, "u1", "a" * 60), (2, "u1", "b" * 60), (3, "", "c" * 60)], "order int, url string, content string")
     embed = lambda texts: [[float(len(t))] for t in texts]
     assert ingest.ingest(docs, store, seen, embed, {"indexed_at": "2024-01-01"}) == 3  # repeats inside a batch stay
