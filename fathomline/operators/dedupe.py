@@ -8,10 +8,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from fathomline.functions.scores import jaccard
 from fathomline.functions.text import text
+from fathomline.operators.greedy import first_independent
 from fathomline.operators.retrieval import ranked
 from fathomline.params import DEFAULT, Params
 
@@ -47,37 +49,56 @@ def word_set(content: Column, most: int = DEFAULT.dedupe_chars) -> Column:
 def greedy_near_duplicates(docs: DataFrame, by: Sequence[str] = ("query_id",), order: str = "order", p: Params = DEFAULT) -> DataFrame:
     """AGG03: keeps a document unless its word set is too like that of one kept before; empty sets are like nothing.
 
-    The result depends on the order and isn't transitive, so each group of ``by`` - the retrieved documents of one query, at
-    most a few hundred - is folded in order. Word sets are made once, and only they and the places are gathered.
+    The result depends on the order and isn't transitive: it is what a fold over each group of ``by`` in order gives, made in parallel
+    (:func:`~fathomline.operators.greedy.first_independent`). Of equal sets only the first can stay. Long words come first in the heads: they are rare.
     """
     rows = docs.withColumn("_words", word_set(F.col("content"), p.dedupe_chars))
-    slim = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "_words"))).alias("_all"))
-    like = lambda kept, x: F.exists(kept, lambda k: jaccard(k["_words"], x["_words"]) >= p.dedupe_jaccard)
-    step = lambda kept, x: F.when((F.size(x["_words"]) > 0) & like(kept, x), kept).otherwise(F.array_append(kept, x))
-    none = F.filter("_all", lambda x: F.lit(False))
-    kept = slim.select(*by, F.explode(F.transform(F.aggregate("_all", none, step), lambda x: x[order])).alias(order))
-    return rows.drop("_words").join(kept, [*by, order], "left_semi")
+    long_first = F.transform(F.array_sort(F.transform("_words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    slim = rows.select(*by, order, long_first.alias("_words"))
+    some = first_wins(slim.filter(F.size("_words") > 0), [*(F.col(c) for c in by), F.col("_words")], [order])
+    kept = first_independent(some, by, order, "_words", p.dedupe_jaccard, lambda a, b: jaccard(a, b) >= p.dedupe_jaccard)
+    return rows.join(kept.withColumn("_kept", F.lit(True)), [*by, order], "left").filter((F.size("_words") == 0) | F.col("_kept")).select(*docs.columns)
+
+
+# Letters of English by how rare they are; all other characters count as rarer.
+RARE_LETTERS = "zqxjkvbpgywfmucldrhsinoate "
+
+
+def letters(name: Column) -> Column:
+    """The characters of a name with their turn among equal ones, rare ones first: the common ones of two names bound what can match."""
+    chars = F.split(name, "")
+    turned = F.transform(chars, lambda c, i: F.struct(F.instr(F.lit(RARE_LETTERS), c).alias("r"), c.alias("c"), (-F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))).alias("k")))
+    return F.transform(F.array_sort(turned), lambda x: F.concat(x["c"], x["k"].cast("string")))
+
+
+@F.pandas_udf(T.DoubleType())
+def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp likeness of pairs of names."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def distinct_entities(entities: DataFrame, by: Sequence[str] = ("query_id",), p: Params = DEFAULT) -> DataFrame:
     """AGG04: entities (``name``, ``type``, ``score``, ``pos``) by score, less those whose name is like a kept one of the type.
 
-    Likeness is the Ratcliff-Obershelp ratio of lower-cased names, above ``p.entity_ratio``. No built-in function has it, so each
-    group of one query and type is handled in pandas. Rows without a name or type go.
+    Likeness is the Ratcliff-Obershelp ratio of lower-cased names, above ``p.entity_ratio``: twice the characters in matching pieces, by those of both.
+    Pieces can't match more than the letters that both names have, and a ratio of r of those is a Jaccard likeness of r / (2 - r), so
+    only names with enough letters in common are compared, by Arrow batches; the choice is made in parallel as in AGG03. Rows without a name or type
+    go. NULL scores come last. Of equal names the first can stay.
     """
-    rows = entities.filter((F.trim(text(F.col("name"))) != "") & (F.trim(text(F.col("type"))) != ""))
-
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["score", "pos"], ascending=[False, True], kind="stable")
-        kept: list[str] = []
-        mask = []
-        for name in group["name"].str.strip().str.lower():
-            mask.append(all(SequenceMatcher(None, name, k).ratio() <= p.entity_ratio for k in kept))
-            if mask[-1]:
-                kept.append(name)
-        return group[mask]
-
-    return rows.groupBy(*by, "type").applyInPandas(keep, rows.schema)
+    rows = entities.filter((text(F.col("name")) != "") & (text(F.col("type")) != ""))
+    rows = rows.withColumn("_name", F.lower("name")).withColumn("_at", F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("score"), "pos"))
+    keys = [*by, "type"]
+    some = first_wins(rows.select(*keys, "_at", "_name"), [*(F.col(c) for c in keys), F.col("_name")], ["_at"])
+    some = some.withColumns({"_letters": letters(F.col("_name")), "_item": F.struct("_name", letters(F.col("_name")).alias("of"))})
+    share = p.entity_ratio / (2 - p.entity_ratio)
+
+    def like(a: Column, b: Column) -> Column:
+        common = F.size(F.array_intersect(a["of"], b["of"]))
+        enough = 2 * common > p.entity_ratio * (F.size(a["of"]) + F.size(b["of"])) - 1e-9
+        return enough & (name_ratio(F.when(enough, a["_name"]).otherwise(""), F.when(enough, b["_name"]).otherwise("")) > p.entity_ratio)
+
+    kept = first_independent(some, keys, "_at", "_letters", share, like, "_item")
+    return rows.join(kept, [*keys, "_at"], "left_semi").select(*entities.columns)
 
 
 def distinct_relations(relations: DataFrame, by: Sequence[str] = ("query_id",), order: str = "pos", p: Params = DEFAULT) -> DataFrame:

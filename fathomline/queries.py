@@ -420,15 +420,42 @@ def agg01_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.keep_best_per_url(d).select("query_id", "pos", "order")
 
 
-@query()
+def greedy_sql(keys: str, rows: str, alike: str, columns: str, before: str = "") -> str:
+    """Rows ``r`` (``keys``, ``k`` from 1 in order) folded in order: a row stays unless it is ``alike`` (``keys``, ``a``, ``b``) one kept before it."""
+    on = " AND ".join(f"g.{x} = r.{x}" for x in keys.split(", "))
+    like = " AND ".join(f"l.{x} = r.{x}" for x in keys.split(", "))
+    return f"""WITH RECURSIVE r AS MATERIALIZED ({rows}), {before} likes AS ({alike}), near AS MATERIALIZED (SELECT {keys}, a, list(b) AS of FROM likes GROUP BY ALL),
+        g AS (SELECT DISTINCT {keys}, 0::BIGINT AS k, []::BIGINT[] AS kept FROM r
+        UNION ALL SELECT {", ".join(f"g.{x}" for x in keys.split(", "))}, r.k, CASE WHEN l.of IS NOT NULL AND list_has_any(g.kept, l.of) THEN g.kept ELSE list_append(g.kept, r.k) END
+        FROM g JOIN r ON {on} AND r.k = g.k + 1 LEFT JOIN near AS l ON {like} AND l.a = r.k),
+        last AS (SELECT {keys}, max_by(kept, k) AS kept FROM g GROUP BY ALL) SELECT {columns} FROM r JOIN last USING ({keys}) WHERE list_contains(kept, r.k)"""
+
+
+@query(
+    greedy_sql(
+        "query_id", r"SELECT doc_id, doc_id // 50 AS query_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS k, list_distinct(regexp_extract_all(lower(left(text, 2000)), '\b[a-z0-9]{3,}\b')) AS w FROM documents",
+        "SELECT x.query_id, x.k AS a, y.k AS b FROM r AS x JOIN r AS y ON x.query_id = y.query_id AND y.k < x.k WHERE len(x.w) > 0 AND least(len(x.w), len(y.w)) >= 0.85 * greatest(len(x.w), len(y.w)) AND 1.85 * len(list_intersect(x.w, y.w)) >= 0.85 * (len(x.w) + len(y.w)) - 1e-9", "doc_id, query_id",
+    )
+)
 def agg03_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Within groups of fifty documents of one number range: the fold depends on the order, which SQL can't say."""
+    """Within groups of fifty documents of one number range, which stand for retrieved lists; SQL folds each in order."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.floor(c("doc_id") / 50).alias("query_id"), c("text").alias("content"), c("doc_id").alias("order"))
     return dedupe.greedy_near_duplicates(d).select("doc_id", "query_id")
 
 
-@query()
+@query(
+    greedy_sql(
+        "query_id, type", "SELECT p_size % 10 AS query_id, p_brand AS type, p_partkey AS pos, lower(p_name) AS n, row_number() OVER (PARTITION BY p_size % 10, p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part",
+        "SELECT p.query_id, p.type, a, b FROM pairs AS p JOIN (SELECT x, y, sum(l) AS m FROM pieces GROUP BY ALL) USING (x, y) WHERE 2 * m > 0.75 * (length(x) + length(y))", "query_id, pos",
+        """pairs AS (SELECT x.query_id, x.type, x.k AS a, y.k AS b, x.n AS x, y.n AS y FROM r AS x JOIN r AS y ON x.query_id = y.query_id AND x.type = y.type AND y.k < x.k),
+        pieces AS (SELECT DISTINCT x, y, '' AS way, x AS s, y AS t, 0::BIGINT AS l FROM pairs UNION ALL
+        SELECT x, y, way || side, CASE side WHEN 'l' THEN left(s, i - 1) ELSE s[i + n :] END, CASE side WHEN 'l' THEN left(t, j - 1) ELSE t[j + n :] END, CASE side WHEN 'l' THEN n ELSE 0 END
+        FROM (SELECT x, y, way, s, t, i, n, strpos(t, s[i : i + n - 1]) AS j FROM (SELECT *, unnest(range(1, length(s) - i + 2)) AS n FROM (SELECT x, y, way, s, t, unnest(range(1, length(s) + 1)) AS i FROM pieces WHERE s <> '' AND t <> ''))
+        WHERE contains(t, s[i : i + n - 1]) QUALIFY row_number() OVER (PARTITION BY x, y, way ORDER BY n DESC, i) = 1), (VALUES ('l'), ('r')) AS v(side)),""",
+    )
+)
 def agg04_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entities of a brand; SQL finds the longest common pieces of each pair of names, then those left and right of them, and so on."""
     e = table(spark, sf_dir, "part").select((c("p_size") % 10).alias("query_id"), c("p_name").alias("name"), c("p_brand").alias("type"), c("p_retailprice").alias("score"), c("p_partkey").alias("pos"))
     return dedupe.distinct_entities(e).select("query_id", "pos")
 
