@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from fathomline.functions.places import match_places, phrase_places
 from fathomline.functions.scores import candidate_score
-from fathomline.functions.text import entity_key, entity_name, text
+from fathomline.functions.text import collapse, entity_key, entity_name, text
 from fathomline.operators.dedupe import first_wins
 from fathomline.operators.joins import same_entity
 from fathomline.operators.retrieval import numbered, ranked
@@ -22,8 +20,8 @@ KEYWORDS = {"customer": CUSTOMER_KEYWORDS, "corporate_guarantor": GUARANTOR_KEYW
 
 
 def mention_pattern(name: Column) -> Column:
-    """The words of a name joined by any run of signs and spaces, at word boundaries, in either case; NULL for no words."""
-    words = F.regexp_extract_all(entity_name(name), F.lit(r"(?U)\w+"), F.lit(0))
+    """The words of a name, of the letters a to z and digits, joined by any run of signs and spaces, at word boundaries, in either case; NULL for no words."""
+    words = F.regexp_extract_all(F.lower(text(name)), F.lit("[a-z0-9]+"), F.lit(0))
     return F.when(F.size(words) > 0, F.concat(F.lit(r"(?iU)\b"), F.array_join(words, r"[\s\W]+"), F.lit(r"\b")))
 
 
@@ -32,41 +30,46 @@ def mention_count(content: Column, name: Column) -> Column:
     return F.coalesce(F.regexp_count(text(content), mention_pattern(name)), F.lit(0))
 
 
-@F.pandas_udf(T.IntegerType())
-def _context_hits(contents: pd.Series, names: pd.Series, keywords: pd.Series, window: pd.Series) -> pd.Series:
-    out = []
-    for content, name, keys, w in zip(contents, names, keywords, window, strict=True):
-        words = re.findall(r"\w+", name or "")
-        hits = 0
-        if words and content and len(keys):
-            for m in re.finditer(r"\b" + r"[\s\W]+".join(map(re.escape, words)) + r"\b", content, re.I):
-                near = content[max(0, m.start() - w) : m.end() + w].lower()
-                hits += any(k in near for k in keys)
-        out.append(hits)
-    return pd.Series(out, dtype="int32")
+def context_hits(rows: DataFrame, keys: Sequence[str], p: Params = DEFAULT) -> DataFrame:
+    """AGG07: ``keys`` and ``hits``, how many mentions of ``name`` in ``content`` have one of ``keywords`` near, or within; no row for none.
 
-
-def context_hits(content: Column, name: Column, keywords: Column, p: Params = DEFAULT) -> Column:
-    """AGG07: mentions with a keyword near, or within. Windows need the place of every match, so this one runs in pandas."""
-    keys = F.filter(F.transform(keywords, lambda k: F.lower(F.trim(k))), lambda k: k != "")
-    return _context_hits(text(content), entity_name(name), keys, F.lit(p.window_chars))
+    ``keys`` tell rows apart; the first ones, all but the last two, tell texts apart. Mentions become intervals, widened by ``p.window_chars`` on both sides;
+    each keyword is looked for once in each text, wherever it stands; both meet by text and bin of places, so a task never holds more than rows.
+    """
+    of_text = list(keys)[:-2]
+    usual = F.filter(F.transform("keywords", lambda k: F.lower(collapse(k))), lambda k: k != "")
+    rows = rows.withColumns({"_text": text(F.col("content")), "_set": F.array_distinct(usual)}).withColumn("_of", F.xxhash64("_set"))
+    w, width = p.window_chars, 4 * p.window_chars
+    near = match_places(rows, [*keys, "_of"], "_text", mention_pattern(F.col("name"))).select(*keys, "_of", "start", (F.col("start") - w).alias("_from"), (F.col("end") + w).alias("_to"))
+    near = near.withColumn("_bin", F.explode(F.sequence(F.floor(F.greatest("_from", F.lit(0)) / width), F.floor(F.col("_to") / width))))
+    texts = rows.select(*of_text, "_of", "_set", "_text").dropDuplicates([*of_text, "_of"])
+    looked = texts.select(*of_text, "_of", F.explode("_set").alias("_k"), "_text").withColumn("_long", F.length("_k"))
+    found = phrase_places(looked, [*of_text, "_of", "_k", "_long"], "_text", F.col("_k"))
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in of_text), F.col("_of").alias("_set"), F.col("start").alias("_s"), (F.col("start") + F.col("_long")).alias("_e"), F.floor(F.col("start") / width).alias("_at"))
+    same = [F.col(c) == F.col(f"_{c}") for c in of_text] + [F.col("_of") == F.col("_set"), F.col("_bin") == F.col("_at"), F.col("_s") >= F.col("_from"), F.col("_e") <= F.col("_to")]
+    hit = near.join(found, same, "left_semi")
+    return hit.groupBy(*keys).agg(F.countDistinct("start").alias("hits"))
 
 
 def scored_candidates(docs: DataFrame, names: DataFrame, by: Sequence[str] = ("query_id",), p: Params = DEFAULT) -> DataFrame:
     """JON08, AGG09: for each name (``name``, ``role``, ``keywords``) the mentions and context hits in its query's documents, its evidence
     (different documents that mention it, in order) and score; names with too few of either go.
 
-    Names and documents meet by query. Documents without a mention leave before the costly context count.
+    Names and documents meet by query; ``doc_index`` numbers a query's documents. Documents without a mention leave before contexts are looked at.
+    Evidence is different if its fields are, white space aside; the first document of each stays.
     """
+    keys = [*by, "doc_index", "name", "role"]
     rows = docs.join(names, list(by)).withColumn("mentions", mention_count(F.col("content"), F.col("name"))).filter("mentions > 0")
-    rows = rows.withColumn("hits", context_hits(F.col("content"), F.col("name"), F.col("keywords"), p))
+    hits = context_hits(rows, keys, p)
     fields = ("url", "title", "source", "source_date")
-    evidence = F.struct("doc_index", *(text(F.col(c)).alias(c) for c in fields))
-    found = rows.groupBy(*by, "name", "role").agg(
-        F.sum("mentions").cast("long").alias("mentions"), F.sum("hits").cast("long").alias("context_hits"), F.array_sort(F.collect_list(evidence)).alias("e")
+    evidence = F.struct(*(text(F.col(c)).alias(c) for c in fields))
+    told = rows.select(*keys, "mentions", evidence.alias("_e"), F.struct(*(collapse(F.col(c)).alias(c) for c in fields)).alias("_key")).join(hits, keys, "left")
+    told = told.groupBy(*by, "name", "role", "_key").agg(
+        F.sum("mentions").alias("mentions"), F.sum(F.coalesce("hits", F.lit(0))).alias("hits"), F.min(F.struct("doc_index", "_e")).alias("_e")
+    )
+    found = told.groupBy(*by, "name", "role").agg(
+        F.sum("mentions").cast("long").alias("mentions"), F.sum("hits").cast("long").alias("context_hits"), F.transform(F.array_sort(F.collect_list("_e")), lambda x: x["_e"]).alias("evidence")
     )
-    slim = F.array_distinct(F.transform("e", lambda x: F.struct(*(x[c].alias(c) for c in fields))))
-    found = found.withColumn("evidence", slim).drop("e")
     found = found.filter((F.col("mentions") >= p.min_mentions) & (F.col("context_hits") >= p.min_context))
     return found.withColumn("score", F.round(candidate_score(F.col("mentions"), F.col("context_hits"), p), 3))
 

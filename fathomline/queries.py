@@ -468,12 +468,18 @@ def agg05_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.distinct_relations(r).select("query_id", "pos")
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, doc_id % 20 AS q, source, text, unnest(regexp_extract_all(text, '[\pL\pN_]+|[^\pL\pN_]+')) AS tok, generate_subscripts(regexp_extract_all(text, '[\pL\pN_]+|[^\pL\pN_]+'), 1) AS i FROM documents),
+    p AS (SELECT *, (sum(length(tok)) OVER w - length(tok))::BIGINT AS s, lower(tok) AS a, lower(lead(tok, 2) OVER w) AS b, length(lead(tok) OVER w) + length(lead(tok, 2) OVER w) AS more FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    m AS (SELECT q, doc_id, source, text, n.name, s, s + length(tok) + CASE WHEN n.second IS NULL THEN 0 ELSE more END AS e
+        FROM p JOIN (VALUES ('the', 'the', NULL), ('que', 'que', NULL), ('und', 'und', NULL), ('OF the', 'of', 'the'), ('de la', 'de', 'la')) AS n(name, word, second) ON a = word AND (second IS NULL OR b = second)),
+    c AS (SELECT *, EXISTS (SELECT 1 FROM (VALUES ('of'), ('de'), ('der t')) AS k(w) WHERE contains(lower(substr(text, greatest(s - 140, 0) + 1, e + 140 - greatest(s - 140, 0))), w)) AS hit FROM m),
+    g AS (SELECT q AS query_id, name, count(*) AS mentions, count(*) FILTER (WHERE hit) AS context_hits, count(DISTINCT source) AS n_evidence FROM c GROUP BY ALL)
+    SELECT query_id, name, mentions, context_hits, round(0.6::DOUBLE * least(1.0, context_hits) + 0.4::DOUBLE * least(1.0, mentions), 3) AS score, n_evidence::INT AS n_evidence FROM g WHERE context_hits >= 1""")
 def agg09_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names from the corpus against documents of their query; context windows need pandas."""
+    """Names of one and two words against all documents of their query; SQL cuts texts into words and signs, and looks at windows one by one."""
     d = table(spark, sf_dir, "documents").select((c("doc_id") % 20).alias("query_id"), c("doc_id").alias("doc_index"), c("text").alias("content"), F.lit("").alias("url"), F.lit("").alias("title"), "source", F.lit("").alias("source_date"))
-    words = F.array(F.lit("of"), F.lit("de"), F.lit("der"))
-    n = spark.range(20).select(c("id").alias("query_id"), F.explode(F.array(F.lit("the"), F.lit("que"), F.lit("und"))).alias("name"), F.lit("customer").alias("role"), words.alias("keywords"))
+    words = F.array(F.lit("of"), F.lit(" De"), F.lit("der  t"), F.lit(" "))
+    n = spark.range(20).select(c("id").alias("query_id"), F.explode(F.array(*map(F.lit, ("the", "que", "und", "OF the", "de la")))).alias("name"), F.lit("customer").alias("role"), words.alias("keywords"))
     return mentions.scored_candidates(d, n).select("query_id", "name", "mentions", "context_hits", "score", F.size("evidence").alias("n_evidence"))
 
 

@@ -35,9 +35,9 @@ def test_distinct_entities(spark):
 
 def test_context_hits(spark):
     text = "Acme Corp issued a loan. " + "x" * 300 + " ACME, corp" + " y" * 200
-    df = spark.createDataFrame([(text, "Acme Corp")], "t string, n string")
-    hits = mentions.context_hits(F.col("t"), F.col("n"), F.array(F.lit("Loan ")))
-    assert tuple(df.select(mentions.mention_count(F.col("t"), F.col("n")), hits).first()) == (2, 1)
+    df = spark.createDataFrame([(1, text, "Acme Corp", "r")], "id int, content string, name string, role string").withColumn("keywords", F.array(F.lit("Loan ")))
+    hits = mentions.context_hits(df, ["id", "name", "role"]).first()["hits"]
+    assert (df.select(mentions.mention_count(F.col("content"), F.col("name"))).first()[0], hits) == (2, 1)
 
 
 def test_candidate_names(spark):
