@@ -68,15 +68,47 @@ def same_entity(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & ((x == y) | F.contains(x, y) | F.contains(y, x))
 
 
+#: Characters of the pieces by which words within words are found.
+PIECE = 4
+
+
+def anchored(values: DataFrame, docs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Pairs ``value_id``, ``doc_index`` within ``by`` that may hold a needle (``_needle``) in a text (``_hay``), both with single spaces: those whose text has the
+    needle's anchor.
+
+    A word of the needle with others on both sides stands in the text as a word, so the rarest of these is the anchor. Needles of one or two words may
+    begin and end inside words: their longest word is looked for in the different words of the texts, by its first :data:`PIECE` characters at every
+    place in them. Texts are words once, all joins are equi-joins, and a word that is in no text ends the search.
+    """
+    by = list(by)
+    words = docs.select(*by, "doc_index", F.explode(F.array_distinct(F.split("_hay", " "))).alias("_word"))
+    spread = words.groupBy(*by, "_word").agg(F.count("*").alias("_n"))
+    parts = values.select(*by, "value_id", F.split("_needle", " ").alias("_w"))
+    inner = parts.filter(F.size("_w") > 2).select(*by, "value_id", F.explode(F.array_distinct(F.slice("_w", F.lit(2), F.size("_w") - 2))).alias("_word"))
+    inner = inner.join(spread, [*by, "_word"], "left").groupBy(*by, "value_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_word"))).alias("_least"))
+    whole = inner.filter("_least.n > 0").select(*by, "value_id", F.col("_least._word").alias("_word"))
+    longest = F.array_max(F.transform("_w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    short = parts.filter(F.size("_w") <= 2).withColumn("_part", longest).withColumn("_piece", F.left("_part", F.lit(PIECE)))
+    asked = short.select(*by, F.length("_piece").alias("_long")).distinct()
+    at = F.sequence(F.lit(1), F.greatest(F.length("_word") - F.col("_long") + 1, F.lit(1)))
+    pieces = spread.select(*by, "_word").join(asked, by).withColumn("_piece", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("_word"), i, F.col("_long"))))))
+    within = short.join(pieces, [*by, "_piece"]).filter(F.contains("_word", F.col("_part"))).select(*by, "value_id", "_word")
+    return whole.unionByName(within).join(words, [*by, "_word"]).select(*by, "value_id", "doc_index").distinct()
+
+
 def cited(values: DataFrame, docs: DataFrame, by: Sequence[str] = ("query_id",), most: int = 5, head: int = 200) -> DataFrame:
     """JON10: for each value (``value_id``, ``value``) the first documents that hold its head, within its query.
 
-    Both sides lose URLs, case and extra white space. A query's documents are its join key's rows, a few dozen.
+    Both sides lose URLs, case and extra white space. Only pairs that :func:`anchored` gives are compared. ``value_id`` and ``doc_index`` are
+    unique within a query.
     """
     needle = F.left(for_search(F.col("value")), F.lit(head))
     hay = for_search(F.concat_ws(" ", *(without_urls(F.col(c)) for c in ("content", "title", "snippet"))))
-    rows = values.withColumn("_needle", needle).filter("_needle != ''").join(docs.withColumn("_hay", hay), list(by))
-    rows = rows.filter(F.contains("_hay", F.col("_needle"))).drop("_needle", "_hay")
+    # A head may end in a space, which texts can lack no more than any other character; words don't count it.
+    wanted = values.withColumn("_needle", needle).filter("_needle != ''")
+    held = docs.withColumn("_hay", hay)
+    pairs = anchored(wanted.withColumn("_needle", F.trim("_needle")), held, by)
+    rows = pairs.join(wanted, [*by, "value_id"]).join(held, [*by, "doc_index"]).filter(F.contains("_hay", F.col("_needle"))).drop("_needle", "_hay")
     return ranked(rows, [*by, "value_id"], ["doc_index"], most, "cite_rank")
 
 

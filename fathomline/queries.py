@@ -392,11 +392,16 @@ def jon07_same_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", joins.same_entity(c("c_name"), other).alias("same"))
 
 
-@query(f"""SELECT query_id, value_id, doc_index, row_number() OVER (PARTITION BY query_id, value_id ORDER BY doc_index)::INT AS cite_rank FROM (SELECT b.item_id % 4 AS query_id, b.item_id AS value_id, d.doc_id AS doc_index
-    FROM benchmark b JOIN documents d ON d.doc_id % 4 = b.item_id % 4 WHERE contains(lower(trim({WS.format('d.text')})), left(lower(trim({WS.format('b.text')})), 200))) QUALIFY cite_rank <= 5""")
+@query(f"""WITH v AS (SELECT item_id * 3 + k AS value_id, left(CASE k WHEN 0 THEN t WHEN 1 THEN split_part(t, ' ', 2) || ' ' || left(split_part(t, ' ', 3), 3) ELSE right(split_part(t, ' ', 4), 5) END, 200) AS n
+    FROM (SELECT item_id, lower(trim({WS.format('text')})) AS t FROM benchmark), (VALUES (0), (1), (2)) AS k(k)), d AS (SELECT doc_id, lower(trim({WS.format('text')})) AS h FROM documents)
+    SELECT 0 AS query_id, value_id, doc_id AS doc_index, row_number() OVER (PARTITION BY value_id ORDER BY doc_id)::INT AS cite_rank FROM v JOIN d ON contains(h, n) WHERE n <> '' QUALIFY cite_rank <= 5""")
 def jon10_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = table(spark, sf_dir, "benchmark").select((c("item_id") % 4).alias("query_id"), c("item_id").alias("value_id"), c("text").alias("value"))
-    docs = table(spark, sf_dir, "documents").select((c("doc_id") % 4).alias("query_id"), c("doc_id").alias("doc_index"), c("text").alias("content"), F.lit("").alias("title"), F.lit("").alias("snippet"))
+    """Heads of passages, pairs of words cut inside the second, and ends of words, each looked for in all documents."""
+    t = tx.for_search(c("text"))
+    word = lambda i: F.split_part(t, F.lit(" "), F.lit(i))
+    values = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.array(t, F.concat(word(2), F.lit(" "), F.left(word(3), F.lit(3))), F.right(word(4), F.lit(5)))).alias("k", "value"))
+    values = values.select(F.lit(0).alias("query_id"), (c("item_id") * 3 + c("k")).alias("value_id"), "value")
+    docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("query_id"), c("doc_id").alias("doc_index"), c("text").alias("content"), F.lit("").alias("title"), F.lit("").alias("snippet"))
     return joins.cited(values, docs).select("query_id", "value_id", "doc_index", "cite_rank")
 
 
