@@ -19,7 +19,7 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Fixed lists: kinds of elements, and words of class, id and role that tell what an element holds.
-RAW = frozenset("script style noscript template iframe object svg canvas audio video title textarea select math".split())
+RAW = frozenset("script style template iframe object svg canvas audio video title textarea select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
@@ -37,6 +37,7 @@ TALK_WORDS = frozenset(
     "sponsored promo promotion promoted notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe "
     "subscription share sharing social related recommended recommendations trending outbrain taboola paywall dialog".split()
 )
+PAPER_WORDS = frozenset("work works research literature studies".split())
 #: Costs, in one unit: what a mark of the innermost telling element weighs, how much of the outer ones remains, and the
 #: capacities of the edges between blocks next to one another, with one parent, and with one grandparent.
 CONTENT, FRAME, TALK, OUTER = 4.0, -8.0, -12.0, 0.25
@@ -58,7 +59,7 @@ def _marked(tag: str, attributes: str, outer: float) -> float:
     """The mark of an element inside one with mark ``outer``; 0 is no evidence."""
     words: set[str] = set()
     if attributes and ("=" in attributes or "hidden" in attributes):
-        if HIDDEN.search(attributes):
+        if outer <= 0 and HIDDEN.search(attributes):  # in an article, text that unfolds is the article's
             return FRAME + OUTER * min(outer, 0)
         if tag not in ("html", "body"):
             for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -66,7 +67,7 @@ def _marked(tag: str, attributes: str, outer: float) -> float:
                     words.update(w.lower() for w in PIECE.findall(a or b or c))
     if tag == "main":
         return CONTENT
-    if words & TALK_WORDS:
+    if words & TALK_WORDS and not (words & TALK_WORDS == {"related"} and words & PAPER_WORDS):
         return TALK
     content, frame = bool(words & CONTENT_WORDS), bool(words & FRAME_WORDS) and tag not in ("article",)
     if tag in FRAME_TAGS or frame and not content:
@@ -170,12 +171,89 @@ def score(block: _Block, marked: bool) -> float:
     return s
 
 
+def _eliminated(gain: list[float], near: list[dict[int, float]], side: list[bool | None]) -> list[tuple[int, float, dict[int, float]]]:
+    """Takes out undecided nodes with at most two neighbours, in turn; what is left is smaller and has the same minimum. Returns them with gain and edges.
+
+    The best that such a node can do is a function of its neighbours' sides, and that function is a change of their gains and an edge between them.
+    """
+    gone: list[tuple[int, float, dict[int, float]]] = []
+    work = deque(i for i, s in enumerate(side) if s is None and len(near[i]) <= 2)
+    out = [s is not None for s in side]
+    while work:
+        i = work.popleft()
+        if out[i] or len(near[i]) > 2:
+            continue
+        out[i], g, own = True, gain[i], near[i]
+        gone.append((i, g, own))
+        near[i] = {}
+        for j in own:
+            del near[j][i]
+        if len(own) == 1:
+            ((a, w),) = own.items()
+            gain[a] += min(0.0, w - g) - min(w, -g)
+        elif own:
+            (a, v), (b, w) = own.items()
+            none, both, first, second = min(0.0, v + w - g), min(v + w, -g), min(v, w - g), min(w, v - g)  # cost by the sides of a and b
+            edge = max((first + second - none - both) / 2, 0.0)
+            gain[a] -= first - none - edge
+            gain[b] -= second - none - edge
+            if edge > 1e-12:
+                near[a][b] = near[a].get(b, 0.0) + edge
+                near[b][a] = near[b].get(a, 0.0) + edge
+        work.extend(j for j in own if len(near[j]) <= 2)
+    return gone
+
+
+def _flowed(gain: list[float], near: list[dict[int, float]], nodes: list[int], side: list[bool | None]) -> None:
+    """Sets the sides of ``nodes`` by a maximum flow: blocking flows over level graphs, until no path is left."""
+    source, sink = -1, -2
+    room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in nodes}
+    room[source], room[sink] = {i: gain[i] for i in nodes if gain[i] > 0}, {}
+    for i in nodes:
+        room[i][sink], room[i][source] = max(-gain[i], 0.0), 0.0
+        room[sink][i] = 0.0
+    while True:
+        level, queue = {source: 0}, deque([source])
+        while queue:
+            i = queue.popleft()
+            for j, r in room[i].items():
+                if r > 1e-9 and j not in level:
+                    level[j] = level[i] + 1
+                    queue.append(j)
+        if sink not in level:
+            break
+        ways = {i: iter(list(room[i])) for i in level}
+        path = [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                least = min(room[a][b] for a, b in zip(path, path[1:]))
+                cut = len(path)
+                for k in range(len(path) - 1, 0, -1):
+                    a, b = path[k - 1], path[k]
+                    room[a][b] -= least
+                    room[b][a] += least
+                    if room[a][b] <= 1e-9:
+                        cut = k
+                del path[cut:]  # back to where the first full edge starts
+                continue
+            for j in ways[i]:
+                if level.get(j) == level[i] + 1 and room[i][j] > 1e-9:
+                    path.append(j)
+                    break
+            else:
+                path.pop()
+    for i in nodes:
+        side[i] = i in level
+
+
 def minimum_cut(gain: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
     """Which nodes are on the source's side of a minimum cut; ties go to the sink's.
 
     A node with ``gain`` above 0 has that capacity from the source, else to the sink; edges go both ways. Nodes whose own
     gain exceeds all their edges lie on their side in every minimum cut: they are set first, and what they pull with is added
-    to their neighbours' gains. For the rest, shortest augmenting paths give the maximum flow.
+    to their neighbours' gains. Of the rest, nodes with two neighbours or fewer are taken out, again and again (:func:`_eliminated`): pages are mostly
+    chains and nested lists, which vanish so in time that follows their length. A maximum flow decides what is left, and those taken out follow it.
     """
     near: list[dict[int, float]] = [{} for _ in gain]
     for (i, j), w in edges.items():
@@ -191,36 +269,13 @@ def minimum_cut(gain: list[float], edges: dict[tuple[int, int], float]) -> list[
                 gain[j] += w if side[i] else -w
                 work.append(j)
             near[i] = {}
-    left = [i for i, s in enumerate(side) if s is None]
-    if not left:
-        return side
-    source, sink = -1, -2
-    flow: dict[int, dict[int, float]] = {i: dict(near[i]) for i in left}
-    flow[source] = {i: gain[i] for i in left if gain[i] > 0}
-    flow[sink] = {}
-    for i in left:
-        flow[i][sink] = max(-gain[i], 0.0)
-        flow[i].setdefault(source, 0.0)
-    while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
-            i = queue.popleft()
-            for j, room in flow[i].items():
-                if room > 1e-9 and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if sink not in came:
-            break
-        path, j = [], sink
-        while j != source:
-            path.append((came[j], j))
-            j = came[j]
-        least = min(flow[i][j] for i, j in path)
-        for i, j in path:
-            flow[i][j] -= least
-            flow[j][i] = flow[j].get(i, 0.0) + least
-    for i in left:
-        side[i] = i in came
+    gone = _eliminated(gain, near, side)
+    taken = {i for i, _, _ in gone}
+    left = [i for i, s in enumerate(side) if s is None and i not in taken]
+    if left:
+        _flowed(gain, near, left, side)
+    for i, g, own in reversed(gone):
+        side[i] = g + sum(w if side[j] else -w for j, w in own.items()) > 1e-9
     return side
 
 

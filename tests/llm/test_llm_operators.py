@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -572,6 +573,44 @@ def test_minimum_cut_is_minimal():
         assert cost(html_extract.minimum_cut(gain, edges)) == pytest.approx(min(map(cost, itertools.product([False, True], repeat=n))))
 
 
+def test_minimum_cut_is_the_least_side_of_all_minima():
+    """Also with ties, and on graphs of which nothing is taken out beforehand."""
+    rng = np.random.default_rng(7)
+    for k in range(150):
+        n = int(rng.integers(2, 9))
+        gain = [float(x) for x in rng.integers(-2, 3, n)] if k % 2 else [float(x) for x in rng.normal(0, 1, n).round(2)]
+        edges = {(i, j): float(rng.integers(0, 3)) if k % 2 else round(abs(float(rng.normal(0, 0.7))), 2) for i, j in itertools.combinations(range(n), 2) if rng.random() < 0.9}
+        cost = lambda side, gain=gain, edges=edges: sum(max(g, 0) if not s else max(-g, 0) for s, g in zip(side, gain, strict=True)) + sum(w for (i, j), w in edges.items() if side[i] != side[j])  # noqa: E731, E501
+        sides = list(itertools.product([False, True], repeat=n))
+        best = min(map(cost, sides))
+        minima = [s for s in sides if cost(s) < best + 1e-9]
+        assert html_extract.minimum_cut(gain, edges) == [all(s[i] for s in minima) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", ["<li>{0}</li>", "{0}<p>{0} .</p><div><span>{0}</span></div>", "<div>{0}<ul><li>{0}<li>{0}.</ul></div>"])
+def test_time_follows_the_page(block):
+    """Long pages of blocks that are neither clearly content nor clearly not: eight times the page takes at most 8^1.2 times as long."""
+    rng, took = np.random.default_rng(1), []
+    for n in (3_000, 24_000):
+        texts = ["word " * int(rng.choice([2, 4, 8, 14, 30])) for _ in range(n)]
+        page = "<body><div>" + "".join(block.format(f"<a href=x>{t}</a>" if rng.random() < 0.4 else t) for t in texts) + "</div></body>"
+        best = []
+        for _ in range(3):
+            start, stats = time.process_time(), {}
+            html_extract.main_text(page, stats)
+            best.append(time.process_time() - start)
+        took.append(min(best))
+        assert stats["blocks"] >= n and stats["changed"] > n / 50
+    assert took[1] < 8**1.2 * max(took[0], 0.02) and took[1] < 10
+
+
+def test_article_parts_that_stay():
+    text = "A long sentence of running text that belongs to the article itself, and is no furniture at all."
+    for part in (f'<section class="related-work"><p>{text}</p></section>', f"<div hidden><p>{text}</p></div>", f"<noscript><p>{text}</p></noscript>", f"<p>{text} <math><mi>x</mi></math></p>"):
+        got = html_extract.main_text(f"<body><nav><a href=a>Home</a></nav><article><h1>Title</h1><p>{text}</p>{part}</article></body>")
+        assert got.count(text) == 2 and ("math" not in part or got.endswith("x")) and "Home" not in got
+
+
 # --------------------------------------------------------------------------------------------------------------------------- langid
 def test_language(docs, odd, none, spark):
     got = docs.join(langid.identify(docs), "doc_id").collect()
