@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from fathomline.schema import EVIDENCE, PARTY
 from fathomline.sources import listing, stores, web
 from fathomline.sources.deltas import KeyedTable
 from fathomline.sources.folders import scratch
-from fathomline.streaming import ingest, seeding
+from fathomline.streaming import ingest, seeding, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -673,6 +674,36 @@ def str_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.windowed_counts(e, "ts", "1 hour", "10 minutes", "event_type").select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("at"), "event_type", "n")
 
 
+def replayed(spark: SparkSession, rows: DataFrame, order: str, plan: Callable[[DataFrame], DataFrame], runs: int = 3) -> DataFrame:
+    """What a stream's ``plan`` gives over all ``rows``, which come in ``runs`` slices by ``order``, each with a run of its own over one checkpoint."""
+    at, last = scratch(spark, "replay"), rows.agg(F.max(order)).first()[0] or 0
+    slices = F.least(F.floor(c(order) * runs / (last + 1)), F.lit(runs - 1))
+    for i in range(runs):
+        rows.filter(slices == i).write.mode("append").parquet(f"{at}/in")
+        state.run_once(plan(spark.readStream.schema(rows.schema).parquet(f"{at}/in")), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out")
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id || '/' || event_type AS url, ts, event_id FROM events), f AS (SELECT url, min(ts) AS ts FROM e GROUP BY url
+    UNION ALL SELECT f.url, min(e.ts) FROM f JOIN e ON e.url = f.url AND e.ts > f.ts + INTERVAL 5 DAY GROUP BY f.url)
+    SELECT url, min(event_id) AS event_id FROM f JOIN e USING (url, ts) GROUP BY url, ts""")
+def str02_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' kinds of events as URLs, in three runs: let through once, and again when five days have passed. SQL steps from one to the next."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws("/", c("user_id").cast("string"), "event_type").alias("url"), c("ts").cast("timestamp").alias("ts"), "event_id")
+    return replayed(spark, e, "event_id", lambda s: state.first_seen(s, "url", "ts", timedelta(days=5), ["event_id"])).select("url", "event_id")
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('click', 'signup') THEN event_id END AS put, event_type = 'signup' AS blank FROM events),
+    l AS (SELECT *, last_value(put IGNORE NULLS) OVER w AS p FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT l.event_id AS request, coalesce(l.ts - a.ts <= INTERVAL 1 DAY AND NOT a.blank, false) AS hit, CASE WHEN l.ts - a.ts <= INTERVAL 1 DAY AND NOT a.blank THEN 'd' || a.event_id END AS doc FROM l LEFT JOIN e AS a ON a.event_id = l.p WHERE l.put IS NULL""")
+def agg21_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks put a document under their user, sign-ups an empty answer, all other events ask, in three runs; entries live for a day."""
+    docs = F.when(c("event_type") == "click", F.array(F.concat(F.lit("d"), c("event_id").cast("string")))).when(c("event_type") == "signup", F.array().cast("array<string>"))
+    e = table(spark, sf_dir, "events").select("user_id", c("ts").cast("timestamp").alias("ts"), c("event_id").alias("request"), docs.alias("docs"))
+    found = replayed(spark, e, "request", lambda s: state.cache_answers(s, "user_id", "ts", timedelta(days=1)))
+    return found.select("request", "hit", F.get("docs", 0).alias("doc"))
+
+
 @query("SELECT page_id, trim(" + WS.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)") + ") IS NOT NULL AS has_h1, len(regexp_extract_all(html, '<a ')) AS links FROM pages")
 def src16_parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", web.parsed_page(c("html")).alias("p"))
