@@ -24,7 +24,7 @@ from fathomline.schema import EVIDENCE, PARTY
 from fathomline.sources import listing, stores, web
 from fathomline.sources.deltas import KeyedTable
 from fathomline.sources.folders import scratch
-from fathomline.streaming import ingest, seeding, state
+from fathomline.streaming import backfill, ingest, seeding, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -668,6 +668,34 @@ def str03_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.advanced(old, ran, "b").drop("updated_at")
 
 
+@query("""WITH n AS (SELECT c_custkey + 10000 AS code, c_custkey * 7 % 130 AS n FROM customer), k AS (SELECT *, n // 40 + 1 AS ends FROM n)
+    SELECT code::VARCHAR AS company_code, CASE WHEN ends <= 3 THEN 0 ELSE 120 END::BIGINT AS next_offset, ends <= 3 AS done, least(n, 120)::BIGINT AS announcements,
+    (least(n, 120) + greatest(3 - ends, 0) * least(n, 20))::BIGINT AS handled, ('b' || 3) AS updated_at FROM k""")
+def str03_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC20, STR03: three runs over the listings of all customers, found by name; a fourth stops before its end and leaves no trace. SQL has the arithmetic."""
+    cust = table(spark, sf_dir, "customer")
+    codes = cust.select(F.concat("c_name", F.lit(" Bhd")).alias("name"), (c("c_custkey") + 10000).cast("string").alias("code"), c("c_custkey").alias("pos"))
+    asked = cust.select(F.concat("c_name", F.lit(" Berhad")).alias("query")).unionByName(cust.limit(1).select(F.lit("nobody").alias("query")))
+    held, seen = backfill.Backfill(spark, scratch(spark, "cursors")), scratch(spark, "announcements")
+
+    def fetch(code: str, page: int) -> list[dict]:
+        n = (int(code) - 10000) * 7 % 130
+        return [{"ann_id": f"{code}-{i}", "title": "t", "date": "d"} for i in range((page - 1) * 20, min(page * 20, n))]
+
+    def stops(rows: DataFrame) -> None:
+        raise InterruptedError
+
+    for run in range(3):
+        held.run(asked, codes, fetch, lambda rows: rows.write.mode("append").parquet(seen), f"b{run + 1}")
+    try:
+        held.run(asked, codes, fetch, stops, "b4")
+    except InterruptedError:
+        pass
+    counts = spark.read.parquet(seen).groupBy("company_code").agg(F.countDistinct("ann_id").alias("announcements"), F.count("*").alias("handled"))
+    zero = {k: F.coalesce(k, F.lit(0).cast("long")) for k in ("announcements", "handled")}
+    return held.cursors.read().join(counts, "company_code", "left").withColumns(zero).select("company_code", "next_offset", "done", "announcements", "handled", "updated_at")
+
+
 @query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS at, event_type, count(*) AS n FROM events GROUP BY ALL")
 def str_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", c("ts").cast("timestamp"))
