@@ -197,6 +197,27 @@ def src07_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.store_count([table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")])
 
 
+@query("""WITH p AS (SELECT page_id % 4 AS query_id, page_id % 3 AS feed_pos, page_id, url, (row_number() OVER (PARTITION BY page_id % 4, page_id % 3 ORDER BY page_id) - 1)::INT AS entry FROM pages),
+    e AS (SELECT *, CASE WHEN page_id % 5 < 2 THEN 'Annual <report> & page ' ELSE 'Other page ' END || page_id AS t FROM p WHERE feed_pos < 2 AND entry < 30),
+    m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY feed_pos, entry)::INT AS pos FROM e WHERE page_id % 5 < 2 OR page_id % 7 = 0 QUALIFY pos <= 10)
+    SELECT query_id, feed_pos, entry, pos, replace(t, '<report> ', '') AS title, url, CASE WHEN page_id % 7 = 0 THEN 'An annual summary' ELSE '' END AS content, CASE WHEN feed_pos = 0 THEN DATE '2024-02-05' ELSE DATE '2024-03-01' + (page_id % 20)::INT END AS source_date FROM m""")
+def src09_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as entries of RSS and Atom feeds and of feeds cut off in the middle, parsed by Spark."""
+    esc = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    title = esc(F.concat(F.when(c("page_id") % 5 < 2, "Annual <report> & page ").otherwise("Other page "), c("page_id").cast("string")))
+    about = F.when(c("page_id") % 7 == 0, "&lt;p&gt;An <![CDATA[annual]]> summary&lt;/p&gt;").otherwise("")
+    rss = F.concat(F.lit("<item><title>"), title, F.lit("</title><link> "), esc(c("url")), F.lit("</link><description>"), about, F.lit("</description><pubDate>Mon, 05 Feb 2024 10:00:00 GMT</pubDate></item>"))
+    day = F.date_format(F.date_add(F.lit("2024-03-01").cast("date"), (c("page_id") % 20).cast("int")), "yyyy-MM-dd")
+    atom = F.concat(F.lit('<entry><title type="html">'), title, F.lit('</title><link rel="edit" href="e"/><link href="'), esc(c("url")), F.lit('"/><summary>'), about, F.lit("</summary><updated>"), day, F.lit("T00:00:00Z</updated></entry>"))
+    rows = table(spark, sf_dir, "pages").select((c("page_id") % 4).alias("query_id"), (c("page_id") % 3).alias("feed_pos"), F.struct("page_id", F.when(c("page_id") % 3 == 1, atom).otherwise(rss).alias("x")).alias("e"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["x"]), "\n")
+    feeds = rows.groupBy("query_id", "feed_pos").agg(body.alias("b")).select(
+        "query_id", "feed_pos", F.lit("annual report").alias("query"),
+        F.when(c("feed_pos") == 0, F.concat(F.lit('<?xml version="1.0"?><rss><channel><title>n</title>'), c("b"), F.lit("</channel></rss>"))).when(c("feed_pos") == 1, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), c("b"), F.lit("</feed>"))).otherwise(F.concat(F.lit("<rss><channel>"), c("b"))).alias("xml"),
+    )
+    return web.feed_entries(feeds).select("query_id", "feed_pos", "entry", "pos", "title", "url", "content", "source_date")
+
+
 @query("""WITH h AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u, page_id % 4 AS i FROM pages WHERE page_id % 5 <> 0),
     o AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY i, page_id) AS k FROM h QUALIFY k = 1), p AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY page_id) AS r FROM o QUALIFY r <= 15)
     SELECT page_id, row_number() OVER (ORDER BY i, page_id)::INT AS pos FROM p QUALIFY pos <= 50""")

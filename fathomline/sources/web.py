@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 from itertools import islice
 from urllib.parse import urljoin
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -393,24 +392,31 @@ def announcement_ids(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text(c), F.lit(r"\bann_id=(\d+)\b"), F.lit(1)))
 
 
+#: RSS and Atom by Spark's XML parser; entries keep what differs between the two.
+TEXT = "struct<_VALUE:string,_type:string>"
+ITEM = "array<struct<title:string,link:string,description:string,pubDate:string>>"
+FEED = f"channel struct<item:{ITEM}>, item {ITEM}, entry array<struct<title:{TEXT},link:array<struct<_href:string,_rel:string>>,summary:{TEXT},content:{TEXT},published:string,updated:string>>, _corrupt_record string"
+
+
+def parsed_feed(xml: Column) -> Column:
+    """Entries of an RSS or Atom document: structs ``title``, ``link``, ``summary``, ``published``; none of a document that isn't XML.
+
+    Elements with a prefix are extensions and don't count. An Atom link is the first that isn't for another purpose than the entry itself.
+    """
+    x = F.from_xml(F.nullif(F.trim(xml), F.lit("")), FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "valueTag": "_VALUE", "inferSchema": "false"})
+    of = lambda title, link, summary, at: F.struct(title.alias("title"), link.alias("link"), summary.alias("summary"), at.alias("published"))
+    rss = lambda items: F.transform(items, lambda e: of(e["title"], e["link"], e["description"], e["pubDate"]))
+    own = lambda links: F.get(F.filter(links, lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate"), 0)["_href"]
+    atom = F.transform(x["entry"], lambda e: of(e["title"]["_VALUE"], own(e["link"]), F.coalesce(e["summary"]["_VALUE"], e["content"]["_VALUE"]), F.coalesce(e["published"], e["updated"])))
+    none = F.filter(rss(x["item"]), lambda e: F.lit(False))
+    found = F.concat(*(F.coalesce(e, F.array().cast("array<struct<title:string,link:string,summary:string,published:string>>")) for e in (rss(x["channel"]["item"]), rss(x["item"]), atom)))
+    return F.when(x["_corrupt_record"].isNull(), found).otherwise(F.coalesce(none, F.array().cast("array<struct<title:string,link:string,summary:string,published:string>>")))
+
+
 def feed_entries(feeds: DataFrame, query: str = "query", p: Params = DEFAULT, by: Sequence[str] = ("query_id",)) -> DataFrame:
-    """SRC09: entries of feeds (``feed_pos``, ``xml``): of each the first thirty, those that match the query, the first ten of all."""
-
-    @F.pandas_udf("array<struct<title:string,link:string,summary:string,published:string>>")
-    def entries(documents: pd.Series) -> pd.Series:
-        out = []
-        for xml in documents:
-            try:
-                root = ElementTree.fromstring(xml or "")
-            except ElementTree.ParseError:
-                out.append([])
-                continue
-            get = lambda e, *names: next((x.text or "" for n in names for x in e.iter() if x.tag.rpartition("}")[2] == n), "")
-            items = [e for e in root.iter() if e.tag.rpartition("}")[2] in ("item", "entry")]
-            out.append([{"title": get(e, "title"), "link": get(e, "link"), "summary": get(e, "description", "summary"), "published": get(e, "pubDate", "published", "updated")} for e in items])
-        return pd.Series(out)
-
-    rows = feeds.select(*by, query, "feed_pos", F.posexplode(F.slice(entries(F.col("xml")), 1, p.feed_entries)).alias("entry", "_e"))
+    """SRC09: entries of feeds (``feed_pos``, ``xml``): of each the first thirty, those that match the query, the first ten of all. Damaged feeds give none."""
+    rows = feeds.withColumn("_entries", parsed_feed(F.col("xml")))
+    rows = rows.select(*by, query, "feed_pos", F.posexplode(F.slice("_entries", 1, p.feed_entries)).alias("entry", "_e"))
     rows = rows.select(*by, query, "feed_pos", "entry", clean_html(F.col("_e.title")).alias("title"), F.trim("_e.link").alias("url"), clean_html(F.col("_e.summary")).alias("content"),
                        F.coalesce(dates.parsed(F.left("_e.published", F.lit(10))), dates.parsed(dates.first_token(F.col("_e.published")))).alias("source_date"))
     rows = rows.filter(any_query_word(F.concat_ws(" ", "title", "content"), query_words(F.col(query)), 1, F.col(query)))

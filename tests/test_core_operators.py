@@ -182,3 +182,37 @@ def test_registry_and_routing(spark):
     assert [x["pos"] for x in got] == [0, 4, 1, 5, 6]
     none = ingest.routed(docs, F.col("source") == "gov", lambda d: d.filter("false")).orderBy("order").collect()
     assert [x["pos"] for x in none] == [0, 4, 1, 5, 2, 3, 6, 7]
+
+
+def test_ranked_evidence_by_blocks(spark, monkeypatch):
+    """All pairs in NumPy's place by plain sums: queries of one to many blocks, copies, zeros, NULLs and vectors of other lengths."""
+    import random
+
+    rng = random.Random(3)
+    vec = lambda: rng.choice([None, [], [0.0, 0.0, 0.0], [1.0, 2.0], [1.0, 0.0, 0.0], [round(rng.gauss(0, 1), 2) for _ in range(3)]])
+    claims = [(q, f"c{i}", vec(), i) for q in (0, 1) for i in range(20)] + [(7, "alone", [1.0, 1.0, 1.0], 0)]
+    evidence = [(q, i, vec()) for q in (0, 1, 2) for i in range(25)]
+    monkeypatch.setattr(joins, "BLOCK", 4)
+    got = joins.ranked_evidence(spark.createDataFrame(claims, "query_id int, claim_id string, claim_vec array<float>, n int"), spark.createDataFrame(evidence, "query_id int, doc_index int, evidence_vec array<double>"))
+    assert set(got.columns) == {"query_id", "claim_id", "doc_index", "similarity", "evidence_rank", "n"}
+
+    def cosine(a, b):
+        a, b = a or [], b or []
+        norm = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return sum(x * y for x, y in zip(a, b, strict=True)) / norm if len(a) == len(b) and norm else 0.0
+
+    want = {(q, c): sorted((-round(cosine(v, w), 6), i) for h, i, w in evidence if h == q)[:3] for q, c, v, _ in claims if q < 3}
+    have = {}
+    for r in got.orderBy("evidence_rank").collect():
+        have.setdefault((r["query_id"], r["claim_id"]), []).append((-round(r["similarity"], 6) + 0.0, r["doc_index"]))
+    assert have == want
+
+
+def test_feeds_of_all_kinds(spark):
+    rss = "<rss xmlns:dc='x'><channel><title>C</title><item><title>A &amp; <![CDATA[b <i>c</i>]]></title><link>u1</link><dc:title>no</dc:title></item><item/></channel></rss>"
+    atom = "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title type='html'>T</title><link rel='self' href='s'/><link href='h'/><content>c</content><updated>2024-01-02</updated></entry></feed>"
+    rdf = "<r:RDF xmlns:r='r'><channel/><item><title>R</title><link>l</link></item></r:RDF>"
+    rows = [rss, atom, rdf, "broken", "<rss><channel><item><title>a</title></item></channel>", "", None, "<rss/>"]
+    got = [[tuple(e) for e in r["e"]] for r in spark.createDataFrame(list(enumerate(rows)), "id int, x string").select("id", web.parsed_feed(F.col("x")).alias("e")).orderBy("id").collect()]
+    assert got[0][0] == ("A & b <i>c</i>", "u1", None, None) and got[1] == [("T", "h", "c", "2024-01-02")] and got[2] == [("R", "l", None, None)]
+    assert got[3:] == [[]] * 5
