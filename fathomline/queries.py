@@ -6,10 +6,13 @@ for phrases and claims, orders and customers for profiles and names, events for
 
 from __future__ import annotations
 
+import gzip
+import re
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ from fathomline.plans import profile, search
 from fathomline.schema import EVIDENCE, PARTY
 from fathomline.sources import listing, stores, web
 from fathomline.sources.deltas import KeyedTable
-from fathomline.sources.folders import scratch
+from fathomline.sources.folders import Folder, scratch
 from fathomline.streaming import backfill, ingest, seeding, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -958,6 +961,90 @@ def src20_disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.disclosure_documents(rows).select("query_id", "pos", "title", "company", "source_date", "is_attachment", "content")
 
 
+@query(r"""WITH p AS (SELECT *, regexp_replace(html, '<[^>]*>', '', 'g') AS t, CASE WHEN page_id % 3 = 0 THEN '20240230' ELSE strftime(DATE '2024-01-01' + (page_id % 300)::INT, '%Y%m%d') END AS ts FROM pages WHERE page_id % 5 <> 0)
+    SELECT url, left(trim(regexp_replace(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1), '\s+', ' ', 'g')), 200) AS title, left(t, 500) AS content, try_cast(left(ts, 4) || '-' || ts[5:6] || '-' || ts[7:8] AS DATE) AS source_date
+    FROM p WHERE length(t) >= 100 ORDER BY url LIMIT 60""")
+def src11_archive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC11, SRC12: pages as archive records, a fifth of them damaged in one of three ways; the first sixty by URL."""
+
+    @F.pandas_udf("binary")
+    def record(ids: pd.Series, html: pd.Series) -> pd.Series:
+        whole = [gzip.compress(b"WARC/1.0\r\nA: b\r\n\r\nHTTP/1.1 200\r\nC: d\r\n\r\n" + h.encode()) for h in html]
+        return pd.Series([w if i % 5 else (None, b"no gzip", w[:-9])[i % 3] for i, w in zip(ids, whole, strict=True)], dtype=object)
+
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (c("page_id") % 300).cast("int")), "yyyyMMdd")
+    rows = table(spark, sf_dir, "pages").select("url", F.concat(F.when(c("page_id") % 3 == 0, "20240230").otherwise(day), F.lit("101112")).alias("timestamp"), record("page_id", "html").alias("body"))
+    return web.archive_documents(rows, lambda h: re.sub("<[^>]*>", "", h), most=500, wanted=60)
+
+
+@query("""WITH b AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, k FROM pages, (VALUES (0), (1), (2)) AS k(k) WHERE page_id % 3 IN (k, (k + 1) % 3)),
+    d AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN '' ELSE url END AS url, k FROM b), f AS (SELECT *, min(k) OVER (PARTITION BY url) AS first FROM d)
+    SELECT page_id, url, count(*) AS copies, max(CASE WHEN k = 0 THEN 'a' ELSE 'b' END) AS last FROM f WHERE url = '' OR k = first GROUP BY ALL""")
+def str01_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR01, STR02, SNK05: three batches of pages that overlap go through one store and the URLs it has seen."""
+    at = scratch(spark, "ingest")
+    held, seen = stores.DocumentStore(spark, f"{at}/documents"), stores.SeenUrls(spark, f"{at}/seen")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(c("page_id") % 11 == 0, " ").otherwise(F.regexp_replace("url", r"[?#].*$", "")).alias("url"), c("html").alias("content"), c("page_id").alias("order"))
+    for k in (0, 1, 2):
+        ingest.ingest(pages.filter((c("page_id") % 3).isin(k, (k + 1) % 3)), held, seen, lambda texts: [[float(len(t))] for t in texts], {"batch": "a" if k == 0 else "b"})
+    return held.union().groupBy("page_id", F.trim("url").alias("url")).agg(F.count("*").alias("copies"), F.max("batch").alias("last"))
+
+
+@query("""SELECT CASE WHEN source IN ('src1', 'src2') THEN 1 WHEN source IN ('src3', 'src4', 'src5') THEN 2 ELSE 0 END::INT AS store_id, count(*) AS documents, sum(length(text)) ::BIGINT AS size FROM documents
+    WHERE text <> '' AND source <> 'src6' GROUP BY ALL""")
+def src06_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC06, SNK05: a store of its own, two beside it that hold the marker, and one that doesn't and isn't read; documents without text stay out."""
+    at, d = scratch(spark, "stores"), table(spark, sf_dir, "documents").select("doc_id", c("text").alias("content"), "source")
+    of = {"own": ~c("source").isin(*(f"src{i}" for i in range(1, 7))), "x1": c("source").isin("src1", "src2"), "x2": c("source").isin("src3", "src4", "src5"), "y": c("source") == "src6"}
+    for name, rows in of.items():
+        stores.DocumentStore(spark, f"{at}/{name}").append(d.filter(rows))
+        if name != "y":
+            Folder(spark, f"{at}/{name}").write("", "_store")
+    found = stores.DocumentStore(spark, f"{at}/own", at).union()
+    return found.groupBy("store_id").agg(F.count("*").alias("documents"), F.sum(F.length("content")).alias("size"))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 10 AS seed, text, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 WHEN 'src2' THEN 1 ELSE 2 END AS kind FROM documents WHERE length(trim(text)) >= 50),
+    b AS (SELECT *, kind = 2 AND seed <> 3 AND doc_id % 4 = 1 AS best FROM d), k AS (SELECT *, bool_or(best) OVER (PARTITION BY seed) AS found FROM b),
+    o AS (SELECT *, CASE WHEN best THEN -doc_id ELSE doc_id END AS o FROM k WHERE kind < 2 OR best OR NOT found)
+    SELECT seed, doc_id, row_number() OVER (PARTITION BY seed ORDER BY kind, o)::INT AS "order" FROM o QUALIFY "order" <= 40""")
+def snk06_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Official documents, then unranked ones, then those that a reranker keeps, last first; a seed whose others all go keeps them as they came."""
+    kinds = F.when(c("source") == "src1", "RAM Ratings").when(c("source") == "src2", "MARC Ratings").otherwise(c("source"))
+    d = table(spark, sf_dir, "documents").select((c("doc_id") % 10).alias("seed"), "doc_id", c("doc_id").alias("pos"), kinds.alias("source"), c("text").alias("content"))
+    keeps = lambda rows: rows.filter("seed <> 3 AND doc_id % 4 = 1").withColumn("order", -c("pos"))
+    return ingest.routed(d, c("source") == "src0", keeps).select("seed", "doc_id", "order")
+
+
+@query("""WITH p AS (SELECT c_name AS seed, c_custkey, c_custkey % 9 AS late FROM customer WHERE c_custkey % 20 = 0), q AS (SELECT p.*, k, CASE k WHEN 4 THEN seed ELSE seed || ' s' || k END AS expanded FROM p, range(10) AS r(k)),
+    t AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY (k = 4) DESC, k) AS turn FROM q QUALIFY turn <= 8) SELECT seed, expanded, row_number() OVER (ORDER BY late DESC, c_custkey, turn)::BIGINT AS "order" FROM t QUALIFY "order" <= 50""")
+def str04_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty items: of entities promoted last first, eight queries each, the base query ahead of its expansions."""
+    cust = table(spark, sf_dir, "customer")
+    first = cust.filter("c_custkey % 20 = 0").select(c("c_name").alias("name"), (c("c_custkey") % 9).cast("string").alias("promoted_at"), c("c_custkey").alias("pos"))
+    asked = cust.select(c("c_name").alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("suffix_pos"))
+    asked = asked.withColumns({"is_base": c("suffix_pos") == 4, "expanded": F.when(c("suffix_pos") == 4, c("seed")).otherwise(F.concat(c("seed"), F.lit(" s"), c("suffix_pos").cast("string")))})
+    return ingest.planned_items(first, asked, cust.select(c("c_name").alias("seed")), 50, 7).select("seed", "expanded", c("order").cast("long").alias("order"))
+
+
+@query("""WITH i AS (SELECT o_custkey % 7 AS query_id, o_orderkey % 3 AS tab, o_orderkey % 4 AS page, o_orderkey, 'Item ' || o_orderkey || ' & more' AS title, '/n/' || (o_orderkey % 40) AS url, o_orderdate::DATE AS d, o_orderstatus AS s FROM orders WHERE NOT (o_custkey % 7 = 2 AND o_orderkey % 3 = 1 AND o_orderkey % 4 = 2)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id, tab, page ORDER BY o_orderkey) - 1 AS item FROM i WHERE NOT (query_id = 2 AND tab = 1 AND page >= 2)),
+    u AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY tab, page, item) AS k FROM n QUALIFY k = 1)
+    SELECT query_id, title, url, d AS date, CASE WHEN s = 'F' THEN 'text F' ELSE '' END AS snippet, row_number() OVER (PARTITION BY query_id ORDER BY tab, page, item)::INT AS pos FROM u QUALIFY pos <= 10""")
+def src15_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC15, SRC16: orders as items on tabs of pages; a tab ends at its first empty page, and each URL is taken once."""
+    item = F.concat(
+        F.lit('<li class="x"><a class="y" href="/n/'), (c("o_orderkey") % 40).cast("string"), F.lit('"><b>Item '), c("o_orderkey").cast("string"), F.lit(" &amp; more</b></a><em> "), F.date_format("o_orderdate", "dd/MM/yyyy"),
+        F.lit("</em><span>first</span><span>"), F.when(c("o_orderstatus") == "F", "text <i>F</i></span><span> - </span></li>").otherwise("</span></li>"),
+    )
+    item = F.when(c("o_orderstatus") == "F", item).otherwise(F.replace(item, F.lit("first"), F.lit("")))
+    keys = ["query_id", "tab", "page"]
+    rows = table(spark, sf_dir, "orders").select((c("o_custkey") % 7).alias("query_id"), (c("o_orderkey") % 3).alias("tab"), (c("o_orderkey") % 4).alias("page"), F.struct("o_orderkey", item.alias("x")).alias("e"))
+    rows = rows.groupBy(*keys).agg(F.concat(F.lit("<ul>"), F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["x"]), "\n"), F.lit("</ul>")).alias("html"))
+    rows = rows.withColumn("html", F.when((c("query_id") == 2) & (c("tab") == 1) & (c("page") == 2), "<ul><li>none</li></ul>").otherwise(c("html")))
+    return web.listed_pages(rows).select("query_id", "title", "url", "date", "snippet", "pos")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
