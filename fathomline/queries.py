@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import gzip
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 from datetime import timedelta
 
@@ -21,7 +21,7 @@ from fathomline.functions import dates, scores
 from fathomline.functions import json as js
 from fathomline.functions import text as tx
 from fathomline.operators import dedupe, filters, joins, mentions, rank, retrieval, verify
-from fathomline.params import SKIP_DOMAINS, Params
+from fathomline.params import ENGLISH_STOPWORDS, MALAY_STOPWORDS, NAME_STOPWORDS, NOTE_DROP_TOKENS, PDF_URL_KEYWORDS, SKIP_DOMAINS, Params
 from fathomline.plans import profile, search
 from fathomline.schema import EVIDENCE, PARTY
 from fathomline.sources import listing, stores, web
@@ -69,17 +69,11 @@ WS = r"regexp_replace({}, '\s+', ' ', 'g')"
 scalar("txt01_collapse", "documents", "doc_id", t=(lambda: tx.collapse(c("text")), f"trim({WS.format('text')})"))
 scalar("txt02_clean_block", "documents", "doc_id",
        t=(lambda: tx.clean_block(c("text")), r"trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), chr(32) || chr(10) || chr(9))"))
-scalar("txt03_phrase", "benchmark", "item_id", hit=(lambda: tx.contains_phrase(c("text"), F.substring("text", 5, 30)), f"contains(lower(trim({WS.format('text')})), lower(trim({WS.format('substring(text, 5, 30)')})))"))
 KEY_SQL = r"trim(regexp_replace(lower({}), '[^a-z0-9\s]+', ' ', 'g'))"
 for w in tx.KEY_SUFFIXES:
     KEY_SQL = f"replace({KEY_SQL if w != 'berhad' else WS.format(KEY_SQL)}, '{w}', ' ')"
 KEY_SQL = f"trim({WS.format(KEY_SQL)})"
 scalar("txt04_lookup_key", "supplier", "s_suppkey", k=(lambda: tx.lookup_key(F.concat(c("s_name"), F.lit(" Sdn. Bhd. Behadin"))), KEY_SQL.format("s_name || ' Sdn. Bhd. Behadin'")))
-scalar("txt05_entity_name", "customer", "c_custkey", n=(lambda: tx.entity_name(F.concat(F.lit(' "'), c("c_name"), F.lit('  Co" '))), "trim('' || c_name || ' Co')"))
-scalar("txt06_query_words", "customer", "c_custkey", w=(lambda: F.array_join(tx.query_words(F.concat(F.lit("the report of "), c("c_name"), F.lit(" and the report dan hutang"))), "|"),
-       "'report|' || lower(split_part(c_name, '#', 1)) || '|' || split_part(c_name, '#', 2) || '|hutang'"))
-scalar("txt07_query_tokens", "customer", "c_custkey", w=(lambda: F.array_join(tx.query_tokens(F.concat(c("c_name"), F.lit(" Sdn Bhd Ab Customer"))), "|"),
-       "lower(split_part(c_name, '#', 1)) || '|' || split_part(c_name, '#', 2)"))
 HTML_SQL = r"regexp_replace(html, '<[^>]+>', '', 'g')"
 for entity, char in tx.ENTITIES:
     HTML_SQL = "replace({}, '{}', '{}')".format(HTML_SQL, entity, char.replace("'", "''"))
@@ -92,7 +86,6 @@ scalar("txt11_claims", "documents", "doc_id", claims=(lambda: F.array_join(tx.cl
 scalar("txt12_evidence_text", "documents", "doc_id", t=(lambda: tx.evidence_text(c("text")), f"trim({WS.format('left(trim(text, chr(32) || chr(10)), 1500)')})"))
 scalar("txt13_full_sentence", "documents", "doc_id", t=(lambda: tx.to_full_sentence(c("text")),
        r"CASE WHEN regexp_matches(text, '[.?!]') THEN regexp_extract(trim(text, chr(32) || chr(10)), '^(.*[.?!])', 1, 's') ELSE trim(text, chr(32) || chr(10)) END"))
-scalar("txt14_strip_preface", "benchmark", "item_id", t=(lambda: tx.strip_preface(F.concat(F.lit("Here is the SNAPSHOT : "), c("text"))), "trim(text, chr(32) || chr(10))"))
 HOST = r"regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 scalar("txt15_website", "pages", "page_id", n=(lambda: F.lower(tx.website_name(c("url"))),
        f"(CASE WHEN string_split(regexp_replace({HOST}, '^www\\.', ''), '.')[-2] IN ('com', 'gov', 'org', 'net', 'co') THEN string_split(regexp_replace({HOST}, '^www\\.', ''), '.')[1] "
@@ -105,8 +98,6 @@ scalar("txt19_title", "pages", "page_id", t=(lambda: tx.html_title(c("html")), f
 scalar("txt20_absolute_url", "pages", "page_id", u=(lambda: tx.absolute_url(F.lit("https://a.b/"), F.regexp_extract("url", r"^[a-z]+:/(/[^?#]*)", 1)), r"'https://a.b' || regexp_extract(url, '^[a-z]+:/(/[^?#]*)', 1)"))
 scalar("txt21_query_id", "pages", "page_id", i=(lambda: tx.query_id(c("url"), "page", "ref"), r"CASE WHEN regexp_extract(url, '[?&]page=([^&#]*)', 1) SIMILAR TO '[0-9]+' THEN regexp_extract(url, '[?&]page=([^&#]*)', 1) ELSE '' END"))
 scalar("txt22_built_url", "orders", "o_orderkey", u=(lambda: tx.built_url("https://a.b/", "/script/", page=c("o_orderkey").cast("string"), q=c("o_orderstatus")), "'https://a.b/script/?page=' || o_orderkey || '&q=' || o_orderstatus"))
-scalar("txt29_parentheses", "supplier", "s_suppkey", n=(lambda: tx.without_parentheses(F.concat(c("s_name"), F.lit(" (Malaysia) Berhad (MY)"))), "s_name || ' Berhad'"))
-scalar("txt30_possessive", "supplier", "s_suppkey", n=(lambda: tx.without_possessive(F.concat(F.lit('"'), c("s_name"), F.lit("'s\""))), "s_name"))
 scalar("txt31_for_search", "documents", "doc_id", t=(lambda: tx.for_search(tx.without_urls(c("text"))), f"lower(trim({WS.format('text')}))"), e=(lambda: tx.escaped_html(c("text")),
        "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')"))
 scalar("txt32_document", "documents", "doc_id", content=(lambda: tx.document_fields(F.when(c("doc_id") % 2 == 0, c("text")), c("text"))[0], "text"), snippet=(lambda: tx.document_fields(c("text"), c("text"))[1], "left(text, 300)"))
@@ -126,18 +117,12 @@ scalar("mth03_distance_score", "customer", "c_custkey", x=(lambda: scores.distan
 scalar("mth04_decay", "customer", "c_custkey", x=(lambda: F.round(scores.decay(c("c_custkey") - 20, 30), 6), "round(exp(-greatest(c_custkey - 20, 0) / 30.0::DOUBLE), 6)"))
 scalar("mth05_support", "lineitem", "l_orderkey, l_linenumber".split(", ")[0], x=(lambda: F.round(scores.support(c("l_discount") * 8, c("l_tax") * 4), 6), "round(greatest(least(l_discount * 8 + l_tax * 4 * 0.5::DOUBLE, 1.0), 0.0), 6)::DOUBLE"))
 scalar("mth06_band", "lineitem", "l_orderkey", b=(lambda: scores.band(c("l_discount") * 10), "CASE WHEN l_discount * 10 >= 0.7 THEN 'high' WHEN l_discount * 10 >= 0.4 THEN 'medium' ELSE 'low' END"))
-scalar("flt05_pdf", "pages", "page_id", p=(lambda: filters.is_pdf(F.lit(""), F.concat(c("url"), F.when(c("page_id") % 3 == 0, ".PDF").otherwise(""))), "page_id % 3 = 0 AND NOT contains(url, '?') AND NOT contains(url, '#') OR contains(url, 'ea_ds_attachments')"))
 scalar("flt06_skip_sites", "pages", "page_id", s=(lambda: filters.skipped_site(c("url")), " OR ".join(f"contains(lower(url), '{d}')" for d in SKIP_DOMAINS)))
 scalar("flt07_any_word", "documents", "doc_id", m=(lambda: filters.any_query_word(c("text"), F.array(F.lit("the"), F.lit("der"), F.lit("que")), 2), "(contains(lower(text), 'the')::INT + contains(lower(text), 'der')::INT + contains(lower(text), 'que')::INT >= 2) AND trim(text) <> ''"))
-scalar("flt08_token_match", "customer", "c_custkey", m=(lambda: filters.query_token_match(F.concat(F.lit("00000"), (c("c_custkey") % 10).cast("string"), F.lit(" zzz")), c("c_name"), F.lit("")),
-       "regexp_matches(lower(c_name), '\\b00000' || (c_custkey % 10))"))
 scalar("flt09_rating_note", "orders", "o_orderkey", r=(lambda: filters.rating_note(F.concat(F.lit("MARC-"), (c("o_orderkey") % 20).cast("string"), F.lit(" aaa "), F.when(c("o_orderkey") % 3 == 0, "rating").otherwise(""))),
        "o_orderkey % 20 < 10 OR o_orderkey % 3 = 0"))
 scalar("flt10_challenge", "pages", "page_id", x=(lambda: filters.challenge_page(F.concat(c("html"), F.when(c("page_id") % 7 == 0, "CF_CHL_OPT").otherwise(""))), "page_id % 7 = 0"), y=(lambda: filters.disclosure_page(c("html")), "contains(lower(html), 'id=\"main\"') OR contains(lower(html), 'company_name') OR contains(lower(html), 'ven_announcement_info')"))
-scalar("flt11_valid_entity", "nation", "n_nationkey", v=(lambda: filters.valid_entity(F.when(c("n_nationkey") % 3 == 0, "The of").otherwise(c("n_name"))), "n_nationkey % 3 <> 0"))
-scalar("flt14_meaningful", "orders", "o_orderkey", v=(lambda: filters_meaningful(), "o_orderkey % 4 <> 0 AND o_orderkey % 4 <> 1"))
 scalar("flt16_meta", "orders", "o_orderkey", m=(lambda: F.to_json(filters.output_meta(F.create_map(F.lit("a"), c("o_orderstatus"), F.lit("split_id"), F.lit("1"), F.lit("b"), F.lit(None)))), "'{\"a\":\"' || o_orderstatus || '\"}'"))
-scalar("jsn04_fences", "benchmark", "item_id", t=(lambda: tx.without_fences(F.concat(F.lit("```json\n"), c("text"), F.lit("\n```"))), "trim(text, chr(32) || chr(10))"))
 scalar("jsn05_listed_queries", "customer", "c_custkey", q=(lambda: F.array_join(tx.listed_queries(F.when(c("c_custkey") % 2 == 0, F.concat(F.lit('x {"queries": ["'), c("c_name"), F.lit('", " b "]}'))).otherwise(F.concat(F.lit("- "), c("c_name"), F.lit("\n{\n* b")))), "|"), "c_name || '|b'"))
 scalar("jsn06_typed", "events", "event_id", k=(lambda: js.typed(c("props"), "struct<k:bigint>", "{}")["k"], "json_extract(props, '$.k')::BIGINT"))
 scalar("snk12_clamp", "documents", "doc_id", t=(lambda: verify.stored_documents(F.array(F.struct(c("text").alias("content"))))[0]["content"], "left(text, 2000)"))
@@ -149,8 +134,50 @@ scalar("sets_03_04_05", "documents", "doc_id", e=(lambda: F.size(F.array_except(
        d=(lambda: F.size(F.array_distinct(F.split("text", " "))).cast("long"), "len(list_distinct(string_split(text, ' ')))::BIGINT"))
 
 
-def filters_meaningful() -> Column:
-    return tx.meaningful(F.when(c("o_orderkey") % 4 == 0, " N/A ").when(c("o_orderkey") % 4 == 1, "ab").otherwise(c("o_orderpriority")))
+def ruled(name: str, of: str, key: str, given: str, rule: Callable[[Column], Column], sql: str) -> None:
+    """A query of one rule over varied input: ``given`` is an expression that Spark and DuckDB read alike, ``sql`` states the rule for ``{x}``."""
+    scalar(name, of, key, v=(lambda: rule(F.expr(given)), sql.replace("{x}", f"({given})")))
+
+
+def either(words: Sequence[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+BLANKS = "chr(32) || chr(10) || chr(9) || chr(13)"
+STRIP = f"trim({{}}, {BLANKS})"
+PIECE = "substring(text, CAST(doc_id % 40 AS INT) + 1, 24)"
+ruled("txt03_phrase", "documents", "doc_id", f"CASE doc_id % 4 WHEN 0 THEN replace(replace({PIECE}, ' ', '  ' || chr(10)), 'e', 'E') WHEN 1 THEN reverse({PIECE}) WHEN 2 THEN '' ELSE {PIECE} END",
+      lambda x: tx.contains_phrase(c("text"), x), f"contains(lower(trim({WS.format('text')})), lower(trim({WS.format('{x}')})))")
+ruled("txt05_entity_name", "documents", "doc_id", f"CASE doc_id % 6 WHEN 0 THEN '\"' || {PIECE} || '\"' WHEN 1 THEN ' \"\"' || {PIECE} || '\" ' WHEN 2 THEN replace({PIECE}, ' ', ' \"  ') WHEN 3 THEN '\" ' || {PIECE} WHEN 4 THEN '  ' ELSE {PIECE} END",
+      tx.entity_name, f"trim({WS.format(f"regexp_replace(trim({WS.format('{x}')}), '^\"|\"$', '', 'g')")})")
+ruled("txt06_query_words", "documents", "doc_id", "text", lambda x: F.array_join(F.array_sort(tx.query_words(x)), "|"),
+      f"array_to_string(list_sort(list_distinct([w FOR w IN regexp_extract_all(lower({{x}}), '[\\pL\\pM\\pN_]+') IF length(w) >= 3 AND w NOT IN ({either([*ENGLISH_STOPWORDS, *MALAY_STOPWORDS])})])), '|')")
+ruled("txt07_query_tokens", "documents", "doc_id", "text || ' Sdn BHD note-7a'", lambda x: F.array_join(F.array_sort(tx.query_tokens(x)), "|"),
+      f"array_to_string(list_sort(list_distinct([w FOR w IN regexp_extract_all(lower({{x}}), '[a-z0-9]+') IF length(w) >= 3 AND w NOT IN ({either(NOTE_DROP_TOKENS)})])), '|')")
+OPENED = "{x}"
+for opening in tx.PREFACES:
+    OPENED = f"regexp_replace({OPENED if opening != tx.PREFACES[0] else STRIP.format('{x}')}, '(?i)^\\s*{opening}', '')"
+ruled("txt14_strip_preface", "documents", "doc_id", "CASE doc_id % 8 WHEN 0 THEN 'Here is the SNAPSHOT : ' || text WHEN 1 THEN chr(10) || 'Requested output:' || text WHEN 2 THEN 'here is  here is ' || text WHEN 3 THEN 'The requested narrative snapshot:The requested output : ' || text WHEN 4 THEN 'so here is ' || text WHEN 5 THEN 'here is the narrative snapshot:' WHEN 6 THEN 'Here is the snapshot without a colon ' || text ELSE text END",
+      tx.strip_preface, STRIP.format(OPENED))
+ruled("txt29_parentheses", "documents", "doc_id", "replace(replace(replace(text, ',', ' ('), '.', ') '), 'the', 'th(e)')", tx.without_parentheses, r"regexp_replace({x}, '\s*\(.*?\)', '', 'g')")
+ruled("txt30_possessive", "documents", "doc_id", f"CASE doc_id % 5 WHEN 0 THEN '\"' || replace({PIECE}, ' ', chr(39) || 's ') || '\"' WHEN 1 THEN '“' || {PIECE} || '’s ”' WHEN 2 THEN '‘‘' || {PIECE} || chr(39) WHEN 3 THEN ' ' || {PIECE} || chr(39) || 'sx' ELSE {PIECE} END",
+      tx.without_possessive, STRIP.format(f"regexp_replace(regexp_replace({STRIP.format('{x}')}, '[''’]s\\b', '', 'g'), '^[\"''“”‘’]+|[\"''“”‘’]+$', '', 'g')"))
+ruled("flt05_pdf", "pages", "page_id", "CASE page_id % 6 WHEN 0 THEN url || '.PDF' WHEN 1 THEN url || '/a.pdf?x=1' WHEN 2 THEN 'http://h/a.pdf#p=2' WHEN 3 THEN 'http://h/x?f=a.pdf' WHEN 4 THEN url || '/EA_DS_attachments/1' ELSE url END",
+      lambda x: filters.is_pdf(F.when(c("page_id") % 7 == 0, "Application/PDF; q=1").otherwise("text/html"), x),
+      f"page_id % 7 = 0 OR ends_with(regexp_replace(lower({{x}}), '[?#].*$', ''), '.pdf') OR {' OR '.join(f"contains(lower({{x}}), '{k}')" for k in PDF_URL_KEYWORDS)}")
+ruled("flt08_token_match", "documents", "doc_id", "CASE doc_id % 5 WHEN 0 THEN ' ' || replace(left(split_part(text, ' ', 4), 3), 'e', 'E') || ' zzz ' WHEN 1 THEN substring(text, 3, 9) WHEN 2 THEN 'a b' WHEN 3 THEN ' ' ELSE right(split_part(text, ' ', 6), 4) || ' qq1' END",
+      lambda x: filters.query_token_match(x, F.lit("Title"), c("text")),
+      f"trim(lower({{x}}), {BLANKS}) = '' OR contains('title ' || lower(text), trim(lower({{x}}), {BLANKS})) OR len([w FOR w IN regexp_extract_all(lower({{x}}), '[a-z0-9]+') IF length(w) >= 3 AND w NOT IN ({either(NOTE_DROP_TOKENS)})]) = 0"
+      f" OR len([w FOR w IN regexp_extract_all(lower({{x}}), '[a-z0-9]+') IF length(w) >= 3 AND w NOT IN ({either(NOTE_DROP_TOKENS)}) AND regexp_matches('title ' || lower(text), '(^|[^\\pL\\pM\\pN_])' || w)]) >= 1")
+ruled("flt11_valid_entity", "documents", "doc_id", "CASE doc_id % 6 WHEN 0 THEN split_part(text, ' ', 1) WHEN 1 THEN ' - ' WHEN 2 THEN 'The  of' WHEN 3 THEN 'x' WHEN 4 THEN lower(split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3)) ELSE 'AND ' || split_part(text, ' ', 5) END",
+      filters.valid_entity,
+      f"length({STRIP.format('{x}')}) >= 2 AND len([w FOR w IN string_split_regex(lower({STRIP.format('{x}')}), '\\s+') IF w NOT IN ({either(NAME_STOPWORDS)})]) > 0")
+ruled("flt14_meaningful", "orders", "o_orderkey", "CASE o_orderkey % 12 WHEN 0 THEN ' N/A ' WHEN 1 THEN 'NONE' WHEN 2 THEN 'ab' WHEN 3 THEN ' Unknown' WHEN 4 THEN 'No' WHEN 5 THEN '-' WHEN 6 THEN '' WHEN 7 THEN 'Not  identified' WHEN 8 THEN 'not identified ' WHEN 9 THEN NULL WHEN 10 THEN ' x ' ELSE o_orderpriority END",
+      tx.meaningful, "lower(trim(coalesce({x}, ''))) NOT IN ('', '-', 'n/a', 'na', 'none', 'null', 'not identified', 'unknown', 'no') AND length(trim(coalesce({x}, ''))) >= 3")
+FENCE = "chr(96) || chr(96) || chr(96)"
+ruled("jsn04_fences", "documents", "doc_id", f"CASE doc_id % 5 WHEN 0 THEN {FENCE} || 'json' || chr(10) || text || chr(10) || {FENCE} WHEN 1 THEN '  ' || {FENCE} || 'JSON ' || text || {FENCE} || 'tail ' || {FENCE} || ' more' WHEN 2 THEN {FENCE} || text WHEN 3 THEN text || {FENCE} ELSE '  ' || text END",
+      tx.without_fences,
+      f"CASE WHEN starts_with(ltrim({{x}}, {BLANKS}), {FENCE}) THEN {STRIP.format(f"regexp_replace(regexp_replace(ltrim({{x}}, {BLANKS}), '(?i)^' || {FENCE} || '(?:json)?[\\r\\n]*', ''), '(?s)^(.*)' || {FENCE} || '.*$', '\\1')")} ELSE {{x}} END")
 
 
 # -------------------------------------------------------------------------------------------------------------------- table queries
