@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from fathomline.functions.scores import distance_score, squared_distance
+from fathomline.functions.scores import distance_score
 from fathomline.functions.text import strip, text
 from fathomline.params import DEFAULT, Params
 
@@ -33,21 +36,40 @@ def numbered(df: DataFrame, order: Sequence, name: str = "pos") -> DataFrame:
     return rows.join(F.broadcast(parts), "_part").withColumn(name, at.cast("long")).drop("_part", "_at", "_before")
 
 
-def vector_top_k(store: DataFrame, queries: Sequence[Sequence[float]], k: int, id_col: str = "doc_id", vector: str = "embedding",
-                 distance: Callable = squared_distance) -> DataFrame:
-    """SRC04: the ``k`` nearest rows (1 at least) for each query vector, ties by id: ``query_id``, ``distance``, ``rank`` and all columns.
+def distances_to(queries: Sequence[Sequence[float]]) -> Callable[[Column], Column]:
+    """Squared distances of a vector to each query, NULL for vectors that are NULL, hold NULL or have another length: one matrix step a batch."""
+    of = [np.asarray(q, float) for q in queries]
 
-    Query vectors are the caller's few, so they are literals: one scan scores them all, and each task keeps its best. An empty
-    vector finds nothing.
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def distances(vectors: pd.Series) -> pd.Series:
+        out = np.full((len(vectors), len(of)), np.nan)
+        sizes = vectors.map(lambda v: -1 if v is None else len(v)).to_numpy()
+        for n in {len(q) for q in of}:
+            rows = np.flatnonzero(sizes == n)
+            if len(rows):
+                x = np.array(vectors.iloc[rows].tolist(), float).reshape(len(rows), n)
+                for i, q in enumerate(of):
+                    if len(q) == n:
+                        out[rows, i] = ((x - q) ** 2).sum(1)
+        return pd.Series([[None if np.isnan(d) else d for d in r] for r in out])
+
+    return distances
+
+
+def vector_top_k(store: DataFrame, queries: Sequence[Sequence[float]], k: int, id_col: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """SRC04: the ``k`` nearest rows (1 at least) by squared distance for each query vector, ties by id: ``query_id``, ``distance``, ``rank`` and all columns.
+
+    Query vectors are the caller's few: one scan scores them all by Arrow batches of vectors and ids, and each task keeps its best. Other columns
+    come back by a join of the ids found, so they are read for the hits alone. An empty vector finds nothing. Ids are unique.
     """
     asked = [(i, q) for i, q in enumerate(queries) if len(q)]
     if not asked:
         return store.limit(0).select(F.lit(0).alias("query_id"), F.lit(0.0).alias("distance"), "*", F.lit(0).alias("rank"))
-    each = F.array(*(
-        F.struct(F.lit(i).alias("query_id"), distance(F.col(vector), F.array(*(F.lit(float(x)) for x in q))).alias("distance")) for i, q in asked
-    ))
-    scored = store.select(F.explode(each).alias("_q"), "*").select("_q.*", *store.columns)
-    return ranked(scored, ["query_id"], ["distance", id_col], max(1, k))
+    scored = store.select(id_col, F.posexplode(distances_to([q for _, q in asked])(F.col(vector))).alias("_at", "distance"))
+    number = F.element_at(F.array(*(F.lit(i) for i, _ in asked)), F.col("_at") + 1)
+    best = ranked(scored.select(number.alias("query_id"), "distance", id_col), ["query_id"], [F.asc_nulls_last("distance"), id_col], max(1, k))
+    # The hits' number is the caller's: k for each of the queries.
+    return store.join(F.broadcast(best), id_col).select("query_id", "distance", *store.columns, "rank")
 
 
 def multi_store_top_k(stores: Sequence[DataFrame], query: Sequence[float], k: int, id_col: str = "doc_id") -> DataFrame:
