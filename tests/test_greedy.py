@@ -84,7 +84,7 @@ def test_entities(spark, seed):
     want = set()
     for q in (0, 1):
         for t in ("ORG", "PERSON"):
-            own = sorted((r for r in rows if r[0] == q and r[2] == t and r[1]), key=lambda r: (-r[3], r[4]))
+            own = sorted((r for r in rows if r[0] == q and r[2] == t and (r[1] or "").strip(" ")), key=lambda r: (-r[3], r[4]))
             want |= {r[4] for r in folded(own, lambda x, k: SequenceMatcher(None, x[1].lower(), k[1].lower()).ratio() > 0.75)}
     assert got == want
     assert dedupe.distinct_entities(spark.createDataFrame([], "query_id int, name string, type string, score double, pos int")).count() == 0
