@@ -107,10 +107,14 @@ class Model:
 
 
 def fit(found: np.ndarray, labels: np.ndarray, seed: int = 5) -> Model:
-    """The space of latent semantics of the labelled documents' counts: singular vectors of their term weights, by subspace iteration."""
-    a = 1 << GRAM_BITS
-    rarity = np.log((1 + len(found)) / (1 + (found[:, :a] > 0).sum(0))).astype(np.float32)
-    x = np.concatenate([weighed(found[i : i + 256], rarity) for i in range(0, len(found), 256)])
+    """The space of latent semantics of the labelled documents' counts: singular vectors of their term weights, by subspace iteration.
+
+    ``found`` becomes the weights in place: it is the one large array that the driver holds.
+    """
+    a, x = 1 << GRAM_BITS, found
+    rarity = np.log((1 + len(found)) / (1 + np.count_nonzero(found[:, :a], axis=0))).astype(np.float32)
+    for i in range(0, len(found), 256):
+        x[i : i + 256] = weighed(found[i : i + 256], rarity)
     basis = np.random.default_rng(seed).normal(size=(TERMS, min(RANK + 8, len(x)))).astype(np.float32)
     for _ in range(5):
         basis, _ = np.linalg.qr(x.T @ np.linalg.qr(x @ basis)[0])
@@ -136,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for b in tidy(batches):
             found = [counts(t) for t in b.column("t").to_pylist()]
             at = [np.flatnonzero(f) for f in found]
-            parts = [pa.array([i.astype(np.int32).tobytes() for i in at], pa.binary()), pa.array([f[i].tobytes() for f, i in zip(found, at, strict=True)], pa.binary())]
+            parts = [pa.array([i.astype(np.int32).tobytes() for i in at], pa.binary()), pa.array([f[i].astype(np.float32).tobytes() for f, i in zip(found, at, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("turn"), *parts], ["y", "turn", "terms", "n"])
 
     # LABELLED bounds the rows of the side that is broadcast.
@@ -146,8 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return None
     found = np.zeros((len(sample), TERMS), np.float32)
     for f, r in zip(found, sample, strict=True):
-        f[np.frombuffer(r["terms"], np.int32)] = np.frombuffer(r["n"], np.float64)
-    return fit(found, np.array([r["y"] for r in sample]))
+        f[np.frombuffer(r["terms"], np.int32)] = np.frombuffer(r["n"], np.float32)
+    truth = np.array([r["y"] for r in sample])
+    del sample
+    return fit(found, truth)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
