@@ -589,19 +589,19 @@ def test_minimum_cut_is_the_least_side_of_all_minima():
 
 @pytest.mark.parametrize("block", ["<li>{0}</li>", "{0}<p>{0} .</p><div><span>{0}</span></div>", "<div>{0}<ul><li>{0}<li>{0}.</ul></div>"])
 def test_time_follows_the_page(block):
-    """Long pages of blocks that are neither clearly content nor clearly not: eight times the page takes at most 8^1.2 times as long."""
+    """Long pages of blocks that are neither clearly content nor clearly not: sixteen times the page takes at most 16^1.2 times as long."""
     rng, took = np.random.default_rng(1), []
-    for n in (3_000, 24_000):
+    for n in (1_500, 24_000):
         texts = ["word " * int(rng.choice([2, 4, 8, 14, 30])) for _ in range(n)]
         page = "<body><div>" + "".join(block.format(f"<a href=x>{t}</a>" if rng.random() < 0.4 else t) for t in texts) + "</div></body>"
         best = []
-        for _ in range(3):
+        for _ in range(5):
             start, stats = time.process_time(), {}
             html_extract.main_text(page, stats)
             best.append(time.process_time() - start)
         took.append(min(best))
         assert stats["blocks"] >= n and stats["changed"] > n / 50
-    assert took[1] < 8**1.2 * max(took[0], 0.02) and took[1] < 10
+    assert took[1] < 16**1.2 * max(took[0], 0.02) and took[1] < 10
 
 
 def test_article_parts_that_stay():
