@@ -196,10 +196,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     A row comes once per draw, the last one with its text cut if the target ends inside it; rows that no draw takes are
     left out. Rows go to a partition by output shard and are shuffled there by a seeded order. Columns of ``docs`` named
-    like those two, or starting with an underscore like the working ones, are left out. See :class:`Draw` for the rest.
+    like those two are left out. See :class:`Draw` for the rest.
     """
     d = Draw(docs, **options)
-    columns = [c for c in docs.columns if c not in ("mix_shard", "mix_pass") and not c.startswith("_")]
+    columns = [c for c in docs.columns if c not in ("mix_shard", "mix_pass")]
     own = docs.select(*(F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(columns)), *(F.col(c).alias(f"_use_{c}") for c in dict.fromkeys([d.key, d.text, d.source])))
     rows = d.applied(_tagged(own, d.seed, f"_use_{d.key}", f"_use_{d.text}", f"_use_{d.source}"))
     rows = rows.select(*(f"_own_{i}" for i in range(len(columns))), "s", "block", "_h", "_spins", "_rest")
