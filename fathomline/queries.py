@@ -883,16 +883,25 @@ def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.best_chunks(docs, as_of(), models.overlap_score).select("query_id", "doc_id", "chunk", "order", F.length("content").alias("n_chars"))
 
 
-@query()
+@query("""WITH p AS (SELECT o_orderkey AS query_id, o_custkey % 50 AS k, o_orderkey % 9 AS r FROM orders), n AS (
+    SELECT query_id, 0 AS i, 'customer' AS role, 'Party ' || k AS name FROM p UNION ALL SELECT query_id, 1, 'corporate_guarantor', 'Party 3 Bhd' FROM p WHERE NOT contains('party ' || k, 'party 3')
+    UNION ALL SELECT query_id, 2, 'high_risk', 'Risk ' || r FROM p) SELECT query_id, role, name, (row_number() OVER (PARTITION BY query_id ORDER BY i) - 1)::INT AS pos FROM n""")
 def agg10_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names to look for of each profile; the sequential rule against repeats across roles has no SQL."""
+    """Names to look for of each profile: a guarantor whose key stands in the customer's goes, in turn."""
     p = stores.typed_profiles(profiles(spark, sf_dir)).withColumns({"query_id": c("profile_id"), "query": c("company"), "corporate_guarantor": F.from_json(F.lit('{"name":"Party 3 Bhd"}'), PARTY)})
     return mentions.candidate_names(p).select("query_id", "role", "name", "pos")
 
 
-@query()
+TOLD = """CASE event_id % 4 WHEN 0 THEN 'say {"a}{": ' || props || '} or {' WHEN 1 THEN 'a } "b ' || props || ' {' WHEN 2 THEN '{ {' || props || ' open' ELSE 'none' END"""
+
+
+@query(f"""WITH s AS (SELECT event_id, {TOLD} AS x FROM events), b AS (SELECT *, strpos(x, '{{') AS b FROM s), t AS (SELECT event_id, unnest(range(b, length(x) + 1)) AS i, x FROM b WHERE b > 0),
+    q AS (SELECT event_id, i, substr(x, i, 1) AS ch, count(*) FILTER (WHERE substr(x, i, 1) = '"') OVER w AS quotes FROM t WINDOW w AS (PARTITION BY event_id ORDER BY i)),
+    d AS (SELECT event_id, i, sum(CASE WHEN quotes % 2 = 1 THEN 0 WHEN ch = '{{' THEN 1 WHEN ch = '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY event_id ORDER BY i) AS depth FROM q),
+    z AS (SELECT event_id, min(i) AS z FROM d WHERE depth = 0 GROUP BY event_id) SELECT event_id, coalesce(x[b : z], '') AS o FROM b LEFT JOIN z USING (event_id)""")
 def jsn02_first_object(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", js.first_object(F.concat(F.lit("say {"), c("props"), F.lit("} or {"))).alias("o"))
+    """Objects with braces in strings, after other braces and quotes, unbalanced ones and none; SQL sums depths over characters outside strings."""
+    return table(spark, sf_dir, "events").select("event_id", js.first_object(F.expr(TOLD)).alias("o"))
 
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
