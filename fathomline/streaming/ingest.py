@@ -61,13 +61,18 @@ def stream_distinct(stream: DataFrame, key: str, out: str, checkpoint: str):
 
 
 def planned_items(priority: DataFrame, queries: DataFrame, seeds: DataFrame, batch: int, seed: int, p: Params = DEFAULT) -> DataFrame:
-    """STR04: the next items: queries of priority entities, latest entity first, base query first, eight each; then a seeded draw of the others."""
-    first = priority.select(F.col("name").alias("seed"), "promoted_at", F.col("pos").alias("entity_pos"))
+    """STR04: the next items: queries of priority entities, latest entity first, base query first, eight each; then a seeded draw of the others.
+
+    Queries are many times what a plan takes them for when they are expanded from names, so the joins sort both sides and broadcast none. Only the
+    first ``batch`` rows of either kind are numbered.
+    """
+    first = priority.select(F.col("name").alias("seed"), "promoted_at", F.col("pos").alias("entity_pos")).hint("merge")
     mine = ranked(queries.join(first, "seed"), ["seed"], [F.desc("is_base"), "suffix_pos"], p.priority_queries, "_turn")
-    order = F.row_number().over(W.orderBy(F.desc("promoted_at"), "entity_pos", "_turn"))
-    mine = mine.withColumn("order", order).select("seed", "expanded", "order").withColumn("_kind", F.lit(0))
-    rest = seeds.join(first, "seed", "left_anti").join(queries, "seed")
-    rest = rest.select("seed", "expanded", F.xxhash64(F.lit(seed), "expanded").alias("order")).withColumn("_kind", F.lit(1))
+    turn = [F.desc("promoted_at"), "entity_pos", "_turn", "seed"]
+    mine = mine.orderBy(*turn).limit(batch).withColumn("order", F.row_number().over(W.orderBy(*turn)))
+    mine = mine.select("seed", "expanded", "order").withColumn("_kind", F.lit(0))
+    rest = seeds.join(first, "seed", "left_anti").join(queries.hint("merge"), "seed")
+    rest = rest.select("seed", "expanded", F.xxhash64(F.lit(seed), "expanded").alias("order")).orderBy("order", "expanded", "seed").limit(batch).withColumn("_kind", F.lit(1))
     return mine.unionByName(rest).orderBy("_kind", "order").limit(batch).drop("_kind")
 
 
