@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,27 +24,42 @@ def listed(cursors: DataFrame, fetch: Callable[[str, int], list[dict]]) -> DataF
     says whether the listing ``ended``: a page was short. Codes are fetched where they are; ``fetch`` takes a code and a page.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = lambda rows: pd.DataFrame(rows, columns=["company_code", "position", "ann_id", "title", "date", "ended"]).astype({"position": "Int64"})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Lists by column: a frame of rows would be cut into columns again.
+        kinds = pa.schema([("company_code", pa.string()), ("position", pa.int64()), ("ann_id", pa.string()), ("title", pa.string()), ("date", pa.string()), ("ended", pa.bool_())])
+        out: list[list] = [[] for _ in kinds]
+        codes, positions, ids, titles, days, ends = out
+        batch = lambda: pa.record_batch([pa.array(c, k.type) for c, k in zip(out, kinds, strict=True)], kinds)
         for b in batches:
-            out = []
-            for code, offset, done in b.itertuples(index=False):
+            for code, offset, done in zip(*(b.column(c).to_pylist() for c in ("company_code", "next_offset", "done")), strict=True):
                 first, skip, pages = backfill_window(offset, done)
                 ended = False
                 for page in range(first, first + pages):
                     rows = fetch(code, page)
-                    out += [(code, (page - 1) * PAGE + i, r["ann_id"], r["title"], r["date"], None) for i, r in enumerate(rows) if page > first or i >= skip]
+                    told = rows[skip:] if page == first else rows
+                    start = (page - 1) * PAGE + len(rows) - len(told)
+                    positions += range(start, start + len(told))
+                    ids += [r["ann_id"] for r in told]
+                    titles += [r["title"] for r in told]
+                    days += [r["date"] for r in told]
                     if ended := len(rows) < PAGE:
                         break
-                out.append((code, None, None, None, None, ended))
-                if len(out) > HELD:
-                    yield frame(out)
-                    out = []
-            if out:
-                yield frame(out)
+                for column in (positions, ids, titles, days):
+                    column.append(None)
+                n = len(positions) - len(codes)
+                codes += [code] * n
+                ends += [None] * (n - 1) + [ended]
+                if len(codes) > HELD:
+                    yield batch()
+                    for column in out:
+                        column.clear()
+        if codes:
+            yield batch()
 
     some = cursors.select("company_code", F.coalesce("next_offset", F.lit(0)).cast("long").alias("next_offset"), F.coalesce("done", F.lit(False)).alias("done"))
-    return some.repartition("company_code").mapInPandas(read, LISTED)
+    # Codes are few bytes and many pages: without a number, adaptive execution would put millions of them into a task.
+    tasks = int(cursors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return some.repartition(tasks, "company_code").mapInArrow(read, LISTED)
 
 
 class Backfill:
