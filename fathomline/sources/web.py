@@ -303,6 +303,33 @@ class _Tree(HTMLParser):
             self.open[-1][2].append(data)
 
 
+#: Plain text, or a tag of letters and digits with quoted attributes; tags whose content is read otherwise aren't among these.
+PLAIN = re.compile(
+    r"""([^<&]+)|<(/?)(?!(?:script|style|title|textarea|iframe|xmp|noembed|noframes|noscript|plaintext)\b)([a-z][a-z0-9]*)((?:[ \t\n]+[a-z][a-z0-9_-]*=(?:'[^'<>&]*'|"[^"<>&]*"))*)>""",
+    re.I | re.A,
+)
+ATTRIBUTE = re.compile(r"""([A-Za-z][A-Za-z0-9_-]*)=(?:'([^']*)'|"([^"]*)")""")
+
+
+def _tree(html: str) -> tuple:
+    """The root of a page's :class:`_Tree`. A page of nothing but :data:`PLAIN` is cut by that pattern, others by the parser, whose steps cost several times as much."""
+    page, at = _Tree(), 0
+    for m in PLAIN.finditer(html):
+        if m.start() != at or m[2] and m[4]:
+            break
+        at = m.end()
+        if m[1]:
+            page.handle_data(m[1])
+        elif m[2]:
+            page.handle_endtag(m[3].lower())
+        else:
+            page.handle_starttag(m[3].lower(), [(k.lower(), a or b) for k, a, b in ATTRIBUTE.findall(m[4])] if m[4] else [])
+    if at < len(html):
+        page = _Tree()
+        page.feed(html)
+    return page.root
+
+
 def _walk(node: tuple, *tags: str) -> Iterator[tuple]:
     """Nodes below ``node`` in page order; of ``tags`` alone, if given."""
     left = list(reversed(node[2]))
@@ -320,8 +347,12 @@ def _words(node: tuple) -> str:
     while left:
         x = left.pop()
         parts.append(x) if isinstance(x, str) else left.extend(reversed(x[2]))
-    lines = "\n".join(y for x in parts if (y := x.strip()))
-    return re.sub(r"\n\s*\n+", "\n\n", re.sub(r"[ \t]+", " ", lines.replace("\r\n", "\n").replace("\r", "\n"))).strip()
+    lines = "\n".join(y for x in parts if (y := x.strip())).replace("\r\n", "\n").replace("\r", "\n")
+    if "\t" in lines or "  " in lines:
+        lines = re.sub(r"[ \t]+", " ", lines)
+    if "\n" in lines:
+        lines = re.sub(r"\n\s*\n+", "\n\n", lines)
+    return lines.strip()
 
 
 def _classes(node: tuple) -> list[str]:
@@ -342,9 +373,7 @@ def _row_lines(table: tuple) -> Iterator[str]:
 
 
 def _detail(html: str) -> dict:
-    page = _Tree()
-    page.feed(html)
-    root = page.root
+    root = _tree(html)
     title = next(map(_words, _walk(root, "h3")), "")
     info = next((x for x in _walk(root, "div") if "ven_announcement_info" in _classes(x)), ("", {}, []))
     pairs = [cells for tr in _walk(info, "tr") if len(cells := [_words(x) for x in _walk(tr, "td")]) > 1]
@@ -352,7 +381,7 @@ def _detail(html: str) -> dict:
     company = next((_words(x) for x in _walk(root, "td") if "company_name" in _classes(x)), "") or labelled("company name")
     main = next((x for x in _walk(root) if x[1].get("id") == "main"), root)
     lines = [x for x in (title, company) if x]
-    places = {id(x): (parent, i) for parent in (main, *_walk(main)) for i, x in enumerate(parent[2]) if not isinstance(x, str)}
+    places = {id(x): (parent, i) for parent in (main, *_walk(main)) for i, x in enumerate(parent[2]) if not isinstance(x, str) and x[0] == "h4"}
     for h4 in _walk(main, "h4"):
         if name := _words(h4):
             lines += ["", name]
