@@ -16,22 +16,19 @@ from pyspark.sql.window import Window
 
 from fathomline.llm.shared import cut, process_cache, small_batches, tidy
 
-#: Words of a worker's cache; two generations are kept.
-CACHE_WORDS = 150_000
-
 
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, equal to those of the byte-level BPE in the file ``path``.
 
-    Such a BPE first splits a text into parts, none of which holds a space before its end or a line's end inside, unless white
-    space follows white space. So in all other texts, what stands between two spaces or line ends is encoded alone and,
-    since words repeat, looked up. Texts with white space in a row are encoded whole; so are those with the string of a
-    special token, by the tokenizer itself. Single words go through the same vocabulary and merges in ``tiktoken``, whose
-    calls cost less; the tests hold its ids against the tokenizer's.
+    Such a BPE first splits a text into parts. Where no white space follows white space, its pattern needs no look ahead, and
+    ``tiktoken`` encodes such texts through the same vocabulary and merges with the plain pattern; other texts take the pattern
+    as it is. Texts with the string of a special token go to the tokenizer itself. The tests hold the ids against the tokenizer's.
     """
 
     # Fixed value: the split pattern of the byte-level BPE.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: The same for texts whose white space stands alone.
+    PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,37 +42,16 @@ class Encoder:
         byte = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printed)}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         ranks = {bytes(byte[c] for c in w): i for w, i in vocabulary.items() if w not in special}
-        self.bpe = tiktoken.Encoding("bpe", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = re.compile(r"\s\s|" + "|".join(map(re.escape, special)))
+        made = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.bpe, self.plain = made("bpe", self.PATTERN), made("plain", self.PLAIN)
+        self.apart = re.compile(r"\s\s")
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-        self.words = _Words(self.bpe)
 
     def encode(self, text: str) -> bytes:
-        if self.whole.search(text):
-            if self.special.search(text):
-                return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            return self.bpe.encode_to_numpy(text).astype("<u4").tobytes()
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return np.asarray(self.bpe.encode_ordinary(first), "<u4").tobytes() + b"".join(map(self.words.__getitem__, rest))
-
-
-class _Words(dict):
-    """Ids of a word after a space, or of a line end with the word after it. The older half goes when it is full."""
-
-    def __init__(self, bpe):
-        super().__init__()
-        self.bpe, self.older = bpe, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = np.array(self.bpe.encode_ordinary(word if word[:1] == "\n" else " " + word), "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+        if self.special.search(text):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        bpe = self.bpe if self.apart.search(text) else self.plain
+        return bpe.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
 
 
 def patterns(histogram: dict[int, int], max_length: int) -> list[tuple[int, list[int]]]:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import time
 import zlib
@@ -463,6 +464,23 @@ def test_encoder_equals_tokenizer():
         assert e.encode(t) == np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def test_encoder_takes_whole_texts():
+    """Single white space of all kinds anywhere; and different words cost no more than the pattern with its look ahead does."""
+    e, rng = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    signs = [" ", " ", "\t", "\n", "\r", "\x1c", "\x85", "\u2028", "\u3000", "\u200b", "'s", "'", "a", "Bé", "12", "٣", "!", "😀", "́"]
+    for _ in range(500):
+        t = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 12)))
+        assert e.encode(t) == np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    text = " ".join(f"{rng.choice('abcdef')}{i:x}" for i in range(100_000))
+
+    def seconds(f):
+        start = time.process_time()
+        f(text)
+        return time.process_time() - start
+
+    assert seconds(e.encode) <= 1.5 * max(seconds(e.bpe.encode_to_numpy) for _ in range(2))
+
+
 def test_patterns_place_all():
     rng = np.random.default_rng(0)
     for _ in range(20):
