@@ -20,6 +20,7 @@ from fathomline.operators.rank import context_block, prefer_names
 from fathomline.operators.verify import budgeted_text, checked_claims, fact_check_score, prompt, prompt_block, verified_snapshot
 from fathomline.params import DEFAULT, Params
 from fathomline.schema import PARTY, RISKS
+from fathomline.sources.folders import cut
 
 SNAPSHOT_PROMPT = "Write a short factual account of {company}, from these documents alone.\n\n{documents_block}"
 PROFILE_PROMPT = (
@@ -62,9 +63,10 @@ def checked(written: DataFrame, chunks: DataFrame, models: Models, p: Params = D
 def entities(chunks: DataFrame, models: Models, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """``(texts, entities)``: each query's text for the models (AGG19, TXT29) and its different entities (AGG04)."""
     texts = budgeted_text(chunks.withColumn("content", strip(F.col("content"))), p.entity_text_chars).withColumn("text", without_parentheses(F.col("text")))
+    texts = cut(texts, "profile-texts")
     rows = texts.select("query_id", F.posexplode(found_entities(F.col("text"), models.entities)).alias("pos", "_e"))
     rows = rows.select("query_id", F.coalesce("_e.name", F.lit("")).alias("name"), F.coalesce("_e.type", F.lit("")).alias("type"), F.round(F.coalesce("_e.score", F.lit(0.0)), 2).alias("score"), "pos")
-    return texts, distinct_entities(rows, p=p)
+    return texts, distinct_entities(cut(rows, "profile-entities"), p=p)
 
 
 def relations(texts: DataFrame, found: DataFrame, models: Models, p: Params = DEFAULT) -> DataFrame:
@@ -72,10 +74,9 @@ def relations(texts: DataFrame, found: DataFrame, models: Models, p: Params = DE
     each = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "name", "type")))
     rows = texts.join(found.groupBy("query_id").agg(each.alias("_all")), "query_id").filter(F.size("_all") > 1)
     tokens = F.slice(F.filter(F.split(F.col("text"), r"(?U)\s+"), lambda t: t != ""), 1, p.relation_tokens)
-    rows = rows.select("query_id", tokens.alias("_t"), "_all")
-    spans = F.flatten(F.transform("_all", lambda e: F.transform(
-        located_entities(F.col("_t"), F.array(e["name"])), lambda s: F.struct(s["name"].alias("name"), s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), e["type"].alias("type")))))
-    rows = rows.withColumn("_s", spans).filter(F.size("_s") > 1)
+    spans = F.transform(located_entities(F.col("_t"), F.col("_all"), ("type",)), lambda s: F.struct(s["name"].alias("name"), s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["type"].alias("type")))
+    # Written, since places are read three times.
+    rows = cut(rows.select("query_id", tokens.alias("_t"), "_all").select("query_id", "_t", spans.alias("_s")), "profile-spans").filter(F.size("_s") > 1)
     known = rows.select("query_id", F.posexplode("_s").alias("pos", "_x")).select("query_id", "pos", "_x.name", "_x.start", "_x.end")
     got = rows.select("query_id", F.posexplode(found_relations(F.col("_t"), F.col("_s"), models.relations)).alias("pos", "_r")).select("query_id", "pos", "_r.*")
     named = resolved_spans(got, known)
