@@ -15,6 +15,7 @@ from fathomline.functions.text import diversity_domain, for_search, strip, text
 from fathomline.operators.filters import prefer_phrase
 from fathomline.operators.retrieval import ranked
 from fathomline.params import DEFAULT, Params
+from fathomline.sources.folders import shuffled
 
 
 def recency_score(base: Column, date: Column, as_of: Column, confidence: Column, p: Params = DEFAULT) -> Column:
@@ -102,4 +103,4 @@ def context_block(entities: DataFrame, relations: DataFrame, by: Sequence[str] =
     r = r.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("r"))
     parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(head), F.col(c), F.lit("\n"))) for c, head in (("e", "ENTITIES:\n"), ("r", "RELATIONSHIPS:\n"))]
     block = F.concat_ws("\n", *parts)
-    return e.join(r, list(by), "full").select(*by, F.when(block == "", "none").otherwise(block).alias("context"))
+    return e.join(shuffled(r), list(by), "full").select(*by, F.when(block == "", "none").otherwise(block).alias("context"))

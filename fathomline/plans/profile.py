@@ -20,7 +20,7 @@ from fathomline.operators.rank import context_block, prefer_names
 from fathomline.operators.verify import budgeted_text, checked_claims, fact_check_score, prompt, prompt_block, verified_snapshot
 from fathomline.params import DEFAULT, Params
 from fathomline.schema import PARTY, RISKS
-from fathomline.sources.folders import cut
+from fathomline.sources.folders import cut, shuffled
 
 SNAPSHOT_PROMPT = "Write a short factual account of {company}, from these documents alone.\n\n{documents_block}"
 PROFILE_PROMPT = (
@@ -57,7 +57,7 @@ def checked(written: DataFrame, chunks: DataFrame, models: Models, p: Params = D
     pairs = ranked_evidence(said, vectors, p=p).filter(F.length("_premise") >= p.min_content)
     nli = pairs.withColumn("_n", entailed(F.left("_premise", F.lit(p.prompt_doc_chars)), F.col("claim"), models.entail)).select("query_id", "claim_id", "claim", "evidence_rank", "_n.*")
     texts = nli.select("query_id", "claim_id", "claim").distinct()
-    return checked_claims(nli, p=p).join(texts, ["query_id", "claim_id"])
+    return checked_claims(nli, p=p).join(shuffled(texts), ["query_id", "claim_id"])
 
 
 def entities(chunks: DataFrame, models: Models, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +72,7 @@ def entities(chunks: DataFrame, models: Models, p: Params = DEFAULT) -> tuple[Da
 def relations(texts: DataFrame, found: DataFrame, models: Models, p: Params = DEFAULT) -> DataFrame:
     """Different sure relations between entities that are in the head of the text (JON09, TXT30, FLT11, AGG05); needs two located ones."""
     each = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "name", "type")))
-    rows = texts.join(found.groupBy("query_id").agg(each.alias("_all")), "query_id").filter(F.size("_all") > 1)
+    rows = texts.join(shuffled(found.groupBy("query_id").agg(each.alias("_all"))), "query_id").filter(F.size("_all") > 1)
     tokens = F.slice(F.filter(F.split(F.col("text"), r"(?U)\s+"), lambda t: t != ""), 1, p.relation_tokens)
     spans = F.transform(located_entities(F.col("_t"), F.col("_all"), ("type",)), lambda s: F.struct(s["name"].alias("name"), s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["type"].alias("type")))
     # Written, since places are read three times.
@@ -104,34 +104,34 @@ def profiles(
     and entities are kept, since several steps read them and models should run once.
     """
     chunks = chunks.persist()
-    blocks = prompt_block(chunks, p=p).join(queries.select("query_id", "query"), "query_id")
+    blocks = prompt_block(chunks, p=p).join(shuffled(queries.select("query_id", "query")), "query_id")
     written = snapshots(blocks, models, templates[0]).persist()
     results = checked(written, chunks, models, p).persist()
     texts, found = entities(chunks, models, p)
     found = found.persist()
     linked = relations(texts, found, models, p)
     # The names of the query's own company decide which relations are direct.
-    context = context_block(found, linked.join(queries.select("query_id", F.col("query").alias("company")), "query_id"), p=p)
-    asked = blocks.join(context, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("none")))
+    context = context_block(found, linked.join(shuffled(queries.select("query_id", F.col("query").alias("company"))), "query_id"), p=p)
+    asked = blocks.join(shuffled(context), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("none")))
     reply = generated(prompt(templates[1], company=F.col("query"), documents_block=F.col("documents_block"), context_block=F.col("context")), models.generate)
     filled = asked.select("query_id", reply.alias("_reply")).select("query_id", parsed_profile(F.col("_reply")).alias("_p")).select("query_id", "_p.*")
 
     scores = fact_check_score(results, p=p)
-    final = verified_snapshot(results, written).join(scores, "query_id", "left").join(filled, "query_id")
+    final = verified_snapshot(results, written).join(shuffled(scores), "query_id", "left").join(shuffled(filled), "query_id")
     checked_score = F.when(F.col("snapshot") != "", F.coalesce("fact_check_score", F.lit(p.unverified)))
     final = final.withColumn("fact_check_score", checked_score).withColumn("high_risk_entities", high_risk_others(F.col("high_risk_entities"), F.col("query"), F.col("customer.name"), p))
     confidence = profile_confidence(strip(F.col("snapshot")), F.col("customer"), F.col("corporate_guarantor"), F.col("high_risk_entities"), F.col("fact_check_score"))
     final = final.withColumn("confidence", confidence).persist()
 
     names = F.concat(F.array("customer.name", "corporate_guarantor.name"), F.transform("high_risk_entities", lambda x: x["name"]))
-    ordered = prefer_names(docs.drop("query").join(final.select("query_id", F.array_compact(names).alias("names")), "query_id")).drop("names")
+    ordered = prefer_names(docs.drop("query").join(shuffled(final.select("query_id", F.array_compact(names).alias("names"))), "query_id")).drop("names")
     fields = ("title", "url", "source", "source_date", "snippet", "content")
     shown = F.struct("order", *(text(F.col(c)).alias(c) for c in fields))
     listed = ordered.filter(F.col("order") <= p.stored_docs).groupBy("query_id").agg(F.array_sort(F.collect_list(shown)).alias("_d"))
     as_map = lambda d: F.create_map(*(x for c in fields for x in (F.lit(c), F.left(d[c], F.lit(p.stored_chars)) if c == "content" else d[c])))
     listed = listed.select("query_id", F.transform("_d", as_map).alias("documents"))
     none = lambda c, schema, empty: F.coalesce(F.col(c), F.from_json(F.lit(empty), schema)).alias(c)
-    out = queries.select("query_id", "query").join(final.drop("query"), "query_id", "left").join(listed, "query_id", "left").select(
+    out = queries.select("query_id", "query").join(shuffled(final.drop("query")), "query_id", "left").join(shuffled(listed), "query_id", "left").select(
         "query_id", F.col("query").alias("company"), text(F.col("snapshot")).alias("snapshot"), none("customer", PARTY, "{}"), none("corporate_guarantor", PARTY, "{}"),
         none("high_risk_entities", RISKS, "[]"), none("documents", "array<map<string,string>>", "[]"), "fact_check_score", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
     )

@@ -47,6 +47,22 @@ def test_profile_plan(spark, tmp_path):
     assert "<td>Risk One</td><td>chair</td><td>owner</td>" in report and "Not identified" in report
 
 
+def test_profiles_meet_by_shuffle(spark):
+    """No step of the plan broadcasts what has a row or more for each query: in the driver, that would grow with the queries."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    names = [("Alpha Holdings", "ORG", 0.9), ("Zenith Trust", "ORG", 0.8), ("alpha holding", "ORG", 0.7), ("Nowhere", "PLACE", 0.99)]
+    docs = spark.createDataFrame([chunk(q, i, f"Alpha Holdings and Zenith Trust lend to the company of number {q}, as told in {i}.") for q in range(3) for i in (1, 2)], CHUNK)
+    made = profile.profiles(docs.select("query_id", "query").distinct(), docs, docs, replace(models.STAND_INS, entities=lambda texts: [names] * len(texts))).profiles
+    assert sorted(r["query_id"] for r in made.collect()) == [0, 1, 2]
+    bus.waitUntilEmpty()
+    ran = store.executionsList()
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(before, ran.size())]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert [n for n, p in enumerate(plans) if "BroadcastExchange" in p] == []
+
+
 def test_relations(spark):
     texts = spark.createDataFrame([(0, "Acme's Beta Trust (x) owns Gamma Bank's. Nobody"), (1, "Acme alone")], "query_id int, text string")
     found = spark.createDataFrame([(0, "Beta Trust", "ORG", 0.9, 0), (0, "gamma bank", "ORG", 0.5, 1), (0, "Absent Name", "ORG", 0.8, 2), (1, "Acme", "ORG", 0.9, 0)], "query_id int, name string, type string, score double, pos int")
